@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
-from evalsieve.operators.ngrams import Tokenizer, bench_ngrams, train_hits
+from evalsieve.operators.ngrams import Tokenizer, settled_terms, train_hits
 from evalsieve.scale import join_lookup, settle
 
 
@@ -42,9 +42,7 @@ def detect(
     tokenizer: Tokenizer = tokenize,
     carry: Sequence[str] = (),
 ) -> Detection:
-    dictionary = (
-        bench_ngrams(bench, n, tokenizer).select("benchmark", "test_idx", "n", "ngram").distinct()
-    )
+    dictionary = settled_terms(bench, n, tokenizer)
     terms = dictionary.select("benchmark", "n", "ngram").distinct()
     hits = train_hits(train, terms, tokenizer=tokenizer, carry=carry)
 

@@ -20,7 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
-from evalsieve.scale import fits_broadcast, join_lookup, settle
+from evalsieve.scale import (
+    fits_broadcast,
+    is_small,
+    join_lookup,
+    measure,
+    salted_join,
+    settle,
+)
 
 # N is the 5th percentile of item lengths, held within 8 to 13.
 SHORTEST, LONGEST, LENGTH_PERCENTILE = 8, 13, 0.05
@@ -83,16 +90,31 @@ def bench_ngrams(
     """Dictionary (benchmark, test_idx, test_pos, n, ngram)."""
     items = bench.select("benchmark", "test_idx", "prompt")
     if n is None:
-        lengths = ngram_length(bench, tokenizer=tokenizer)
-        items = join_lookup(items, lengths, ["benchmark"], spread_by=["test_idx"])
+        # one row per benchmark; broadcast or split at run time by its measured size
+        items = items.join(ngram_length(bench, tokenizer=tokenizer), "benchmark")
     else:
         items = items.withColumn("n", F.lit(n))
     keep = ["benchmark", "test_idx", "n"]
     return ngrams(items, keep, "prompt", F.col("n"), tokenizer).withColumnRenamed("pos", "test_pos")
 
 
+def settled_terms(
+    bench: DataFrame, n: int | None = None, tokenizer: Tokenizer = tokenize
+) -> DataFrame:
+    """Distinct (benchmark, test_idx, n, ngram), computed once: it is measured,
+    broadcast and joined several times, and is small beside the training rows."""
+    grams = bench_ngrams(bench, n, tokenizer).select("benchmark", "test_idx", "n", "ngram")
+    return settle(grams.distinct())
+
+
 def _shared_window_rows(
-    train: DataFrame, dictionary: DataFrame, key: str, text: str, tokenizer: Tokenizer, width: int
+    train: DataFrame,
+    dictionary: DataFrame,
+    lengths: Sequence[int],
+    key: str,
+    text: str,
+    tokenizer: Tokenizer,
+    width: int,
 ) -> DataFrame:
     """Keys of the rows that may hold a dictionary n-gram; complete, not exact.
 
@@ -108,39 +130,24 @@ def _shared_window_rows(
             lambda i: F.xxhash64(F.slice(tokens, i, width)),
         )
 
-    # at most LONGEST - SHORTEST + 1 values, or the one given by the caller
-    lengths = [r["n"] for r in dictionary.select("n").distinct().collect()]
-    tokens = F.col("_tokens")
-
     def marks_of(n: int) -> Column:
         span = n - width + 1
-        marks = F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size("_runs") - span + 1),
-                lambda i: F.array_min(F.slice(F.col("_runs"), i, span)),
-            )
+        smallest = F.transform(
+            F.sequence(F.lit(1), F.size("_runs") - span + 1),
+            lambda i: F.array_min(F.slice(F.col("_runs"), i, span)),
+        )
+        marks = F.transform(
+            F.array_distinct(smallest), lambda m: F.struct(F.lit(n).alias("n"), m.alias("_mark"))
         )
-        return F.when(F.size("_runs") >= span, marks).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size("_runs") >= span, marks)
 
-    runs = train.select(key, tokenizer(F.col(text)).alias("_tokens")).select(
-        key, F.when(F.size(tokens) >= width, run_hashes(tokens)).alias("_runs")
-    )
-    marked = runs.where("_runs is not null").select(
-        key,
-        F.inline(
-            F.flatten(
-                F.array(
-                    *[
-                        F.transform(
-                            marks_of(n),
-                            lambda m, n=n: F.struct(F.lit(n).alias("n"), m.alias("_mark")),
-                        )
-                        for n in lengths
-                    ]
-                )
-            )
-        ),
+    runs = (
+        train.select(key, tokenizer(F.col(text)).alias("_tokens"))
+        .where(F.size("_tokens") >= min(lengths))
+        .select(key, run_hashes(F.col("_tokens")).alias("_runs"))
     )
+    per_length = F.array_compact(F.array(*[marks_of(n) for n in lengths]))
+    marked = runs.select(key, F.inline(F.flatten(per_length)))
     wanted = dictionary.select(
         "n", F.array_min(run_hashes(F.col("ngram"))).alias("_mark")
     ).distinct()
@@ -157,46 +164,48 @@ def train_hits(
 ) -> DataFrame:
     """Training positions whose n-gram is in the dictionary.
 
-    Returns (key, carry..., train_pos) with all dictionary columns.
+    Returns (key, carry..., train_pos) with all dictionary columns. The dictionary
+    should be settled; it has a column `n` of few distinct values.
     """
-    lengths = dictionary.agg(F.min("n")).first()[0]
-    if lengths is None:  # no item is long enough to hold an n-gram
-        lengths = SHORTEST
-    width = min(START_TOKENS, lengths)
+    size = measure(dictionary, F.collect_set("n").alias("lengths"))
+    lengths = sorted(size["lengths"]) or [LONGEST]
+    width = min(START_TOKENS, lengths[0])
     keep = [key, *carry]
 
     starts = dictionary.select(
         _start_hash(F.col("ngram"), F.lit(0), width).alias("_start"), "n"
     ).distinct()
-    if fits_broadcast(starts):
-        positions = _positions(train, keep, text, tokenizer)
-        likely = positions.withColumn(
-            "_start", _start_hash(F.col("_tokens"), F.col("pos"), width)
-        ).join(F.broadcast(starts), "_start")
+    whole_fits = is_small(dictionary.sparkSession, size)
+    if whole_fits or fits_broadcast(starts):
+        likely = (
+            _positions(train, keep, text, tokenizer)
+            .withColumn("_start", _start_hash(F.col("_tokens"), F.col("pos"), width))
+            .join(F.broadcast(starts), "_start")
+        )
     else:
         candidates = settle(
-            _shared_window_rows(train, dictionary, key, text, tokenizer, width)
+            _shared_window_rows(train, dictionary, lengths, key, text, tokenizer, width)
         )
         rows = join_lookup(train.select(*keep, text), candidates, [key], "left_semi")
         likely = _positions(rows, keep, text, tokenizer).withColumn(
-            "n",
-            F.explode(
-                F.array(*[F.lit(r["n"]) for r in dictionary.select("n").distinct().collect()])
-            ),
+            "n", F.explode(F.array(*[F.lit(n) for n in lengths]))
         )
     survivors = likely.where(F.col("pos") + F.col("n") <= F.size("_tokens")).select(
         *keep,
         F.col("pos").alias("train_pos"),
         F.slice("_tokens", F.col("pos") + 1, F.col("n")).alias("ngram"),
     )
-    return join_lookup(survivors, dictionary, ["ngram"], spread_by=[key, "train_pos"])
+    if whole_fits:
+        return survivors.join(F.broadcast(dictionary), "ngram")
+    return salted_join(survivors, dictionary, ["ngram"], "inner", [key, "train_pos"])
 
 
 def ngram_matches(
     train: DataFrame, bench: DataFrame, n: int | None = None, tokenizer: Tokenizer = tokenize
 ) -> DataFrame:
     """Every matching position pair, with the shared text."""
-    hits = train_hits(train, bench_ngrams(bench, n, tokenizer), tokenizer=tokenizer)
+    dictionary = settle(bench_ngrams(bench, n, tokenizer))
+    hits = train_hits(train, dictionary, tokenizer=tokenizer)
     return hits.select(
         "benchmark",
         "test_idx",
@@ -218,10 +227,7 @@ def contamination_matches(
 
     `carry` adds training columns, such as the source, without a later join.
     """
-    dictionary = (
-        bench_ngrams(bench, n, tokenizer).select("benchmark", "test_idx", "n", "ngram").distinct()
-    )
-    hits = train_hits(train, dictionary, tokenizer=tokenizer, carry=carry)
+    hits = train_hits(train, settled_terms(bench, n, tokenizer), tokenizer=tokenizer, carry=carry)
     return hits.select(
         "benchmark", "test_idx", F.col("row_idx").alias("train_idx"), *carry
     ).distinct()

@@ -13,7 +13,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,12 +61,41 @@ def _value_bytes(field: T.StructField) -> Column:
     return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a side against the broadcast limits (one small aggregate)."""
-    spark = df.sparkSession
+def measure(df: DataFrame, *extra: Column) -> Row:
+    """Rows and value bytes of a side, with further aggregates, in one job."""
     row_bytes = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0).cast("long"))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
-    return rows <= limit_of(spark, BROADCAST_ROWS) and size <= limit_of(spark, BROADCAST_BYTES)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"),
+        *extra,
+    ).first()
+
+
+def is_small(spark: SparkSession, size: Row) -> bool:
+    return size["rows"] <= limit_of(spark, BROADCAST_ROWS) and size["bytes"] <= limit_of(
+        spark, BROADCAST_BYTES
+    )
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Measure a side against the broadcast limits."""
+    return is_small(df.sparkSession, measure(df))
+
+
+def salted_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
+) -> DataFrame:
+    """Shuffle join that splits a hot key of `rows` over many tasks.
+
+    `spread_by` names columns that differ within one key. Each row meets exactly
+    one copy of the lookup, so inner, left, semi and anti joins keep their meaning.
+    """
+    salts = limit_of(rows.sparkSession, SALTS)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    copies = lookup.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+    )
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def join_lookup(
@@ -79,21 +108,15 @@ def join_lookup(
     """Join a large side with a side that is usually small.
 
     The lookup is broadcast if it was measured to fit. Otherwise both sides are
-    shuffled; `spread_by` names columns of `rows` that differ within one key, and
-    salting by them splits a hot key over many tasks. Each row meets exactly one
-    copy of the lookup, so inner, left, semi and anti joins keep their meaning.
+    shuffled, salted by `spread_by`; leave it out where `on` is unique in `rows`.
+    The lookup is read twice, so settle it if it is costly.
     """
     on = list(on)
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), on, how)
     if not spread_by:
         return rows.join(lookup, on, how)
-    salts = limit_of(rows.sparkSession, SALTS)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted_join(rows, lookup, on, how, spread_by)
 
 
 def spread(df: DataFrame) -> DataFrame:
