@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.operators import cleaning, contamination, preparing, scoring
+from evalsieve.operators import cleaning, contamination, ngrams, preparing, scoring
 from evalsieve.operators.completing import Generator, batch_complete
 from evalsieve.sources import files
 
@@ -73,7 +73,7 @@ def detect(
     record = _detection_record(spark, train_path, train, found, summary)
     files.write_jsonl(record, f"{out}/contamination_summary")
     files.write_jsonl(found.flagged, f"{out}/flagged")
-    pairs = contamination.contamination_matches(train, bench)
+    pairs = ngrams.contamination_matches(train, bench)
     files.write_jsonl(
         contamination.match_details(pairs, train, bench), f"{out}/contamination_matches"
     )
