@@ -319,6 +319,12 @@ FROM scored""",
     "memorization_scores": f"""{RESULTS}
 SELECT model, id, ratio, lcs, tail_tokens, guess_tokens, round(rougel_f, 9) AS rougel_f
 FROM fscored""",
+    "predictions_map": f"""{RESULTS}
+SELECT model, dataset, id, gold_answer_norm, CAST(ratio AS VARCHAR) AS ratio,
+  shown AS truncated_question, pred_answer_raw, pred_answer_norm, correct,
+  length(generated) AS generated_length, tail_length AS gold_tail_length,
+  round(rougel_f, 9) AS rougel_f
+FROM scored JOIN fscored USING (model, id, ratio)""",
     "eval_metrics": f"{RESULTS} SELECT * FROM result_rows",
     # a metric record has one example count for all its ratios
     "flatten_metrics": f"""{RESULTS}

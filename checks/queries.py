@@ -357,7 +357,24 @@ def memorization_scores(spark, sf_dir):
 
 @query
 def predictions_map(spark, sf_dir):
-    return scoring.predictions(scoring.memorization(_scored(spark, sf_dir)))
+    """The map per example, unfolded again to compare its entries."""
+    records = scoring.predictions(scoring.memorization(_scored(spark, sf_dir)))
+    return records.select(
+        "model", "dataset", "id", "gold_answer_norm", F.explode("per_prefix").alias("ratio", "r")
+    ).select(
+        "model",
+        "dataset",
+        "id",
+        "gold_answer_norm",
+        "ratio",
+        "r.truncated_question",
+        "r.pred_answer_raw",
+        "r.pred_answer_norm",
+        "r.correct",
+        F.col("r.generated_length").cast("long").alias("generated_length"),
+        F.col("r.gold_tail_length").cast("long").alias("gold_tail_length"),
+        F.round("r.rougeL_f", 9).alias("rougel_f"),
+    )
 
 
 def _rounded(df: DataFrame) -> DataFrame:

@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from evalsieve.functions.text import tokenize
 from evalsieve.operators.contamination import Detection, contamination_summary, detect
 from evalsieve.operators.ngrams import Tokenizer
-from evalsieve.scale import join_lookup
+from evalsieve.scale import fits_broadcast
 
 
 def decontaminate(train: DataFrame, flagged: DataFrame) -> DataFrame:
     """Training rows whose position is not flagged.
 
-    `flagged` holds one train_idx per removed row. While it fits a broadcast the
-    training texts are only filtered; otherwise they are shuffled once, on their
-    unique position, so no task receives more than its share.
+    `flagged` holds one train_idx per removed row. Texts stay where they are as
+    long as the flagged positions fit a broadcast, as a list or, one bit per
+    position, as bitmaps. Beyond that both sides are shuffled once, on the unique
+    position, so no task receives more than its share.
     """
     removed = flagged.select(F.col("train_idx").alias("row_idx"))
-    return join_lookup(train, removed, ["row_idx"], "left_anti")
+    if fits_broadcast(removed):
+        return train.join(F.broadcast(removed), "row_idx", "left_anti")
+    bitmaps = removed.groupBy(F.bitmap_bucket_number("row_idx").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("row_idx")).alias("_bits")
+    )
+    if fits_broadcast(bitmaps):
+        bit = F.bitmap_bit_position("row_idx")
+        byte = F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+        is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (bit % 8).cast("int")) == 1
+        return (
+            train.withColumn("_bucket", F.bitmap_bucket_number("row_idx"))
+            .join(F.broadcast(bitmaps), "_bucket", "left")
+            .where(F.col("_bits").isNull() | ~is_set)
+            .drop("_bucket", "_bits")
+        )
+    # hashing the positions spares sorting the texts
+    return train.join(removed.hint("shuffle_hash"), "row_idx", "left_anti")
 
 
 def clean_indices(train: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -48,14 +65,15 @@ def decontamination_report(train: DataFrame, flagged: DataFrame) -> DataFrame:
         (F.col("original") - F.coalesce("removed", F.lit(0))).alias("clean"),
         F.coalesce("removed", F.lit(0)).alias("removed"),
     )
-    totals = counts.agg(F.sum("original").alias("_all"), F.sum("clean").alias("_kept"))
-    return counts.crossJoin(F.broadcast(totals)).select(  # totals is one row
+    rows = train.select(F.count(F.lit(1))).scalar()
+    kept = rows - flagged.select(F.count(F.lit(1))).scalar()
+    return counts.select(
         "source",
         "original",
         "clean",
         "removed",
-        (F.try_divide("original", "_all") * 100).alias("original_pct"),
-        F.coalesce(F.try_divide("clean", "_kept") * 100, F.lit(0.0)).alias("clean_pct"),
+        (F.try_divide("original", rows) * 100).alias("original_pct"),
+        F.coalesce(F.try_divide("clean", kept) * 100, F.lit(0.0)).alias("clean_pct"),
         (F.try_divide("removed", "original") * 100).alias("removed_pct"),
     )
 
@@ -74,10 +92,10 @@ def verify(
 def verification_totals(per_benchmark: DataFrame, found: Detection) -> DataFrame:
     """Sum of contaminated items, and of the rows both the largest benchmark's
     count and the true union. Clean means that no benchmark has an item left."""
-    union = found.flagged.agg(F.countDistinct("train_idx").alias("contaminated_train_union"))
+    union = found.flagged.select(F.countDistinct("train_idx")).scalar()
     return per_benchmark.agg(
         F.count(F.lit(1)).alias("benchmarks"),
         F.sum("contaminated_test").alias("contaminated_test"),
         F.max("contaminated_train").alias("contaminated_train_max"),
         F.bool_and(F.col("contaminated_test") == 0).alias("all_clean"),
-    ).crossJoin(F.broadcast(union))  # one row on each side
+    ).withColumn("contaminated_train_union", union)

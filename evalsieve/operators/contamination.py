@@ -94,10 +94,10 @@ def contaminated_indices(found: Detection) -> DataFrame:
 
 def contamination_total(found: Detection, train: DataFrame) -> DataFrame:
     """Rows flagged by any benchmark, and their share of the training rows."""
-    flagged = found.flagged.agg(F.countDistinct("train_idx").alias("total_contaminated_train"))
+    total = found.flagged.select(F.countDistinct("train_idx")).scalar()
     return (
         train.agg(F.count(F.lit(1)).alias("training_size"))
-        .crossJoin(F.broadcast(flagged))  # one row on each side
+        .withColumn("total_contaminated_train", total)
         .withColumn(
             "contaminated_pct",
             F.try_divide("total_contaminated_train", "training_size") * 100,

@@ -17,48 +17,39 @@ INLINE_INDICES = 1_000_000
 
 
 def _detection_record(
-    spark: SparkSession,
     train_path: str,
     train: DataFrame,
     found: contamination.Detection,
     summary: DataFrame,
 ) -> DataFrame:
-    total = contamination.contamination_total(found, train)
     flagged = found.flagged.select("benchmark", "train_idx")
-    if found.flagged.count() <= INLINE_INDICES:
+    no_list = F.lit(None).cast("array<bigint>")
+    if flagged.count() <= INLINE_INDICES:
         lists = flagged.groupBy("benchmark").agg(
             F.sort_array(F.collect_list("train_idx")).alias("contaminated_train_indices")
         )
-        union = flagged.agg(
-            F.sort_array(F.collect_set("train_idx")).alias("contaminated_train_indices")
-        )
+        union = flagged.select(F.sort_array(F.collect_set("train_idx"))).scalar()
     else:
-        empty = "array<bigint>"
-        lists = summary.select("benchmark", F.lit(None).cast(empty).alias("contaminated_train_indices"))
-        union = spark.range(1).select(F.lit(None).cast(empty).alias("contaminated_train_indices"))
-    entries = (
-        summary.join(lists, "benchmark", "left")
-        .select(
-            F.struct(
-                "benchmark",
-                "test_size",
-                "contaminated_test",
-                "contamination_rate",
-                F.when(F.col("num_contaminated_train") == 0, F.array().cast("array<bigint>"))
-                .otherwise(F.col("contaminated_train_indices"))
-                .alias("contaminated_train_indices"),
-                "num_contaminated_train",
-            ).alias("entry")
-        )
-        .agg(F.sort_array(F.collect_list("entry")).alias("benchmarks"))
+        lists = summary.select("benchmark", no_list.alias("contaminated_train_indices"))
+        union = no_list
+    entries = summary.join(lists, "benchmark", "left").select(
+        F.struct(
+            "benchmark",
+            "test_size",
+            "contaminated_test",
+            "contamination_rate",
+            F.when(F.col("num_contaminated_train") == 0, F.array().cast("array<bigint>"))
+            .otherwise(F.col("contaminated_train_indices"))
+            .alias("contaminated_train_indices"),
+            "num_contaminated_train",
+        ).alias("entry")
     )
-    # every input below is a single row
-    return entries.crossJoin(total).crossJoin(union).select(
+    return contamination.contamination_total(found, train).select(
         F.lit(train_path).alias("training_dataset"),
         "training_size",
-        "benchmarks",
+        entries.select(F.sort_array(F.collect_list("entry"))).scalar().alias("benchmarks"),
         "total_contaminated_train",
-        "contaminated_train_indices",
+        union.alias("contaminated_train_indices"),
     )
 
 
@@ -70,7 +61,7 @@ def detect(
     bench = files.read_benchmarks(spark, bench_paths)
     found = contamination.detect(train, bench, carry=("source",))
     summary = contamination.contamination_summary(found, bench)
-    record = _detection_record(spark, train_path, train, found, summary)
+    record = _detection_record(train_path, train, found, summary)
     files.write_jsonl(record, f"{out}/contamination_summary")
     files.write_jsonl(found.flagged, f"{out}/flagged")
     pairs = ngrams.contamination_matches(train, bench)
@@ -111,17 +102,12 @@ def verify(
     train = files.number_rows(files.read_jsonl(spark, train_path, files.ROW_SCHEMA))
     bench = files.read_benchmarks(spark, bench_paths)
     per_benchmark, totals = cleaning.verify(train, bench)
-    entries = per_benchmark.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("benchmark", "test_size", "contaminated_test", "contaminated_train")
-            )
-        ).alias("benchmarks")
-    )
-    size = train.agg(F.count(F.lit(1)).alias("training_size"))
-    # every input below is a single row
-    record = size.crossJoin(entries).crossJoin(totals.select("all_clean")).select(
-        F.lit(train_path).alias("training_dataset"), "training_size", "benchmarks", "all_clean"
+    entry = F.struct("benchmark", "test_size", "contaminated_test", "contaminated_train")
+    record = train.agg(F.count(F.lit(1)).alias("training_size")).select(
+        F.lit(train_path).alias("training_dataset"),
+        "training_size",
+        per_benchmark.select(F.sort_array(F.collect_list(entry))).scalar().alias("benchmarks"),
+        totals.select("all_clean").scalar().alias("all_clean"),
     )
     files.write_jsonl(record, f"{out}/verification_summary")
     return totals

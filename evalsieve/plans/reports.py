@@ -164,10 +164,8 @@ def difficulty_pivot(
 
 def summary_grid(results: DataFrame) -> DataFrame:
     """Every model with every dataset at the full prompt; MISSING without a result."""
-    models = results.select("model").distinct()
-    datasets = results.select("dataset").distinct()
-    # the names of both sides only: one row per model and per dataset
-    grid = models.crossJoin(datasets)
+    datasets = results.select(F.array_sort(F.collect_set("dataset"))).scalar()
+    grid = results.select("model").distinct().withColumn("dataset", F.explode(datasets))
     measured = results.where(F.col("prefix_ratio") == 1.0).select(
         "model", "dataset", "accuracy", "correct", "total"
     )

@@ -52,6 +52,8 @@ def _value_bytes(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
         size = F.octet_length(c) + 16
+    elif isinstance(field.dataType, T.BinaryType):
+        size = F.octet_length(c) + 16
     elif isinstance(field.dataType, T.ArrayType) and isinstance(
         field.dataType.elementType, T.StringType
     ):
@@ -115,7 +117,8 @@ def join_lookup(
     if fits_broadcast(lookup):
         return rows.join(F.broadcast(lookup), on, how)
     if not spread_by:
-        return rows.join(lookup, on, how)
+        # hashing the lookup spares sorting the rows
+        return rows.join(lookup.hint("shuffle_hash"), on, how)
     return salted_join(rows, lookup, on, how, spread_by)
 
 

@@ -32,6 +32,22 @@ def test_clean_and_flagged_make_up_the_input(spark, both_sizes):
     )
 
 
+def test_bitmaps_remove_the_same_rows(spark):
+    """More flagged positions than may be broadcast as a list; several bitmaps."""
+    df = spark.range(200_000).withColumnRenamed("id", "row_idx")
+    flagged = df.where("row_idx % 7 = 0 or row_idx < 3 or row_idx between 32760 and 32780")
+    want = {r[0] for r in df.exceptAll(flagged).collect()}
+    spark.conf.set("spark.evalsieve.broadcastRows", "100")
+    try:
+        kept = decontaminate(df, flagged.withColumnRenamed("row_idx", "train_idx"))
+        plan = kept._jdf.queryExecution().toString()
+        assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan
+        rows = [r[0] for r in kept.collect()]
+    finally:
+        spark.conf.unset("spark.evalsieve.broadcastRows")
+    assert len(rows) == len(want) and set(rows) == want
+
+
 def test_cleaned_set_is_clean_and_cleaning_is_idempotent(spark, both_sizes):
     df, bench, _, gone, found = prepared(spark)
     kept = decontaminate(df, found.flagged_rows())
