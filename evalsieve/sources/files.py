@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,33 +35,61 @@ RESULT_COLUMNS = [field.split()[0] for field in RESULT_SCHEMA.split(", ")]
 METRICS_FILE = r"^eval_([^_]+)_(.+)_vllm\.json$"
 
 
+def _knows_row_index(scan: DataFrame) -> bool:
+    """Whether the reader gives the place of a row in its file (Parquet does)."""
+    try:
+        scan.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def _pin_splits(spark: SparkSession) -> None:
+    """Keep the way files are split, which otherwise follows the cores at hand, so
+    that losing executors cannot give a later scan other splits."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def number_rows(scan: DataFrame, name: str = "row_idx") -> DataFrame:
     """Number the rows of a file scan from 0, by file path and place in the file.
 
-    Takes a DataFrame straight from a reader. Rows of one file split are read in
-    order by one task, so a split only has to know how many rows precede it: one
-    aggregated row per split is ordered, never the data itself.
+    Takes a DataFrame straight from a reader. Parquet rows know their place in the
+    file. The rows of a text split are read in order by one task, so there a split
+    stands in for the file. Either way one aggregated row per file or split tells
+    how many rows precede it; the data itself is neither moved nor sorted.
     """
-    marked = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seen"),
-    )
-    in_order = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        marked.groupBy("_path", "_start")
+    if _knows_row_index(scan):
+        part = ["_path"]
+        marked = scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.row_index").alias("_seen"),
+        )
+    else:
+        _pin_splits(scan.sparkSession)
+        part = ["_path", "_start"]
+        marked = scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_seen"),
+        )
+    in_order = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        marked.groupBy(*part)
         .agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select(
-            "_path",
-            "_start",
+            *part,
             (F.coalesce(F.sum("_n").over(in_order), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
+    known = F.coalesce("_shift", F.raise_error(F.lit("a file changed while its rows were numbered")))
     return (
-        join_lookup(marked, settle(splits), ["_path", "_start"], spread_by=["_seen"])
-        .withColumn(name, (F.col("_seen") + F.col("_shift")).cast("long"))
-        .drop("_path", "_start", "_seen", "_shift")
+        join_lookup(marked, settle(shifts), part, "left", spread_by=["_seen"])
+        .withColumn(name, (F.col("_seen") + known).cast("long"))
+        .drop(*part, "_seen", "_shift")
     )
 
 

@@ -66,6 +66,16 @@ def test_positions_follow_path_and_place(spark, tmp_path, both_sizes):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_parquet_positions(spark, tmp_path, both_sizes):
+    """Several files and row groups; a filter does not change the numbers."""
+    path = str(tmp_path / "rows")
+    spark.range(0, 9000, numPartitions=3).write.option("parquet.block.size", "4096").parquet(path)
+    found = files.number_rows(spark.read.parquet(path))
+    assert found.where("id <> row_idx").count() == 0
+    assert sorted(r["row_idx"] for r in found.collect()) == list(range(9000))
+    assert [r["row_idx"] for r in found.where("id = 8123").collect()] == [8123]
+
+
 def test_metrics_identity_comes_from_the_file_name(spark, tmp_path):
     record = {
         "model_id": "m",
