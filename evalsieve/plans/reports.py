@@ -53,8 +53,12 @@ def _full_prompt(results: DataFrame, dataset: str) -> DataFrame:
     return results.where((F.col("dataset") == dataset) & (F.col("prefix_ratio") == 1.0))
 
 
-def _ordered_list(results: DataFrame, columns: str, rows: Sequence[tuple]) -> DataFrame:
-    return results.sparkSession.createDataFrame(list(rows), columns)
+def _ordered_list(results: DataFrame, **columns: Sequence) -> DataFrame:
+    """A short literal table, one row per position of the given lists."""
+    rows = F.arrays_zip(
+        *[F.array(*[F.lit(v) for v in values]).alias(name) for name, values in columns.items()]
+    )
+    return results.sparkSession.range(1).select(F.inline(rows))
 
 
 def model_comparison(
@@ -99,8 +103,9 @@ def family_transfer(
     """Teacher, base and student of every family; null where a model has no result."""
     wanted = _ordered_list(
         results,
-        "family string, position int, model_label string",
-        [(f, i, m) for f, members in families.items() for i, m in enumerate(members)],
+        family=[f for f, members in families.items() for _ in members],
+        position=[i for members in families.values() for i in range(len(members))],
+        model_label=[m for members in families.values() for m in members],
     )
     measured = _full_prompt(results, dataset).select(
         _label(labels), (F.col("accuracy") * 100).alias("accuracy_pct")
@@ -154,7 +159,7 @@ def difficulty_pivot(
         .agg(F.first("accuracy_pct"))
         .withColumnsRenamed(dict(datasets))
     )
-    order = _ordered_list(results, "position int, model_label string", list(enumerate(rows)))
+    order = _ordered_list(results, position=range(len(rows)), model_label=rows)
     return (
         order.join(accuracy, "model_label", "left")
         .select("position", "model_label", *[F.col(f"`{d}`") for d in datasets.values()])

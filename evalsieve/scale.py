@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,22 +31,25 @@ def limit_of(spark: SparkSession, key: str) -> int:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="evalsieve-")
-    spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="evalsieve-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, on storage that outlives an executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """Compute once and cut the lineage: written to the shared folder and read back.
+
+    The table outlives any executor, has known sizes, and later steps read only
+    the columns they need. It stays until the folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/evalsieve/{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _value_bytes(field: T.StructField) -> Column:

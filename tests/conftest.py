@@ -28,9 +28,12 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
-def both_sizes(request, spark):
-    """Run a test with small lookups broadcast, and again as if none would fit."""
+@pytest.fixture(params=["broadcast", "partly", "shuffle"])
+def all_sizes(request, spark):
+    """Run a test with small lookups broadcast, with only the smallest of them, and
+    as if none would fit."""
+    if request.param == "partly":
+        spark.conf.set("spark.evalsieve.broadcastBytes", "20000")
     if request.param == "shuffle":
         spark.conf.set("spark.evalsieve.broadcastRows", "0")
         spark.conf.set("spark.evalsieve.salts", "3")
@@ -38,6 +41,7 @@ def both_sizes(request, spark):
     yield request.param
     for key in (
         "spark.evalsieve.broadcastRows",
+        "spark.evalsieve.broadcastBytes",
         "spark.evalsieve.salts",
         "spark.sql.autoBroadcastJoinThreshold",
     ):

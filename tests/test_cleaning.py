@@ -22,7 +22,7 @@ def prepared(spark):
     return df, bench, sources, {j for _, _, j in want}, detect(df, bench, carry=["source"])
 
 
-def test_clean_and_flagged_make_up_the_input(spark, both_sizes):
+def test_clean_and_flagged_make_up_the_input(spark, all_sizes):
     df, bench, sources, gone, found = prepared(spark)
     kept = decontaminate(df, found.flagged_rows())
     assert {r["row_idx"] for r in kept.collect()} == set(range(len(sources))) - gone
@@ -48,7 +48,7 @@ def test_bitmaps_remove_the_same_rows(spark):
     assert len(rows) == len(want) and set(rows) == want
 
 
-def test_cleaned_set_is_clean_and_cleaning_is_idempotent(spark, both_sizes):
+def test_cleaned_set_is_clean_and_cleaning_is_idempotent(spark, all_sizes):
     df, bench, _, gone, found = prepared(spark)
     kept = decontaminate(df, found.flagged_rows())
     per_benchmark, totals = verify(kept, bench)

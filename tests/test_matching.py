@@ -79,7 +79,7 @@ def test_lengths_are_per_benchmark(spark):
     assert found["one"] == 8 and found["two"] == 13
 
 
-def test_pairs_match_brute_force(spark, both_sizes):
+def test_pairs_match_brute_force(spark, all_sizes):
     train, items = corpus()
     lengths = {b: percentile_n(t) for b, t in items.items()}
     found = contamination_matches(make_train(spark, train), make_bench(spark, items))
@@ -90,7 +90,7 @@ def test_pairs_match_brute_force(spark, both_sizes):
 
 
 @pytest.mark.parametrize("n", [1, 3, 4, 5, 13])
-def test_given_length(spark, both_sizes, n):
+def test_given_length(spark, all_sizes, n):
     rng = random.Random(SEED)
     train = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 40))) for _ in range(40)]
     items = {"x": [" ".join(rng.choices("abcdefghi", k=rng.randint(0, 9))) for _ in range(12)]}
@@ -99,7 +99,7 @@ def test_given_length(spark, both_sizes, n):
     assert {tuple(r) for r in found.collect()} == brute_pairs(train, items, {"x": n})
 
 
-def test_positions_match_brute_force(spark, both_sizes):
+def test_positions_match_brute_force(spark, all_sizes):
     train, items = corpus()
     found = ngram_matches(make_train(spark, train), make_bench(spark, items), n=9)
     want = {
@@ -127,7 +127,7 @@ def test_closing_phrase_matches_at_13_words_and_not_at_12(spark):
     assert {r["train_idx"] for r in found.collect()} == {0}
 
 
-def test_detection_agrees_with_pairs(spark, both_sizes):
+def test_detection_agrees_with_pairs(spark, all_sizes):
     train, items = corpus()
     items["none"] = ["z " * 20]
     sources = [f"s{i % 3}" for i in range(len(train))]
@@ -156,7 +156,7 @@ def test_detection_agrees_with_pairs(spark, both_sizes):
     assert total["contaminated_pct"] == union / len(train) * 100
 
 
-def test_pair_reports(spark, both_sizes):
+def test_pair_reports(spark, all_sizes):
     train, items = corpus()
     sources = [f"s{i % 3}" for i in range(len(train))]
     want = brute_pairs(train, items, {b: percentile_n(t) for b, t in items.items()})
@@ -178,7 +178,7 @@ def test_pair_reports(spark, both_sizes):
         )
 
 
-def test_phrase_shared_by_most_rows(spark, both_sizes):
+def test_phrase_shared_by_most_rows(spark, all_sizes):
     """A hot n-gram: most rows and items share one sentence."""
     phrase = " ".join(f"w{i}" for i in range(13))
     train = [f"{phrase} row {i}" for i in range(400)] + [f"row {i} only" for i in range(100)]
@@ -198,7 +198,7 @@ def test_tokenizer_argument(spark):
     assert {r["train_idx"] for r in custom.collect()} == {0, 1}
 
 
-def test_items_too_short_are_never_flagged(spark, both_sizes):
+def test_items_too_short_are_never_flagged(spark, all_sizes):
     train = make_train(spark, ["a b c", "a b c d e f g h i j"])
     bench = make_bench(spark, {"b": ["a b c", "d e"]})
     found = detect(train, bench)

@@ -48,7 +48,7 @@ def draws(seed, ids):
 
 
 @pytest.mark.parametrize("k", [1, 37, 2000])
-def test_sample_is_exact_and_reproducible(spark, both_sizes, k):
+def test_sample_is_exact_and_reproducible(spark, all_sizes, k):
     """One source holds most rows; another is smaller than k; one has no name."""
     sizes = {"hot": 4000, "mid": 300, "tiny": 3, None: 50}
     found = stratified_sample(pool(spark, sizes), k=k, seed=42).collect()

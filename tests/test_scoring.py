@@ -91,7 +91,7 @@ def test_grid(spark):
     assert all(f"\n{r['shown']}\n" in r["prompt"] for r in grid)
 
 
-def test_rows_match_brute_force(spark, both_sizes):
+def test_rows_match_brute_force(spark, all_sizes):
     questions, completions = case()
     grid = prefix_grid(spark.createDataFrame(questions, QUESTIONS))
     rows = memorization(score(grid, spark.createDataFrame(completions, COMPLETIONS))).collect()

@@ -44,7 +44,7 @@ def test_jsonl_skips_blank_lines_and_keeps_text(spark, tmp_path):
     assert "é" in text and text.count("\n") == 2
 
 
-def test_positions_follow_path_and_place(spark, tmp_path, both_sizes):
+def test_positions_follow_path_and_place(spark, tmp_path, all_sizes):
     """Files of very different sizes: tasks do not read them in path order."""
     want = []
     for name, n in (("a", 3), ("b", 40_000), ("c", 1), ("d", 500)):
@@ -56,7 +56,7 @@ def test_positions_follow_path_and_place(spark, tmp_path, both_sizes):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
     try:
         found = files.number_rows(files.read_jsonl(spark, str(tmp_path)))
-        if both_sizes == "broadcast":
+        if all_sizes != "shuffle":
             assert found.rdd.getNumPartitions() > 4
         assert [r[0] for r in found.orderBy("row_idx").select("question").collect()] == want
         assert found.agg(F.max("row_idx")).first()[0] == len(want) - 1
@@ -66,7 +66,7 @@ def test_positions_follow_path_and_place(spark, tmp_path, both_sizes):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_parquet_positions(spark, tmp_path, both_sizes):
+def test_parquet_positions(spark, tmp_path, all_sizes):
     """Several files and row groups; a filter does not change the numbers."""
     path = str(tmp_path / "rows")
     spark.range(0, 9000, numPartitions=3).write.option("parquet.block.size", "4096").parquet(path)
