@@ -8,35 +8,13 @@ from pyspark.sql import functions as F
 from evalsieve.functions.text import tokenize
 from evalsieve.operators.contamination import Detection, contamination_summary, detect
 from evalsieve.operators.ngrams import Tokenizer
-from evalsieve.scale import fits_broadcast
+from evalsieve.operators.positions import drop_rows
 
 
 def decontaminate(train: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Training rows whose position is not flagged.
-
-    `flagged` holds one train_idx per removed row. Texts stay where they are as
-    long as the flagged positions fit a broadcast, as a list or, one bit per
-    position, as bitmaps. Beyond that both sides are shuffled once, on the unique
-    position, so no task receives more than its share.
-    """
-    removed = flagged.select(F.col("train_idx").alias("row_idx"))
-    if fits_broadcast(removed):
-        return train.join(F.broadcast(removed), "row_idx", "left_anti")
-    bitmaps = removed.groupBy(F.bitmap_bucket_number("row_idx").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("row_idx")).alias("_bits")
-    )
-    if fits_broadcast(bitmaps):
-        bit = F.bitmap_bit_position("row_idx")
-        byte = F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
-        is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (bit % 8).cast("int")) == 1
-        return (
-            train.withColumn("_bucket", F.bitmap_bucket_number("row_idx"))
-            .join(F.broadcast(bitmaps), "_bucket", "left")
-            .where(F.col("_bits").isNull() | ~is_set)
-            .drop("_bucket", "_bits")
-        )
-    # hashing the positions spares sorting the texts
-    return train.join(removed.hint("shuffle_hash"), "row_idx", "left_anti")
+    """Training rows whose position is not flagged; `flagged` holds one train_idx per
+    removed row."""
+    return drop_rows(train, flagged)
 
 
 def clean_indices(train: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
 from evalsieve.operators.ngrams import Tokenizer, settled_terms, train_hits
+from evalsieve.operators.positions import keep_rows
 from evalsieve.scale import join_lookup, settle
 
 
@@ -119,14 +120,17 @@ def match_details(pairs: DataFrame, train: DataFrame, bench: DataFrame) -> DataF
     before any text moves, and a row with many partners is spread over tasks.
     """
     pairs = settle(pairs.select("benchmark", "test_idx", "train_idx"))
-    rows = train.select(
-        F.col("row_idx").alias("train_idx"),
-        F.col("id").alias("train_id"),
-        F.col("source").alias("train_source"),
-        F.col("prompt").alias("train_prompt"),
+    matched = keep_rows(
+        train.select("row_idx", "id", "source", "prompt"), pairs.select("train_idx").distinct()
+    )
+    rows = settle(
+        matched.select(
+            F.col("row_idx").alias("train_idx"),
+            F.col("id").alias("train_id"),
+            F.col("source").alias("train_source"),
+            F.col("prompt").alias("train_prompt"),
+        )
     )
-    matched = pairs.select("train_idx").distinct()
-    rows = settle(join_lookup(rows, matched, ["train_idx"], "left_semi"))
     items = bench.select(
         "benchmark", "test_idx", F.col("id").alias("test_id"), F.col("prompt").alias("test_prompt")
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from evalsieve.operators import cleaning, contamination, ngrams, preparing, scoring
 from evalsieve.operators.completing import Generator, batch_complete
+from evalsieve.operators.positions import keep_rows
+from evalsieve.scale import settle
 from evalsieve.sources import files
 
 # Flagged positions are listed inside the summary record up to this many; they are
@@ -64,9 +66,11 @@ def detect(
     record = _detection_record(train_path, train, found, summary)
     files.write_jsonl(record, f"{out}/contamination_summary")
     files.write_jsonl(found.flagged, f"{out}/flagged")
-    pairs = ngrams.contamination_matches(train, bench)
+    # pairs need another look at the flagged texts only
+    texts = settle(keep_rows(train, found.flagged.select("train_idx").distinct()))
+    pairs = ngrams.contamination_matches(texts, bench)
     files.write_jsonl(
-        contamination.match_details(pairs, train, bench), f"{out}/contamination_matches"
+        contamination.match_details(pairs, texts, bench), f"{out}/contamination_matches"
     )
     return summary
 

@@ -12,6 +12,7 @@ from evalsieve import (
 )
 from evalsieve.operators.cleaning import verification_totals
 from evalsieve.operators.contamination import Detection
+from evalsieve.operators.positions import keep_rows
 
 
 def prepared(spark):
@@ -32,20 +33,25 @@ def test_clean_and_flagged_make_up_the_input(spark, all_sizes):
     )
 
 
-def test_bitmaps_remove_the_same_rows(spark):
+def test_bitmaps_select_the_same_rows(spark):
     """More flagged positions than may be broadcast as a list; several bitmaps."""
     df = spark.range(200_000).withColumnRenamed("id", "row_idx")
     flagged = df.where("row_idx % 7 = 0 or row_idx < 3 or row_idx between 32760 and 32780")
-    want = {r[0] for r in df.exceptAll(flagged).collect()}
+    gone = {r[0] for r in flagged.collect()}
+    positions = flagged.withColumnRenamed("row_idx", "train_idx")
     spark.conf.set("spark.evalsieve.broadcastRows", "100")
     try:
-        kept = decontaminate(df, flagged.withColumnRenamed("row_idx", "train_idx"))
-        plan = kept._jdf.queryExecution().toString()
-        assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan
-        rows = [r[0] for r in kept.collect()]
+        for select, want in (
+            (decontaminate, set(range(200_000)) - gone),
+            (keep_rows, gone),
+        ):
+            df_out = select(df, positions)
+            plan = df_out._jdf.queryExecution().toString()
+            assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan
+            rows = [r[0] for r in df_out.collect()]
+            assert len(rows) == len(want) and set(rows) == want
     finally:
         spark.conf.unset("spark.evalsieve.broadcastRows")
-    assert len(rows) == len(want) and set(rows) == want
 
 
 def test_cleaned_set_is_clean_and_cleaning_is_idempotent(spark, all_sizes):

@@ -1,0 +1,106 @@
+"""The plans that matter at scale, as Spark makes them."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import evalsieve.operators.contamination as contamination
+from checks import tables
+from checks.queries import REGISTRY
+from evalsieve import decontaminate, detect
+
+SF_DIR = "/root/testdata/sf0.001"
+PYTHON_QUERIES = {
+    "batch_complete",
+    "memorization_scores",
+    "predictions_map",
+    "eval_metrics",
+    "flatten_metrics",
+    "results_csv",
+    "model_comparison",
+    "accuracy_curve",
+    "family_transfer",
+    "format_quality",
+    "memorization_curve",
+    "difficulty_pivot",
+    "summary_grid",
+    "completeness",
+}
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def detection_plan(spark, monkeypatch) -> str:
+    """Plan of the one pass over the training texts."""
+    plans = []
+    settle = contamination.settle
+    monkeypatch.setattr(
+        contamination, "settle", lambda df: (plans.append(plan_of(df)), settle(df))[1]
+    )
+    detect(tables.training(spark, SF_DIR), tables.benchmarks(spark, SF_DIR), carry=["source"])
+    return plans[-1]
+
+
+def test_detection_is_map_only_up_to_the_grouped_results(spark, monkeypatch):
+    plan = detection_plan(spark, monkeypatch)
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    on_texts = plan[: plan.index("documents.parquet")]
+    # the only exchange above the scan carries the grouped results
+    exchanges = [
+        line for line in on_texts.splitlines() if "Exchange hashpartitioning" in line
+    ]
+    assert len(exchanges) == 1 and "spark_grouping_id" in exchanges[0]
+    assert plan.count("split(lower(") == 1  # texts are split into words once
+    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
+
+
+def test_without_broadcast_pairs_of_keys_are_salted(spark, monkeypatch):
+    spark.conf.set("spark.evalsieve.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = detection_plan(spark, monkeypatch)
+    finally:
+        spark.conf.unset("spark.evalsieve.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"SortMergeJoin \[ngram#\d+, _salt#\d+L\]", plan)
+
+
+def test_removal_does_not_sort_texts(spark):
+    train = tables.training(spark, SF_DIR)
+    flagged = train.selectExpr("row_idx as train_idx").where("train_idx % 2 = 0")
+    assert "LeftAnti, BuildRight" in plan_of(decontaminate(train, flagged))
+    spark.conf.set("spark.evalsieve.broadcastRows", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(decontaminate(train, flagged))
+    finally:
+        spark.conf.unset("spark.evalsieve.broadcastRows")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(REGISTRY))
+def test_no_cross_joins_and_python_only_where_needed(spark, name):
+    plan = plan_of(REGISTRY[name](spark, SF_DIR))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    uses_python = "EvalPython" in plan or "MapInPandas" in plan
+    assert uses_python <= (name in PYTHON_QUERIES)
+
+
+@pytest.mark.parametrize(
+    "name, columns",
+    [
+        ("source_counts", "source:string"),
+        ("prompt_shards", "doc_id:bigint"),
+        ("stratified_sample", "doc_id:bigint,source:string"),
+        ("clean_indices", "doc_id:bigint"),
+    ],
+)
+def test_only_needed_columns_are_read(spark, name, columns):
+    plan = plan_of(REGISTRY[name](spark, SF_DIR))
+    reads = re.findall(r"documents\.parquet\].*?ReadSchema: struct<(.*?)>", plan)
+    assert set(reads) <= {columns, columns.split(",")[-1]} and columns in reads
