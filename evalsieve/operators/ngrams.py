@@ -126,34 +126,51 @@ def _shared_window_rows(
 
     def run_hashes(tokens: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - width + 1),
-            lambda i: F.xxhash64(F.slice(tokens, i, width)),
+            F.sequence(F.lit(0), F.size(tokens) - width), lambda i: _start_hash(tokens, i, width)
         )
 
-    def marks_of(n: int) -> Column:
-        span = n - width + 1
-        smallest = F.transform(
-            F.sequence(F.lit(1), F.size("_runs") - span + 1),
-            lambda i: F.array_min(F.slice(F.col("_runs"), i, span)),
-        )
-        marks = F.transform(
-            F.array_distinct(smallest), lambda m: F.struct(F.lit(n).alias("n"), m.alias("_mark"))
+    def marked_with(n: int, marks: Column) -> Column:
+        return F.transform(
+            F.array_distinct(marks), lambda m: F.struct(F.lit(n).alias("n"), m.alias("_mark"))
         )
-        return F.when(F.size("_runs") >= span, marks)
 
-    runs = (
+    rows = (
         train.select(key, tokenizer(F.col(text)).alias("_tokens"))
         .where(F.size("_tokens") >= min(lengths))
         .select(key, run_hashes(F.col("_tokens")).alias("_runs"))
     )
-    per_length = F.array_compact(F.array(*[marks_of(n) for n in lengths]))
-    marked = runs.select(key, F.inline(F.flatten(per_length)))
+    marks = []
+    for n in lengths:
+        span = n - width + 1
+        name = f"_least{n}"
+        rows = rows.withColumn(name, F.when(F.size("_runs") >= span, F.col("_runs")))
+        # minima of 2, 4, ... neighbours, then two overlapping ones make up the span
+        for step in _doubling(span):
+            rows = rows.withColumn(
+                name,
+                F.zip_with(
+                    name,
+                    F.slice(name, F.lit(step + 1), F.size(name) - step),
+                    lambda a, b: F.least(a, b),
+                ),
+            )
+        marks.append(marked_with(n, F.slice(name, F.lit(1), F.size(name) - span + 1)))
+    marked = rows.select(key, F.inline(F.flatten(F.array_compact(F.array(*marks)))))
     wanted = dictionary.select(
         "n", F.array_min(run_hashes(F.col("ngram"))).alias("_mark")
     ).distinct()
     return join_lookup(marked, wanted, ["n", "_mark"], "left_semi", [key]).select(key).distinct()
 
 
+def _doubling(span: int) -> list[int]:
+    """Distances at which pairwise minima add up to minima of `span` neighbours."""
+    steps, covered = [], 1
+    while covered < span:
+        steps.append(min(covered, span - covered))
+        covered += steps[-1]
+    return steps
+
+
 def train_hits(
     train: DataFrame,
     dictionary: DataFrame,
