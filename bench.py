@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 from checks.queries import REGISTRY
 
 HEADLINE = [
-    "tokenize_texts",
+    "tokenize",
     "contamination_matches",
     "contamination_summary",
     "match_details",

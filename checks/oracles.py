@@ -225,7 +225,7 @@ TEACHER = f"""turn_pairs AS (
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 ORACLES: dict[str, str] = {
-    "tokenize_texts": f"""SELECT doc_id AS row_idx, len({words("lower(text)")}) AS n_tokens,
+    "tokenize": f"""SELECT doc_id AS row_idx, len({words("lower(text)")}) AS n_tokens,
   array_to_string({words("lower(text)")}, ' ') AS tokens FROM documents""",
     "prefix_truncate": f"""WITH {RATIOS}, cut AS (
   SELECT doc_id, ratio, text, {shown("text")} AS shown FROM documents CROSS JOIN ratios)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.tables import benchmarks, completions, questions, table, training, training_texts
+from evalsieve.functions import text
 from evalsieve.functions.text import (
     boxed,
     build_prompt,
@@ -18,7 +19,6 @@ from evalsieve.functions.text import (
     prefix,
     short_model_name,
     tail,
-    tokenize,
 )
 from evalsieve.operators import cleaning, completing, contamination, ngrams, preparing, scoring
 from evalsieve.plans import reports
@@ -49,8 +49,8 @@ def report(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 @query
-def tokenize_texts(spark, sf_dir):
-    tokens = tokenize("prompt")
+def tokenize(spark, sf_dir):
+    tokens = text.tokenize("prompt")
     return training_texts(spark, sf_dir).select(
         "row_idx",
         F.size(tokens).cast("long").alias("n_tokens"),

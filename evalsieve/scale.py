@@ -45,11 +45,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: written to the shared folder and read back.
 
     The table outlives any executor, has known sizes, and later steps read only
-    the columns they need. It stays until the folder is cleaned.
+    the columns they need. It stays, under the name of the application, until the
+    folder is cleaned.
     """
-    path = f"{shared_folder(df.sparkSession)}/evalsieve/{uuid4()}"
+    spark = df.sparkSession
+    application = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/evalsieve-{application}/{uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _value_bytes(field: T.StructField) -> Column:
