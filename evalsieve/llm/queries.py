@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing
+from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.drop("lang", "source", "n_lines")
+
+
+ORACLES["op1_quality_rules"] = quality_rules_sql.SQL
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     pieces = packing.token_pieces(
