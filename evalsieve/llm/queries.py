@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql
+from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql, simhash
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,13 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(settle(pieces))
 
 
+@query
+def op7_simhash(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+    digits = F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query
 def op10_bpe(spark, sf_dir):
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
