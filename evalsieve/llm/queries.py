@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql, simhash
+from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql, secrets, simhash
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,26 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(settle(pieces))
 
 
+def _listed(spans):
+    """Spans as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _number_of(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[_number_of(F.col("base"), kind) for kind in secrets.KINDS],
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op7_simhash(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=2)
