@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, quality_rules, quality_rules_sql, secrets, simhash
+from evalsieve.llm import bpe, packing, pii, quality_rules, quality_rules_sql, secrets, simhash
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,17 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op8_pii(spark, sf_dir):
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[_number_of(F.col("base"), kind) for kind in pii.KINDS],
+        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_bpe(spark, sf_dir):
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
