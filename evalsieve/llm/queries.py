@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, pii, quality_rules, quality_rules_sql, secrets, simhash
+from evalsieve.llm import bpe, packing, pii, quality_classifier, quality_rules, quality_rules_sql, secrets, simhash
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op4_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_simhash(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents"), words=3, radius=2)
