@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, pii, quality_classifier, quality_rules, quality_rules_sql, secrets, simhash
+from evalsieve.llm import bpe, packing, pii, quality_classifier, quality_rules, quality_rules_sql, secrets, simhash, topk
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,25 @@ def op8_pii(spark, sf_dir):
     )
 
 
+@query
+def op9_block_topk(spark, sf_dir):
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+ORACLES["op9_block_topk"] = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 20
+"""
+
+
 @query
 def op10_bpe(spark, sf_dir):
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
