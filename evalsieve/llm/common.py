@@ -48,6 +48,40 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def rewrite(df: DataFrame, fn: Callable[..., dict[str, list]], needs: list[str], makes: str) -> DataFrame:
+    """`df` with the columns that `fn` makes of lists of the needed ones, replaced or added; all
+    other columns pass through untouched."""
+    made = T._parse_datatype_string(makes).fields
+    names = [f.name for f in made]
+    replaced = {f.name: f for f in made}
+    kept = [replaced.get(f.name, f) for f in df.schema.fields]
+    schema = T.StructType([*kept, *[f for f in made if f.name not in df.columns]])
+    order = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = fn(*[batch.column(n).to_pylist() for n in needs])
+            arrays = [
+                pa.array(out[n], type=_arrow_type(replaced[n].dataType)) if n in names else batch.column(n)
+                for n in order
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=order)
+
+    return df.mapInArrow(run, schema)
+
+
+def gaps(length: int, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ordered spans, some of which may lie in others, leave of a text."""
+    at, out = 0, []
+    for start, end in spans:
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    if length > at:
+        out.append((at, length))
+    return out
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))

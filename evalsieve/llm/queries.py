@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, packing, pii, quality_classifier, quality_rules, quality_rules_sql, secrets, simhash, topk
+from evalsieve.llm import bpe, line_templates, packing, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, simhash, topk
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,21 @@ def op1_quality_rules(spark, sf_dir):
 ORACLES["op1_quality_rules"] = quality_rules_sql.SQL
 
 
+@query
+def op2_repeated_units(spark, sf_dir):
+    cut = repeated_units.remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"], s["kept_doc_id"], s["kept_start"]))
+    return cut.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+        "text",
+    )
+
+
+ORACLES["op2_repeated_units"] = repeated_units.SQL
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     pieces = packing.token_pieces(
@@ -65,6 +80,12 @@ def op4_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op5_line_templates(spark, sf_dir):
+    cut = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "text")
+
+
 @query
 def op6_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
