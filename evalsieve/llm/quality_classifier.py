@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import ids_and_texts, map_batches
+from evalsieve.llm.common import ids_and_texts, map_batches, rewrite
 
 #: Features are hashed to two to this power.
 BITS = 17
@@ -194,27 +194,35 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return None if model is None else (ratios, np.frombuffer(model["weights"]), model["bias"])
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id and score, from 0 to 1, of every document; a null text counts as empty.
-
-    Without a model every score is 0.5. Rows are scored one by one.
-    """
-    ids = ids_and_texts(docs)
+def _scores(texts: list, model) -> list[float]:
+    """A null text counts as empty; without a model every score is 0.5."""
     if model is None:
-        return ids.select("doc_id", F.lit(0.5).alias("score"))
+        return [0.5] * len(texts)
     ratios, weights, bias = model
     squared, product = (ratios**2).astype(np.float32), (ratios * weights).astype(np.float32)
+    out = []
+    for text in texts:
+        own = features(text or "")
+        norm = float(np.sqrt(squared[own].sum(dtype=np.float64)))
+        margin = bias + (float(product[own].sum(dtype=np.float64)) / norm if norm > 0 else 0.0)
+        out.append(float(1 / (1 + np.exp(-4 * margin))))
+    return out
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id and score, from 0 to 1, of every document. Rows are scored one by one."""
+    return map_batches(
+        ids_and_texts(docs),
+        lambda columns: {"doc_id": columns["doc_id"], "score": _scores(columns["text"], model)},
+        "doc_id long, score double",
+    )
 
-    def run(columns):
-        out = []
-        for text in columns["text"]:
-            own = features(text or "")
-            norm = float(np.sqrt(squared[own].sum(dtype=np.float64)))
-            margin = bias + (float(product[own].sum(dtype=np.float64)) / norm if norm > 0 else 0.0)
-            out.append(float(1 / (1 + np.exp(-4 * margin))))
-        return {"doc_id": columns["doc_id"], "score": out}
 
-    return map_batches(ids, run, "doc_id long, score double")
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that are predicted good, with all their columns; texts are not shuffled."""
+    model = fit(docs, labels, sample)
+    scored = rewrite(docs, lambda texts: {"_score": _scores(texts, model)}, ["text"], "_score double")
+    return scored.where(F.col("_score") >= 0.5).drop("_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

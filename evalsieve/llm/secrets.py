@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import ids_and_texts, map_batches
+from evalsieve.llm.common import gaps, ids_and_texts, map_batches, rewrite
 from evalsieve.scale import settle
 
 #: The rules' kinds, in the order in which equal starts are listed.
@@ -70,6 +70,15 @@ def _rules(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def _scan_text(text: str) -> tuple[list, list]:
+    """The rules' matches, and the candidates (start, end) that none of them touches."""
+    found = _rules(text)
+    own = [(m.start(), m.end()) for m in _CANDIDATE.finditer(text)]
+    if found and own:
+        own = [(a, b) for a, b in own if not any(a < e and s < b for s, _, e, _ in found)]
+    return found, own
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, the rules' spans and values, and the candidates that no rule touches."""
 
@@ -77,12 +86,9 @@ def scan(docs: DataFrame) -> DataFrame:
         base, values, candidates = [], [], []
         for text in columns["text"]:
             text = text or ""
-            found = _rules(text)
+            found, own = _scan_text(text)
             base.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b, _ in found])
             values.append([{"kind": KINDS[k], "value": v} for _, k, _, v in found])
-            own = [(m.start(), m.end()) for m in _CANDIDATE.finditer(text)]
-            if found and own:
-                own = [(a, b) for a, b in own if not any(a < e and s < b for s, _, e, _ in found)]
             candidates.append([{"start": a, "end": b, "value": text[a:b]} for a, b in own])
         return {"doc_id": columns["doc_id"], "base": base, "vals": values, "candidates": candidates}
 
@@ -240,6 +246,30 @@ def log_likelihoods(values: list[str], tables: list[tuple[np.ndarray, np.ndarray
     return out
 
 
+class Formats:
+    """The learned automata as a judge of candidates."""
+
+    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.kinds = [k for k in KINDS if k in model and "" in model]
+        self.tables = [model[k] for k in ("", *self.kinds)] if self.kinds else []
+        for _, log in self.tables[1:]:
+            log[-1] = OUTSIDE
+
+    def kinds_of(self, values: list[str]) -> dict[str, str]:
+        """The kind of every value that one explains far better than ordinary text."""
+        distinct = list(dict.fromkeys(values))
+        if not distinct or not self.kinds:
+            return {}
+        scores = log_likelihoods(distinct, self.tables)
+        best = scores[:, 1:].argmax(axis=1)
+        gain = scores[np.arange(len(distinct)), 1 + best] - scores[:, 0]
+        return {
+            v: f"like_{self.kinds[k]}"
+            for v, k, g in zip(distinct, best.tolist(), gain.tolist())
+            if g >= max(MARGIN, MARGIN_PER_CHAR * len(v))
+        }
+
+
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, base and spans: the rules' spans, and all spans with those of the automata.
 
@@ -248,31 +278,43 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     repeated rows give repeated results; without labelled values nothing is added.
     """
     scanned = settle(scan(docs))
-    model = learn(scanned, sample)
-    kinds = [k for k in KINDS if k in model]
-    if not kinds or "" not in model:
-        return scanned.select("doc_id", "base", F.col("base").alias("spans"))
-    tables = [model[k] for k in ("", *kinds)]
-    for _, log in tables[1:]:
-        log[-1] = OUTSIDE
+    formats = Formats(learn(scanned, sample))
     rank = dict(zip((*KINDS, *(f"like_{k}" for k in KINDS)), count()))
 
     def run(columns):
-        flat = [c["value"] for own in columns["candidates"] for c in own]
-        distinct = {v: i for i, v in enumerate(dict.fromkeys(flat))}
-        scores = log_likelihoods(list(distinct), tables) if flat else np.zeros((0, len(tables)))
-        best = scores[:, 1:].argmax(axis=1) if flat else []
+        kinds = formats.kinds_of([c["value"] for own in columns["candidates"] for c in own])
         spans = []
         for base, own in zip(columns["base"], columns["candidates"]):
-            all_spans = list(base)
-            for c in own:
-                i = distinct[c["value"]]
-                gain = scores[i, 1 + best[i]] - scores[i, 0]
-                if gain >= max(MARGIN, MARGIN_PER_CHAR * (c["end"] - c["start"])):
-                    all_spans.append({"kind": f"like_{kinds[best[i]]}", "start": c["start"], "end": c["end"]})
-            spans.append(sorted(all_spans, key=lambda s: (s["start"], rank[s["kind"]])))
+            added = [
+                {"kind": kinds[c["value"]], "start": c["start"], "end": c["end"]} for c in own if c["value"] in kinds
+            ]
+            spans.append(sorted([*base, *added], key=lambda s: (s["start"], rank[s["kind"]])))
         return {"doc_id": columns["doc_id"], "base": columns["base"], "spans": spans}
 
     schema = f"doc_id long, base array<{_SPAN}>, spans array<{_SPAN}>"
     return map_batches(scanned.select("doc_id", "base", "candidates"), run, schema)
 
+
+def mask_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str = "<secret>") -> DataFrame:
+    """`docs` with all columns and rows, and in `text` the mark in place of every span that
+    find_secrets gives (of overlapping ones, of all that they cover). A null text stays null."""
+    formats = Formats(learn(settle(scan(docs).drop("base")), sample))
+
+    def masked(texts):
+        scanned = [_scan_text(t or "") for t in texts]
+        kinds = formats.kinds_of([t[a:b] for t, (_, own) in zip(texts, scanned) for a, b in own])
+        out = []
+        for text, (found, own) in zip(texts, scanned):
+            spans = [(a, b) for a, _, b, _ in found] + [(a, b) for a, b in own if text[a:b] in kinds]
+            if spans:
+                left = gaps(len(text), sorted(spans))
+                edges = [0, *(e for gap in left for e in gap), len(text)]
+                # between two gaps, before the first and after the last lies a covered stretch
+                text = "".join(
+                    text[edges[i] : edges[i + 1]] if i % 2 else mark if edges[i] < edges[i + 1] else ""
+                    for i in range(len(edges) - 1)
+                )
+            out.append(text)
+        return {"text": out}
+
+    return rewrite(docs.withColumn("text", F.col("text").cast("string")), masked, ["text"], "text string")
