@@ -26,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, but a document that has nothing else keeps its text."""
-    cut = line_templates.drop_recurring(docs.withColumn("_whole", F.col("text")))
+    cut = line_templates.drop_recurring(docs.withColumn("_llm_whole", F.col("text")))
     nothing = (F.size("dropped") > 0) & ~F.col("text").rlike(r"\S")
-    text = F.when(nothing, F.col("_whole")).otherwise(F.col("text"))
+    text = F.when(nothing, F.col("_llm_whole")).otherwise(F.col("text"))
     return _counted(cut.withColumn("text", text)).select(*docs.columns)
 
 

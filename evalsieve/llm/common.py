@@ -1,4 +1,8 @@
-"""Small helpers shared by the operators of this folder."""
+"""Small helpers shared by the operators of this folder.
+
+Operators read the columns that they name and take tables with any further ones. Names that
+begin with `_llm_` are theirs: they add such columns to a table and drop them again.
+"""
 
 from __future__ import annotations
 
@@ -20,26 +24,37 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`_id` and `_text` name a document for joins: equal rows are one document, also
+    """`_llm_id` and `_llm_text` name a document for joins: equal rows are one document, also
     without a doc_id; rows that only share a doc_id are not."""
     return docs.withColumns(
         {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")),
-            "_text": F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull()),
+            "_llm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")),
+            "_llm_text": F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull()),
         }
     )
 
 
+#: Rows that are Python values at a time.
+SLICE = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Iterable]], schema: str
 ) -> DataFrame:
-    """Apply `fn` to Arrow batches as columns of Python values; it may give any number of rows."""
+    """Apply `fn` to Arrow batches, SLICE rows at a time, as columns of Python values; it may
+    give any number of rows."""
     fields = pa.schema(
         [pa.field(f.name, _arrow_type(f.dataType)) for f in T._parse_datatype_string(schema).fields]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], type=f.type) for f in fields], schema=fields
@@ -59,7 +74,7 @@ def rewrite(df: DataFrame, fn: Callable[..., dict[str, list]], needs: list[str],
     order = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = fn(*[batch.column(n).to_pylist() for n in needs])
             arrays = [
                 pa.array(out[n], type=_arrow_type(replaced[n].dataType)) if n in names else batch.column(n)

@@ -48,9 +48,9 @@ def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     which small changes further on leave alone."""
 
     def run(columns):
-        names = ("_id", "_text", "line", "start", "end", "leaf", "own", "before", "after", "masked")
+        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own", "before", "after", "masked")
         out: dict[str, list] = {n: [] for n in names}
-        for key, text_hash, text in zip(columns["_id"], columns["_text"], columns["text"]):
+        for key, text_hash, text in zip(columns["_llm_id"], columns["_llm_text"], columns["text"]):
             rows, at = [], 0
             for number, line in enumerate((text or "").split("\n")):
                 tokens = line.split()
@@ -72,8 +72,8 @@ def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
         return out
 
     return map_batches(
-        keyed(docs).select("_id", "_text", F.col("text").cast("string").alias("text")), run,
-        "_id long, _text long, line int, start long, end long, leaf long, own long, before long, "
+        keyed(docs).select("_llm_id", "_llm_text", F.col("text").cast("string").alias("text")), run,
+        "_llm_id long, _llm_text long, line int, start long, end long, leaf long, own long, before long, "
         "after long, masked string",
     )
 
@@ -121,12 +121,12 @@ def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS,
     )
     pairs = named.groupBy("template", "before", "after").agg(F.lit(1).alias("_")).groupBy("template").agg(
         F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= neighbours)
-    texts = named.groupBy("template", "_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
+    texts = named.groupBy("template", "_llm_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
         F.count(F.lit(1)).alias("texts"))
     recurring = pairs.join(texts, "template").where(
         (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template")
     return named.join(recurring, "template", "left_semi").select(
-        "_id", "_text", "line", "start", "end", "template")
+        "_llm_id", "_llm_text", "line", "start", "end", "template")
 
 
 def drop_recurring(docs: DataFrame, **limits) -> DataFrame:
@@ -137,11 +137,11 @@ def drop_recurring(docs: DataFrame, **limits) -> DataFrame:
     every row is returned, also if nothing is left of its text.
     """
     spans = F.struct("line", "start", "end", "template")
-    gone = recurring_lines(docs, **limits).groupBy("_id", "_text").agg(
-        F.array_sort(F.collect_set(spans)).alias("_dropped"))
-    joined = keyed(docs.drop("dropped")).join(gone, ["_id", "_text"], "left").drop("_id", "_text")
+    gone = recurring_lines(docs, **limits).groupBy("_llm_id", "_llm_text").agg(
+        F.array_sort(F.collect_set(spans)).alias("_llm_dropped"))
+    joined = keyed(docs.drop("dropped")).join(gone, ["_llm_id", "_llm_text"], "left").drop("_llm_id", "_llm_text")
     empty = F.array().cast("array<struct<line:int,start:bigint,end:bigint,template:bigint>>")
-    joined = joined.withColumn("dropped", F.coalesce("_dropped", empty)).drop("_dropped")
+    joined = joined.withColumn("dropped", F.coalesce("_llm_dropped", empty)).drop("_llm_dropped")
 
     def cut(texts, dropped):
         left = []

@@ -13,7 +13,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,7 +24,7 @@ from evalsieve.scale import settle
 
 #: Tokens of a sequence, sequences that a task has open, pieces that a task packs.
 LENGTH = 4096
-OPEN = 256
+OPEN = 4096
 TASK_PIECES = 32_768
 #: Tasks whose open sequences one task of the next round takes over.
 MERGED_TASKS = 16
@@ -130,30 +130,31 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_sequences: int = OPEN,
          task_pieces: int = TASK_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset; needs a column `length` from 1 to `length`.
 
-    Pieces are dealt to tasks by a hash of all their columns, and packed in the order of
-    that hash, so equal tables give equal sequences however they are partitioned. Equal
+    Pieces are dealt to tasks by a hash of all their columns and packed there from the longest
+    down, by that hash among equal ones, so equal tables give equal sequences however they are partitioned. Equal
     rows are packed one by one. No piece is left out; an empty table gives an empty one.
     `pieces` is read twice: settle it if it is costly.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
     plain = [c for c, kind in pieces.dtypes if not kind.startswith("map")]
     schema = ", ".join(f"`{c}` {kind}" for c, kind in pieces.dtypes)
-    schema += ", sequence_id long, offset long, _order long, _task long, _open boolean"
+    schema += ", sequence_id long, offset long, _llm_order long, _llm_task long, _llm_open boolean"
     names = [*columns, "sequence_id", "offset"]
-    left = pieces.withColumn("_order", F.xxhash64(*plain))
+    left = pieces.withColumn("_llm_order", F.xxhash64(*plain))
     tasks = max(1, -(-pieces.count() // task_pieces))
-    left = left.withColumn("_task", F.pmod("_order", F.lit(tasks)))
+    left = left.withColumn("_llm_task", F.pmod("_llm_order", F.lit(tasks)))
     done, number = [], 0
     while True:
         last = tasks == 1
-        packed = settle(left.groupBy("_task").applyInPandas(
+        packed = settle(left.groupBy("_llm_task").applyInArrow(
             _packer(length, open_sequences, number, last), schema))
-        done.append(packed.where(~F.col("_open")).select(*names))
+        done.append(packed.where(~F.col("_llm_open")).select(*names))
         if last:
             break
         tasks, number = -(-tasks // MERGED_TASKS), number + 1
-        left = packed.where("_open").drop("sequence_id", "offset", "_open").withColumn(
-            "_task", F.floor(F.col("_task") / MERGED_TASKS))
+        left = packed.where("_llm_open").drop("sequence_id", "offset", "_llm_open").withColumn(
+            "_llm_task", F.floor(F.col("_llm_task") / MERGED_TASKS))
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
@@ -161,16 +162,25 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_sequences: int = OPEN,
 
 
 def _packer(length: int, most: int, number: int, last: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order", kind="stable").reset_index(drop=True)
+    def run(rows: pa.Table) -> pa.Table:
+        size = rows["length"].to_numpy()
+        rows = rows.take(np.lexsort((rows["_llm_order"].to_numpy(), -size)))
         bins = OpenSequences(length, most)
-        placed = np.array([bins.place(s) for s in rows["length"].tolist()], dtype=np.int64).reshape(-1, 2)
-        closed = np.zeros(bins.made + 1, dtype=bool)
+        placed = np.array([bins.place(s) for s in rows["length"].to_pylist()], dtype=np.int64).reshape(-1, 2)
+        closed = np.full(bins.made + 1, last)
         closed[bins.closed] = True
-        if last:
-            closed[:] = True
-        base = (number << 56) + (int(rows["_task"].iloc[0]) << 24)
-        return rows.assign(sequence_id=placed[:, 0] + base, offset=placed[:, 1], _open=~closed[placed[:, 0]])
+        base = (number << 56) + (rows["_llm_task"][0].as_py() << 24)
+        made = {
+            "sequence_id": placed[:, 0] + base,
+            "offset": placed[:, 1],
+            "_llm_order": rows["_llm_order"],
+            "_llm_task": rows["_llm_task"],
+            "_llm_open": ~closed[placed[:, 0]],
+        }
+        kept = rows.drop_columns(["_llm_order", "_llm_task"])
+        for name, values in made.items():
+            kept = kept.append_column(name, pa.array(values) if isinstance(values, np.ndarray) else values)
+        return kept
 
     return run
 

@@ -31,7 +31,7 @@ def units(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
     """Key of the document, offsets and digest of every unit of at least `words` words."""
 
     def run(columns):
-        out: dict[str, list] = {n: [] for n in ("_id", "_text", "start", "end", "high", "low")}
+        out: dict[str, list] = {n: [] for n in ("_llm_id", "_llm_text", "start", "end", "high", "low")}
 
         def add(key, text_hash, start, piece):
             own = piece.encode("utf-8").lower().split()
@@ -41,7 +41,7 @@ def units(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
                                              _signed(digest >> 64), _signed(digest & (2**64 - 1)))):
                     out[name].append(value)
 
-        for key, text_hash, text in zip(columns["_id"], columns["_text"], columns["text"]):
+        for key, text_hash, text in zip(columns["_llm_id"], columns["_llm_text"], columns["text"]):
             at = 0
             for line in (text or "").split("\n"):
                 add(key, text_hash, at, line)
@@ -53,27 +53,27 @@ def units(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
         return out
 
     return map_batches(
-        keyed(docs).select("_id", "_text", F.col("text").cast("string").alias("text")), run,
-        "_id long, _text long, start long, end long, high long, low long",
+        keyed(docs).select("_llm_id", "_llm_text", F.col("text").cast("string").alias("text")), run,
+        "_llm_id long, _llm_text long, start long, end long, high long, low long",
     )
 
 
 def repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
     """Key and offsets of every unit but the first of its digest, and where the first is."""
     found = settle(units(docs, words))
-    place = F.struct("_id", "_text", "start")
+    place = F.struct("_llm_id", "_llm_text", "start")
     first = (
         found.groupBy("high", "low")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    keeper = F.col("first._id")
+    keeper = F.col("first._llm_id")
     return (
         found.join(first, ["high", "low"])
         .where(place != F.col("first"))
         .select(
-            "_id", "_text", "start", "end",
+            "_llm_id", "_llm_text", "start", "end",
             F.when(keeper != -(2**63), keeper).alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
         )
     )
@@ -88,12 +88,12 @@ def remove_repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
     row is returned, also if nothing is left of its text.
     """
     span = F.struct("start", "end", "kept_doc_id", "kept_start")
-    gone = repeats(docs, words).groupBy("_id", "_text").agg(
+    gone = repeats(docs, words).groupBy("_llm_id", "_llm_text").agg(
         F.array_sort(F.collect_set(span)).alias("removed"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kept_doc_id:bigint,kept_start:bigint>>")
     joined = (
-        keyed(docs.drop("removed", "kept")).join(gone, ["_id", "_text"], "left")
-        .withColumn("removed", F.coalesce("removed", empty)).drop("_id", "_text")
+        keyed(docs.drop("removed", "kept")).join(gone, ["_llm_id", "_llm_text"], "left")
+        .withColumn("removed", F.coalesce("removed", empty)).drop("_llm_id", "_llm_text")
     )
 
     def cut(texts, removed):

@@ -1,0 +1,210 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from evalsieve.llm import pii, quality_rules, secrets
+
+
+def counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    marked = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"),
+            len(lines) - len(set(lines)), len(marked))
+
+
+def test_counts_by_plain_python(spark):
+    random.seed(1)
+    texts = ["".join(random.choice("ab \n\t#|é\U0001f600\r") for _ in range(random.randint(0, 120))) for _ in range(300)]
+    texts += ["", " ", "a b c a b c", "a a a", "a a a a", "x\n x\nx"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in quality_rules.metrics(df).collect():
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == counts(texts[r.doc_id]), repr(texts[r.doc_id])
+
+
+def test_rules_on_odd_tables(odd_docs, no_docs):
+    rows = quality_rules.judge(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and all(r.kept is not None for r in rows)
+    assert all(not r.kept for r in rows if r.n_words < 50)
+    assert quality_rules.judge(no_docs).count() == 0
+
+
+def test_fences_follow_the_group(spark):
+    """Half of a language's words carry a symbol: no ground to drop them there, only elsewhere."""
+    plain = [f"w{i % 97}x{i}" for i in range(60)]
+    marked = [w + "#" if i % 2 else w for i, w in enumerate(plain)]
+    rows = [(i, " ".join(w + str(i) for w in plain), "en", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + str(i) for w in marked), "code", "s") for i in range(300)]
+    rows += [(5000, " ".join(marked), "en", "s"), (5001, " ".join(marked), "rare", None)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept.pop(5000)
+    assert kept.pop(5001)  # a group too small for itself is judged by the whole corpus
+    assert all(kept.values())
+
+
+def test_buckets_are_close(spark):
+    values = [0, 1, 63, 64, 65, 1000, 123456, 2**40 + 12345]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules._bucket(F.col("v")).alias("b"))
+    for r in df.collect():
+        assert r.b <= r.v and r.v - r.b <= r.v / 32
+
+
+def plain_secrets(text):
+    letter = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(letter(w) for w in ("password", "passwd", "secret", "token")) + f"|{letter('api')}_?{letter('key')}"
+    found = [(m.start(), 0, m.end()) for m in
+             re.finditer(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secret_rules_by_plain_patterns():
+    random.seed(5)
+    bits = ["password", "Token", "API_KEY", "apikey", "=", ":", " ", "'", '"', "AKIA", "ABCDEF123456", "deadbeef" * 4,
+            "abc", "ſecret", "toKen", "K", "x", "\n", "secret", "12345678", "passwd"]
+    for _ in range(5000):
+        text = "".join(random.choice(bits) for _ in range(random.randint(1, 12)))
+        assert [x[:3] for x in secrets._rules(text)] == plain_secrets(text), text
+
+
+@pytest.fixture(scope="module")
+def leaks(spark):
+    random.seed(6)
+    hexes = lambda n: "".join(random.choice("0123456789abcdef") for _ in range(n))
+    words = lambda: " ".join("".join(random.choice("etaoinshr") for _ in range(random.randint(3, 22))) for _ in range(30))
+    rows = [(i, f"{words()} token = \"{hexes(40)}\" {words()}") for i in range(150)]
+    rows += [(1000 + i, words()) for i in range(150)]
+    rows += [(5000, f"{words()} {hexes(24)} {words()}"), (5001, f"card 4598495729440943 {words()}")]
+    return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
+
+
+def test_formats_are_learnt_and_masked(leaks):
+    found = {r.doc_id: r for r in secrets.find_secrets(leaks).collect()}
+    texts = {r.doc_id: r.text for r in leaks.collect()}
+    assert len(found) == len(texts)
+    for i, r in found.items():
+        assert [tuple(s)[1:] for s in r.base] == [(a, e) for a, _, e in plain_secrets(texts[i])]
+    assert [s.kind[:5] for s in found[5000].spans] == ["like_"]
+    assert all(not r.spans for i, r in found.items() if 1000 <= i < 5000)
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(leaks).collect()}
+    for i, r in found.items():
+        text = texts[i]
+        for s in sorted(r.spans, key=lambda s: -s.start):
+            if not any(o.start <= s.start and s.end <= o.end and o != s for o in r.spans):
+                text = text[: s.start] + "<secret>" + text[s.end :]
+        assert masked[i] == text
+
+
+def test_merged_automaton_keeps_the_language():
+    learnt = secrets.Automaton(["ab12"] * 40 + ["AB"] * 40 + ["ab12ab12"] * 40)
+    learnt.merge()
+    tables = [learnt.table()]
+    inside = secrets.log_likelihoods(["ab12", "AB"], tables)[:, 0]
+    outside = secrets.log_likelihoods(["zz++", "A1"], tables)[:, 0]
+    assert inside.min() > outside.max()
+
+
+def test_secrets_on_odd_tables(odd_docs, no_docs):
+    rows = secrets.find_secrets(odd_docs).collect()
+    assert len(rows) == odd_docs.count() and not any(r.spans for r in rows if r.doc_id != 7)
+    assert secrets.find_secrets(no_docs).count() == 0
+    masked = secrets.mask_secrets(odd_docs)
+    assert masked.columns == odd_docs.columns and masked.count() == odd_docs.count()
+
+
+def plain_pii(text):
+    found = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+              if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1]))
+        if 13 <= len(digits) <= 19 and total % 10 == 0:
+            found.append((2, m.start(), m.end()))
+    return found + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+                    if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_rules_by_plain_patterns():
+    random.seed(3)
+    for _ in range(20000):
+        text = "".join(random.choice("ab1.29@@-+ (%_)4.5 ") for _ in range(40))
+        assert pii.rules(text) == plain_pii(text), text
+    assert pii.rules("4111 1111 1111 1111, 4111111111111112") == [(2, 0, 19)]
+
+
+def test_long_runs_take_linear_time():
+    assert pii.rules("a" * 300_000 + "@") == [] and pii.rules("1" * 300_000) == []
+
+
+def test_field_joins_boundaries_and_kinds(spark):
+    random.seed(9)
+    number = lambda n: "".join(random.choice("0123456789") for _ in range(n))
+
+    def card():
+        while True:
+            c = "4" + number(15)
+            if pii.luhn(c):
+                return c
+
+    phone = lambda: f"+1 ({number(3)}) 555-{number(4)}"
+    kinds = [phone, card, lambda: f"{random.choice('abcdef')}x.{number(2)}@mail{number(1)}.example.com",
+             lambda: ".".join(str(random.randint(1, 255)) for _ in range(4)), lambda: f"v{number(1)}.{number(1)}.",
+             lambda: f"in {number(4)}", lambda: number(16)]
+    rows = [(i, f"some words {kinds[i % 7]()} and more") for i in range(400)]
+    rows += [(1000, f"both {phone()} {card()} here"), (1001, "nothing here at all")]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, r in found.items():
+        assert [(pii.KINDS.index(s.kind), s.start, s.end) for s in r.base] == plain_pii(texts[i])
+        assert all(s in r.spans for s in r.base)
+    assert not found[1000].base and "like_phone" in [s.kind for s in found[1000].spans]
+    assert not found[1001].spans
+
+
+def test_dynamic_programming_against_all_segmentations():
+
+    import numpy as np
+
+    random.seed(1)
+    win = pii.Window("+1 2@b", "", "")
+    draw = np.random.default_rng(0)
+    weights, pairs = draw.normal(size=(5, pii._HASHED)), draw.normal(size=(5, 5))
+    weights[:, 0] = 0  # stands for no feature
+    n = len(win.starts)
+    spans = {(e - d, e): f for e, d, f in win.segments}
+    options = {}
+    for a in range(n):
+        options[a] = [(a + 1, 0, weights[0][win.ordinary[a]].sum())]
+        options[a] += [(e, y, weights[y][f].sum()) for (s, e), f in spans.items() if s == a for y in range(1, 5)]
+
+    def paths(at, last):
+        if at == n:
+            yield 0.0, []
+            return
+        for e, y, s in options[at]:
+            for rest, path in paths(e, y):
+                yield s + (pairs[last, y] if last is not None else 0) + rest, [(at, e, y), *path]
+
+    every = list(paths(0, None))
+    total = np.log(np.exp([s for s, _ in every]).sum())
+    best = max(every, key=lambda x: x[0])[1]
+    got = pii.decode([win], weights, pairs)[0]
+    assert sorted((a, e, y) for a, e, y, _ in got) == [x for x in best if x[2]]
+    for a, e, y, p in got:
+        marginal = np.exp([s for s, path in every if (a, e, y) in path]).sum() / np.exp(total)
+        assert abs(p - marginal) < 1e-9
+
+
+def test_pii_on_odd_tables(odd_docs, no_docs):
+    assert pii.find_pii(odd_docs).count() == odd_docs.count()
+    assert pii.find_pii(no_docs).count() == 0
