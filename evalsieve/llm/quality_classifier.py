@@ -90,7 +90,8 @@ def held_out():
 
 def log_ratios(docs: DataFrame, train: DataFrame) -> np.ndarray:
     """Of every feature the log-ratio of its share among good and among bad documents."""
-    labelled = ids_and_texts(docs).where(~held_out()).join(train, "doc_id")
+    # labels grow with the documents, so they are never broadcast
+    labelled = ids_and_texts(docs).where(~held_out()).join(train.hint("merge"), "doc_id")
 
     def count(batches):
         import pyarrow as pa
@@ -221,8 +222,8 @@ def score(docs: DataFrame, model) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that are predicted good, with all their columns; texts are not shuffled."""
     model = fit(docs, labels, sample)
-    scored = rewrite(docs, lambda texts: {"_score": _scores(texts, model)}, ["text"], "_score double")
-    return scored.where(F.col("_score") >= 0.5).drop("_score")
+    scored = rewrite(docs, lambda texts: {"_llm_score": _scores(texts, model)}, ["text"], "_llm_score double")
+    return scored.where(F.col("_llm_score") >= 0.5).drop("_llm_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
