@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ VOTES = 2
 NEIGHBOURS = 8
 NEIGHBOUR_SHARE = 0.5
 
+#: Bits of the filter on leaves.
+SLOTS = 1 << 23
+
 _FIELD = re.compile(r"[0-9]")
 _VARIABLE = "<*>"
 
@@ -42,49 +46,98 @@ def _hash(text: str, seed: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
+def _tree_path(line: str, leading: int) -> tuple[str, str, int] | None:
+    """Masked text, leading tokens and leaf of a line; none for one without tokens."""
+    tokens = line.split()
+    if not tokens:
+        return None
+    if _FIELD.search(line):
+        tokens = [_VARIABLE if _FIELD.search(t) else t for t in tokens]
+    head = " ".join(tokens[:leading])
+    return " ".join(tokens), head, _hash(f"{len(tokens)} {head}", 1)
+
+
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     """Every line with tokens for all levels: its document's key, its number and offsets in the
-    text, leaf, masked text and its hash, and of the lines before and after it a hash of their leading tokens,
-    which small changes further on leave alone."""
+    text, leaf, a hash of its masked text, and of the lines before and after it a hash of their
+    leading tokens, which small changes further on leave alone."""
 
     def run(columns):
-        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own", "before", "after", "masked")
+        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own", "before", "after")
         out: dict[str, list] = {n: [] for n in names}
         for key, text_hash, text in zip(columns["_llm_id"], columns["_llm_text"], columns["text"]):
             rows, at = [], 0
             for number, line in enumerate((text or "").split("\n")):
-                tokens = line.split()
-                if tokens:
-                    if _FIELD.search(line):
-                        tokens = [_VARIABLE if _FIELD.search(t) else t for t in tokens]
-                    masked = " ".join(tokens)
-                    head = " ".join(tokens[:leading])
-                    rows.append((number, at, at + len(line), _hash(f"{len(tokens)} {head}", 1), _hash(masked, 2),
-                                 masked, _hash(head, 3)))
+                path = _tree_path(line, leading)
+                if path:
+                    rows.append((number, at, at + len(line), *path, _hash(path[1], 3)))
                 at += len(line) + 1
             heads = [0, *(r[6] for r in rows), 0]
-            for i, (number, start, end, leaf, own, masked, _) in enumerate(rows):
+            for i, (number, start, end, masked, _, leaf, _) in enumerate(rows):
                 if masked.count(" ") + 1 < leading:
                     continue
-                for name, value in zip(names, (key, text_hash, number, start, end, leaf, own,
-                                               heads[i], heads[i + 2], masked)):
+                for name, value in zip(names, (key, text_hash, number, start, end, leaf, _hash(masked, 2),
+                                               heads[i], heads[i + 2])):
                     out[name].append(value)
         return out
 
     return map_batches(
         keyed(docs).select("_llm_id", "_llm_text", F.col("text").cast("string").alias("text")), run,
-        "_llm_id long, _llm_text long, line int, start long, end long, leaf long, own long, before long, "
-        "after long, masked string",
+        "_llm_id long, _llm_text long, line int, start long, end long, leaf long, own long, before long, after long",
     )
 
 
-def templates(found: DataFrame, agreeing: float = AGREEING, votes: int = VOTES) -> DataFrame:
-    """leaf, own, template: for the distinct lines that carry the template of their leaf."""
-    many = (
-        found.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("leaf")
+def _slots(leaves: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits of the leaves' hashes; its size does not depend on their number."""
+    slot = F.pmod("leaf", F.lit(SLOTS)) + 1  # Spark counts the bits of bitmaps from 1
+    bits = np.zeros(SLOTS // 8, dtype=np.uint8)
+    rows = leaves.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return bits
+
+
+def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) -> DataFrame:
+    """leaf, own and masked text of the distinct lines of the given leaves.
+
+    The texts are parsed again rather than kept: a bitmap of the leaves' hashes lets only
+    a few others through, and the join then leaves just these.
+    """
+    bits = _slots(leaves)
+
+    def run(columns):
+        out: dict[str, list] = {"leaf": [], "own": [], "masked": []}
+        for text in columns["text"]:
+            for line in (text or "").split("\n"):
+                path = _tree_path(line, leading)
+                if path:
+                    slot = path[2] % SLOTS
+                    if bits[slot >> 3] >> (slot & 7) & 1:
+                        for name, value in zip(out, (path[2], _hash(path[0], 2), path[0])):
+                            out[name].append(value)
+        return out
+
+    found = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "leaf long, own long, masked string")
+    distinct = found.groupBy("leaf", "own").agg(F.first("masked").alias("masked"))
+    return distinct.join(leaves, "leaf", "left_semi")
+
+
+def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, votes: int = VOTES,
+              least: int = NEIGHBOURS) -> DataFrame:
+    """leaf, own, template: for the distinct lines that carry the template of their leaf.
+
+    Only leaves with several distinct lines, and `least` lines, vote: no other could have a
+    template that recurs.
+    """
+    many = settle(
+        found.groupBy("leaf")
+        .agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
+        .select("leaf")
     )
-    distinct = found.join(many, "leaf", "left_semi").groupBy("leaf", "own").agg(F.first("masked").alias("masked"))
-    left = settle(distinct)
+    left = settle(masked_lines(docs, many))
     result = None
     for vote in range(votes):
         tokens = left.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
@@ -114,9 +167,9 @@ def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS,
                     share: float = NEIGHBOUR_SHARE) -> DataFrame:
     """Key, number, offsets and template of every line whose template recurs across documents."""
     found = settle(lines(docs))
-    carried = templates(found)
+    carried = templates(docs, found, least=neighbours)
     named = settle(
-        found.drop("masked").join(carried, ["leaf", "own"], "left")
+        found.join(carried, ["leaf", "own"], "left")
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")
     )
     pairs = named.groupBy("template", "before", "after").agg(F.lit(1).alias("_")).groupBy("template").agg(

@@ -215,8 +215,9 @@ def test_votes_by_plain_python(spark):
     rows = [("a b c x q 1", 1), ("a b c x q 2", 2), ("a b c x r 3", 3), ("a b c y z w v", 4), ("d e f", 5), ("a b c k l m", 6)]
     df = spark.createDataFrame([(i, t) for t, i in rows], "doc_id long, text string")
     found = line_templates.lines(df)
-    own = {r.masked: r.own for r in found.collect()}
-    carried = {r.own: r.template for r in line_templates.templates(found).collect()}
+    own = {r.masked: r.own for r in line_templates.masked_lines(df, found.select("leaf").distinct()).collect()}
+    assert set(own) == {"a b c x q <*>", "a b c x r <*>", "a b c y z w v", "d e f", "a b c k l m"}
+    carried = {r.own: r.template for r in line_templates.templates(df, found, least=2).collect()}
     # of six tokens, q is shared by half of the leaf's distinct lines, "<*>" by more
     assert own["a b c x q <*>"] in carried
     assert carried[own["a b c x q <*>"]] == carried[own["a b c x r <*>"]]
