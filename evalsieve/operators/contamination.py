@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
-from evalsieve.operators.ngrams import Tokenizer, settled_terms, train_hits
+from evalsieve.operators.ngrams import Tokenizer, ngram_length, settled_terms, train_hits
 from evalsieve.operators.positions import keep_rows
 from evalsieve.scale import join_lookup, settle
 
@@ -71,7 +71,11 @@ def detect(
 
 
 def contamination_summary(found: Detection, bench: DataFrame) -> DataFrame:
-    """Per benchmark: size, contaminated items and rate, contaminated rows."""
+    """Per benchmark: size, contaminated items and rate, contaminated rows.
+
+    Items shorter than their benchmark's n can never be found; `unmatchable_items`
+    counts them.
+    """
     sizes = bench.groupBy("benchmark").agg(F.count(F.lit(1)).alias("test_size"))
     items = found.touched.groupBy("benchmark").agg(F.count(F.lit(1)).alias("contaminated_test"))
     rows = found.flagged.groupBy("benchmark").agg(
@@ -88,6 +92,22 @@ def contamination_summary(found: Detection, bench: DataFrame) -> DataFrame:
     )
 
 
+def unmatchable_items(
+    bench: DataFrame, n: int | None = None, tokenizer: Tokenizer = tokenize
+) -> DataFrame:
+    """Per benchmark: items that are too short for any n-gram of its length."""
+    size = F.size(tokenizer(F.col("prompt")))
+    items = bench.select("benchmark", "test_idx", size.alias("_size"))
+    if n is None:
+        lengths = settle(ngram_length(bench, tokenizer=tokenizer))
+        items = join_lookup(items, lengths, ["benchmark"], spread_by=["test_idx"])
+    else:
+        items = items.withColumn("n", F.lit(n))
+    return items.groupBy("benchmark").agg(
+        F.sum((F.col("_size") < F.col("n")).cast("long")).alias("unmatchable_test")
+    )
+
+
 def contaminated_indices(found: Detection) -> DataFrame:
     """Flagged positions per benchmark, one per row, in order."""
     return found.flagged.select("benchmark", "train_idx").orderBy("benchmark", "train_idx")

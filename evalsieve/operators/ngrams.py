@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
+from evalsieve.operators.positions import keep_rows
 from evalsieve.scale import (
     fits_broadcast,
     is_small,
@@ -90,8 +91,9 @@ def bench_ngrams(
     """Dictionary (benchmark, test_idx, test_pos, n, ngram)."""
     items = bench.select("benchmark", "test_idx", "prompt")
     if n is None:
-        # one row per benchmark; broadcast or split at run time by its measured size
-        items = items.join(ngram_length(bench, tokenizer=tokenizer), "benchmark")
+        # one row per benchmark
+        lengths = settle(ngram_length(bench, tokenizer=tokenizer))
+        items = join_lookup(items, lengths, ["benchmark"], spread_by=["test_idx"])
     else:
         items = items.withColumn("n", F.lit(n))
     keep = ["benchmark", "test_idx", "n"]
@@ -203,7 +205,9 @@ def train_hits(
         candidates = settle(
             _shared_window_rows(train, dictionary, lengths, key, text, tokenizer, width)
         )
-        rows = join_lookup(train.select(*keep, text), candidates, [key], "left_semi")
+        # the candidates are broadcast, so the texts stay where they are
+        named = train.select(F.col(key).alias("row_idx"), *[c for c in (*carry, text) if c != key])
+        rows = keep_rows(named, candidates.select(F.col(key).alias("train_idx"))).withColumnRenamed("row_idx", key)
         likely = _positions(rows, keep, text, tokenizer).withColumn(
             "n", F.explode(F.array(*[F.lit(n) for n in lengths]))
         )
@@ -214,7 +218,7 @@ def train_hits(
     )
     if whole_fits:
         return survivors.join(F.broadcast(dictionary), "ngram")
-    return salted_join(survivors, dictionary, ["ngram"], "inner", [key, "train_pos"])
+    return salted_join(settle(survivors), dictionary, ["ngram"], "inner", [key, "train_pos"])
 
 
 def ngram_matches(
@@ -244,7 +248,47 @@ def contamination_matches(
 
     `carry` adds training columns, such as the source, without a later join.
     """
-    hits = train_hits(train, settled_terms(bench, n, tokenizer), tokenizer=tokenizer, carry=carry)
-    return hits.select(
-        "benchmark", "test_idx", F.col("row_idx").alias("train_idx"), *carry
-    ).distinct()
+    dictionary = settled_terms(bench, n, tokenizer)
+    shared = row_terms(train, dictionary, tokenizer, carry)
+    items = dictionary.select("benchmark", "test_idx", "ngram")
+    pairs = join_lookup(shared, items, ["benchmark", "ngram"], spread_by=["train_idx"])
+    return pairs.select("benchmark", "test_idx", "train_idx", *carry).distinct()
+
+
+def row_terms(
+    train: DataFrame, dictionary: DataFrame, tokenizer: Tokenizer = tokenize, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The distinct benchmark n-grams of every row, before any item is joined to them."""
+    terms = dictionary.select("benchmark", "n", "ngram").distinct()
+    hits = train_hits(train, terms, tokenizer=tokenizer, carry=carry)
+    return settle(
+        hits.select("benchmark", "ngram", F.col("row_idx").alias("train_idx"), *carry).distinct()
+    )
+
+
+def pairs_per_source(
+    train: DataFrame, bench: DataFrame, n: int | None = None, tokenizer: Tokenizer = tokenize
+) -> DataFrame:
+    """train_source and its number of (item, row) pairs, without making the pairs.
+
+    Rows of a source with the same n-grams have the same items, so they are counted
+    together and the items of their n-grams are looked up once.
+    """
+    dictionary = settled_terms(bench, n, tokenizer)
+    shared = row_terms(train, dictionary, tokenizer, ["source"])
+    gram = F.struct("benchmark", "ngram")
+    # the n-grams of one row, as one key
+    alike = settle(
+        shared.groupBy("source", "train_idx").agg(F.array_sort(F.collect_set(gram)).alias("_grams"))
+        .groupBy("source", "_grams").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_set", F.sha2(F.to_json("_grams"), 256))
+    )
+    sets = alike.select("_set", F.inline("_grams")).distinct()
+    items = dictionary.select("benchmark", "test_idx", "ngram")
+    met = join_lookup(sets, items, ["benchmark", "ngram"], spread_by=["_set"])
+    numbers = met.groupBy("_set").agg(F.countDistinct("benchmark", "test_idx").alias("_items"))
+    return (
+        alike.select("source", "_set", "_rows").join(numbers, "_set")
+        .groupBy(F.col("source").alias("train_source"))
+        .agg(F.sum(F.col("_rows") * F.col("_items")).alias("pairs"))
+    )

@@ -4,14 +4,15 @@ Settings, read from the session at call time:
 
   spark.evalsieve.broadcastRows    largest side, in rows, that is ever broadcast
   spark.evalsieve.broadcastBytes   the same in bytes of values
-  spark.evalsieve.salts            copies of a lookup side that is too large
+  spark.evalsieve.keyRows          rows of one join key from which it is split
   spark.checkpoint.dir             shared folder for cut lineage
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -20,9 +21,12 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = "spark.evalsieve.broadcastRows"
 BROADCAST_BYTES = "spark.evalsieve.broadcastBytes"
-SALTS = "spark.evalsieve.salts"
+KEY_ROWS = "spark.evalsieve.keyRows"
 
-_DEFAULTS = {BROADCAST_ROWS: 4_000_000, BROADCAST_BYTES: 256 * 1024 * 1024, SALTS: 32}
+_DEFAULTS = {BROADCAST_ROWS: 4_000_000, BROADCAST_BYTES: 256 * 1024 * 1024, KEY_ROWS: 1_000_000}
+
+#: Settled tables of the jobs that are running, innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def limit_of(spark: SparkSession, key: str) -> int:
@@ -46,15 +50,33 @@ def settle(df: DataFrame) -> DataFrame:
 
     The table outlives any executor, has known sizes, and later steps read only
     the columns they need. It stays, under the name of the application, until the
-    folder is cleaned.
+    folder is cleaned, or until the job ends that made it (see `settled_tables`).
     """
     spark = df.sparkSession
     application = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/evalsieve-{application}/{uuid4()}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settled_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of a job, the tables that were settled in it.
+
+    What the job returns must not depend on them: it reads back what it has written.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _SCOPES.pop():
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _value_bytes(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
@@ -94,16 +116,29 @@ def fits_broadcast(df: DataFrame) -> bool:
 def salted_join(
     rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Shuffle join that splits a hot key of `rows` over many tasks.
+    """Shuffle join that splits the hot keys of `rows` over many tasks.
 
-    `spread_by` names columns that differ within one key. Each row meets exactly
-    one copy of the lookup, so inner, left, semi and anti joins keep their meaning.
+    The rows of a key are counted first; a key with more than `keyRows` of them gets as
+    many parts as that takes, and only its lookup rows are copied. `spread_by` names
+    columns that differ within one key. Each row meets exactly one copy of the lookup, so
+    inner, left, semi and anti joins keep their meaning. `rows` is read twice: settle it
+    if it is costly.
     """
-    salts = limit_of(rows.sparkSession, SALTS)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
+    most = limit_of(rows.sparkSession, KEY_ROWS)
+    parts = F.ceil(F.col("_n") / most).cast("bigint")
+    # at most one key for every `most` rows
+    hot = settle(
+        rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        .select(*on, parts.alias("_parts"))
     )
+    if not hot.head(1):
+        return rows.join(lookup, list(on), how)
+    marked = [df.join(F.broadcast(hot), list(on), "left") for df in (rows, lookup)]
+    whole = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    salted = marked[0].withColumn("_salt", F.pmod(F.xxhash64(*spread_by), whole)).drop("_parts")
+    copies = marked[1].withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1))
+    ).drop("_parts")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -36,13 +36,13 @@ def all_sizes(request, spark):
         spark.conf.set("spark.evalsieve.broadcastBytes", "20000")
     if request.param == "shuffle":
         spark.conf.set("spark.evalsieve.broadcastRows", "0")
-        spark.conf.set("spark.evalsieve.salts", "3")
+        spark.conf.set("spark.evalsieve.keyRows", "3")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield request.param
     for key in (
         "spark.evalsieve.broadcastRows",
         "spark.evalsieve.broadcastBytes",
-        "spark.evalsieve.salts",
+        "spark.evalsieve.keyRows",
         "spark.sql.autoBroadcastJoinThreshold",
     ):
         spark.conf.unset(key)

@@ -7,6 +7,9 @@ import re
 import pytest
 
 import evalsieve.operators.contamination as contamination
+import evalsieve.operators.ngrams as ngrams
+import evalsieve.operators.positions as positions
+import evalsieve.scale as scale
 from checks import tables
 from checks.queries import REGISTRY
 from evalsieve import decontaminate, detect
@@ -18,6 +21,7 @@ PYTHON_QUERIES = {
     "predictions_map",
     "eval_metrics",
     "flatten_metrics",
+    "metrics_roundtrip",
     "results_csv",
     "model_comparison",
     "accuracy_curve",
@@ -58,15 +62,30 @@ def test_detection_is_map_only_up_to_the_grouped_results(spark, monkeypatch):
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
 
 
-def test_without_broadcast_pairs_of_keys_are_salted(spark, monkeypatch):
-    spark.conf.set("spark.evalsieve.broadcastRows", "0")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = detection_plan(spark, monkeypatch)
-    finally:
-        spark.conf.unset("spark.evalsieve.broadcastRows")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert re.search(r"SortMergeJoin \[ngram#\d+, _salt#\d+L\]", plan)
+def test_without_broadcast_hot_keys_are_split_and_texts_stay(spark, monkeypatch, all_sizes):
+    """In all three modes no exchange stands above a scan of the texts but for keys."""
+    plans = []
+    for module in (contamination, ngrams, positions, scale):
+        settle = module.settle
+        monkeypatch.setattr(module, "settle", lambda df, settle=settle: (plans.append(plan_of(df)), settle(df))[1])
+    detect(tables.training(spark, SF_DIR), tables.benchmarks(spark, SF_DIR), carry=["source"])
+    assert any("text#" in plan for plan in plans)
+    for plan in plans:
+        for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+            # benchmark items may move, training texts may not
+            if "Exchange hashpartitioning" in line and "benchmark#" not in line:
+                assert not re.search(r"\b(prompt|text|_tokens)#", line + below), line
+
+
+def test_only_hot_keys_are_split(spark, all_sizes):
+    rows = spark.range(40).selectExpr("id", "if(id < 30, 'hot', concat('k', id)) as key")
+    lookup = spark.range(40).selectExpr("if(id = 0, 'hot', concat('k', id)) as key", "id as value")
+    found = scale.salted_join(rows, lookup, ["key"], "inner", ["id"])
+    want = {(i, 0 if i < 30 else i) for i in range(40)}
+    assert {(r["id"], r["value"]) for r in found.collect()} == want
+    assert ("_salt" in plan_of(found)) == (all_sizes == "shuffle")  # keyRows is 3 there
+    gone = scale.salted_join(rows, lookup.where("key = 'hot'"), ["key"], "left_anti", ["id"])
+    assert {r["id"] for r in gone.collect()} == set(range(30, 40))
 
 
 def test_removal_does_not_sort_texts(spark):
@@ -80,7 +99,13 @@ def test_removal_does_not_sort_texts(spark):
     finally:
         spark.conf.unset("spark.evalsieve.broadcastRows")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+    assert "BroadcastHashJoin" in plan and "Sort [" not in plan
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_grid_settles_the_results_once(spark):
+    plan = plan_of(REGISTRY["summary_grid"](spark, SF_DIR))
+    assert "documents.parquet" not in plan
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
