@@ -19,6 +19,7 @@ WHITESPACE_CHARS = (
 
 # The same set as a pattern. Java's Unicode \s lacks U+001C to U+001F.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+NO_WHITESPACE = r"(?U)[^\s\x1c-\x1f]+"
 
 # The prompt given to every model, around the question.
 PROMPT_HEAD = (
@@ -53,6 +54,14 @@ def first_words(text: Column | str, count: Column) -> Column:
     return F.slice(F.array_remove(pieces, ""), F.lit(1), count.cast("int"))
 
 
+def cut_after(text: Column | str, count: int) -> Column:
+    """A text up to the end of its `count`-th word, with its own whitespace."""
+    # pieces around the words: before the first, between, and after the last
+    gaps = F.slice(F.split(_col(text), NO_WHITESPACE, -1), 1, count)
+    kept = F.zip_with(gaps, F.slice(words(text), 1, count), lambda gap, word: F.concat(gap, word))
+    return F.array_join(kept, "")
+
+
 def strip(text: Column | str) -> Column:
     return F.btrim(_col(text), F.lit(WHITESPACE_CHARS))
 

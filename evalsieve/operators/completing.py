@@ -38,7 +38,7 @@ def batch_complete(
                 raise ValueError(f"{len(batch)} prompts gave {len(texts)} completions")
             yield batch[keys].assign(completion=texts)
 
-    rows = prompts.select(*keys, prompt)
+    rows = prompts.select(*dict.fromkeys([*keys, prompt]))
     if tasks is not None:
         rows = rows.repartition(tasks)
     return rows.mapInPandas(run, T.StructType(fields))

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalsieve.functions.text import build_prompt, strip, words
+from evalsieve.functions.text import build_prompt, cut_after, strip, words
 from evalsieve.scale import draw, draw_bucket, join_lookup, rank_by_draw, settle
 
-# Stand-ins for missing fields, and the sampling defaults.
+# Stand-ins for missing fields, and the seed.
 UNKNOWN_SOURCE = "UNKNOWN"
 ID_FORMATS = {"training": "train_%06d", "benchmark": "benchmark_%06d"}
-PER_SOURCE, SEED = 10_000, 42
+SEED = 42
 
 
 def convert(df: DataFrame, kind: str = "training", keep: Sequence[str] = ()) -> DataFrame:
@@ -35,12 +35,12 @@ def convert(df: DataFrame, kind: str = "training", keep: Sequence[str] = ()) ->
 
 
 def stratified_sample(
-    pool: DataFrame, by: str = "source", k: int = PER_SOURCE, seed: int = SEED, key: str = "id"
+    pool: DataFrame, k: int, by: str = "source", seed: int = SEED, key: str = "id"
 ) -> DataFrame:
     """min(k, pool) rows of every group, without replacement, in a shuffled order.
 
-    Every row draws a reproducible random text from its unique key; the k smallest
-    draws of a group are kept and `shuffle_rank` numbers all kept rows at random.
+    Every row draws a reproducible random text from its unique key (a position will
+    do where ids may repeat; repeated keys are refused); the k smallest draws of a group are kept and `shuffle_rank` numbers all kept rows at random.
     A group is never sorted as a whole: counts per draw range find the range that
     holds the k-th draw, only that range is ranked to get the exact limit, and the
     rows themselves are then filtered where they are.
@@ -51,6 +51,7 @@ def stratified_sample(
     keys = drawn.select(by, "_draw", F.col(key).alias("_key")).withColumn(
         "_range", draw_bucket("_draw")
     )
+    refused = F.raise_error(F.concat(F.lit("the sample needs unique keys, this one repeats: "), F.col("_key").cast("string")))
 
     so_far = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = (
@@ -66,7 +67,9 @@ def stratified_sample(
     inside = Window.partitionBy(by).orderBy("_draw", "_key")
     limits = settle(
         join_lookup(keys, last_range, [by, "_range"], spread_by=["_key"])
-        .withColumn("_place", F.row_number().over(inside))
+        # equal keys have equal draws, so they stand side by side in one range
+        .withColumn("_before", F.lag("_key").over(inside))
+        .withColumn("_place", F.when(F.col("_before") == F.col("_key"), refused).otherwise(F.row_number().over(inside)))
         .where(F.col("_place") == F.col("_need"))
         .select(by, F.struct("_draw", "_key").alias("_last"))
     )
@@ -97,8 +100,34 @@ def first_rows(df: DataFrame, limit: int = 0) -> DataFrame:
     return df.where(F.col("row_idx") < limit) if limit > 0 else df
 
 
+def completed_pairs(completed: DataFrame) -> DataFrame:
+    """Training pairs of prompts that carry their completion."""
+    return completed.withColumnRenamed("prompt", "input_text").withColumn(
+        "target_text", strip("completion")
+    ).drop("completion")
+
+
+def pairing_faults(prompts: DataFrame, completions: DataFrame) -> DataFrame:
+    """Ids that do not have just one prompt and one completion, with the number of each.
+
+    Run it before `teacher_pairs` on completions from elsewhere; rows without an id
+    are counted under null.
+    """
+    counted = prompts.select("id", F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(
+        completions.select("id", F.lit(0).alias("p"), F.lit(1).alias("c"))
+    )
+    return (
+        counted.groupBy("id")
+        .agg(F.sum("p").alias("prompts"), F.sum("c").alias("completions"))
+        .where((F.col("prompts") != 1) | (F.col("completions") != 1) | F.col("id").isNull())
+    )
+
+
 def teacher_pairs(prompts: DataFrame, completions: DataFrame) -> DataFrame:
-    """Prompts (id, source, prompt) with their completions (id, completion)."""
+    """Prompts (id, source, prompt) with their completions (id, completion).
+
+    Ids that `pairing_faults` reports give no pair, or several.
+    """
     return prompts.join(completions, "id").select(
         "id",
         "source",
@@ -121,14 +150,17 @@ def teacher_preview(pairs: DataFrame) -> DataFrame:
     )
 
 
-def sft_examples(pairs: DataFrame, max_tokens: int = 1024) -> DataFrame:
-    """Prompt and completion as one text, held to a budget of whitespace tokens."""
+def sft_examples(pairs: DataFrame, max_tokens: int) -> DataFrame:
+    """Prompt and completion as one text, cut after a budget of whitespace tokens.
+
+    What is kept of a text is kept as it is, with its whitespace.
+    """
     text = F.concat("input_text", "target_text")
     return pairs.select("id", "source", text.alias("_text"), words(text).alias("_words")).select(
         "id",
         "source",
         F.when(F.size("_words") <= max_tokens, F.col("_text"))
-        .otherwise(F.array_join(F.slice("_words", 1, max_tokens), " "))
+        .otherwise(cut_after("_text", max_tokens))
         .alias("text"),
         F.least(F.size("_words"), F.lit(max_tokens)).alias("n_tokens"),
         (F.size("_words") > max_tokens).alias("truncated"),

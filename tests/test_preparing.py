@@ -11,6 +11,7 @@ from evalsieve import (
     build_prompts,
     convert,
     first_rows,
+    pairing_faults,
     sft_examples,
     shard,
     shard_rows,
@@ -114,6 +115,28 @@ def test_preview(spark, n, shown):
     assert len(rows[0]["input_preview"]) == 100 and len(rows[0]["target_preview"]) == 150
 
 
+def test_long_and_short_rows_keep_their_whitespace(spark):
+    text = "a\n\nb c\u2003d\x1c e  f g"
+    pairs = spark.createDataFrame([("i", "s", "", text)], "id string, source string, input_text string, target_text string")
+    cut = {n: sft_examples(pairs, max_tokens=n).first() for n in (1, 3, 5, 7, 50)}
+    assert [cut[n]["text"] for n in cut] == ["a", "a\n\nb c", "a\n\nb c\u2003d\x1c e", text, text]
+    assert [cut[n]["truncated"] for n in cut] == [True, True, True, False, False]
+
+
+def test_faults_of_outside_completions(spark):
+    prompts = spark.createDataFrame([("a", "p"), ("b", "p"), ("b", "p"), (None, "p"), ("c", "p")], "id string, prompt string")
+    made = spark.createDataFrame([("a", "x"), ("b", "x"), ("d", "x"), ("d", "x")], "id string, completion string")
+    found = {tuple(r) for r in pairing_faults(prompts, made).collect()}
+    assert found == {("b", 2, 1), (None, 1, 0), ("c", 1, 0), ("d", 0, 2)}
+
+
+def test_repeated_sample_keys_are_refused(spark):
+    rows = spark.range(10).selectExpr("'same' as id", "'s' as source")
+    with pytest.raises(Exception, match="unique keys"):
+        stratified_sample(rows, k=2).collect()
+    assert stratified_sample(spark.range(10).selectExpr("id as row_idx", "'s' as source"), k=2, key="row_idx").count() == 2
+
+
 def test_sft_budget(spark):
     pairs = spark.createDataFrame(
         [("a", "s", "one  two\n", "three"), ("b", "s", "one  two\n", "three four")],
@@ -122,7 +145,7 @@ def test_sft_budget(spark):
     rows = sft_examples(pairs, max_tokens=3).collect()
     assert [tuple(r) for r in rows] == [
         ("a", "s", "one  two\nthree", 3, False),
-        ("b", "s", "one two three", 3, True),
+        ("b", "s", "one  two\nthree", 3, True),
     ]
 
 
