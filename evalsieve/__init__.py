@@ -24,12 +24,21 @@ from evalsieve.operators.contamination import (
     detect,
     match_details,
     match_sources,
+    unmatchable_items,
+)
+from evalsieve.operators.ngrams import (
+    contamination_matches,
+    ngram_length,
+    ngram_matches,
+    ngrams,
+    pairs_per_source,
 )
-from evalsieve.operators.ngrams import contamination_matches, ngram_length, ngram_matches, ngrams
 from evalsieve.operators.preparing import (
     build_prompts,
+    completed_pairs,
     convert,
     first_rows,
+    pairing_faults,
     sft_examples,
     shard,
     shard_rows,

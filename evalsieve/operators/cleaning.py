@@ -9,6 +9,7 @@ from evalsieve.functions.text import tokenize
 from evalsieve.operators.contamination import Detection, contamination_summary, detect
 from evalsieve.operators.ngrams import Tokenizer
 from evalsieve.operators.positions import drop_rows
+from evalsieve.scale import settle
 
 
 def decontaminate(train: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def decontamination_report(train: DataFrame, flagged: DataFrame) -> DataFrame:
         (F.col("original") - F.coalesce("removed", F.lit(0))).alias("clean"),
         F.coalesce("removed", F.lit(0)).alias("removed"),
     )
-    rows = train.select(F.count(F.lit(1))).scalar()
-    kept = rows - flagged.select(F.count(F.lit(1))).scalar()
+    counts = settle(counts)  # one row a source; the totals are sums of them
+    rows = counts.select(F.sum("original")).scalar()
+    kept = counts.select(F.sum("clean")).scalar()
     return counts.select(
         "source",
         "original",

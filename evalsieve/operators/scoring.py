@@ -6,7 +6,7 @@ All models, datasets and ratios are scored in one DataFrame keyed by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from evalsieve.functions.text import (
     tail,
     words,
 )
-from evalsieve.scale import join_lookup
+from evalsieve.scale import join_lookup, settle
 
 # The shares of a question that are shown.
 RATIOS = (1.0, 0.8, 0.6, 0.4)
@@ -43,13 +43,26 @@ def prefix_grid(questions: DataFrame, ratios: Sequence[float] = RATIOS) -> DataF
 
 
 def score(grid: DataFrame, completions: DataFrame) -> DataFrame:
-    """Answers, correctness and format of every completion.
+    """Answers, correctness and format of every cell of the grid, for every model.
 
     Completions have (model, dataset, id, ratio, generated) and meet their prompt
-    by key. A cell of the grid has one completion per model.
+    by key. A model that has completions of a dataset answers for all its cells: a
+    missing completion counts as an empty one, neither correct nor boxed, because
+    shares are of the examples asked. Without completions a dataset has no rows of
+    that model.
     """
     cells = grid.select("dataset", "id", "ratio", "answer", "shown", "tail", "tail_length")
-    joined = join_lookup(completions, cells, ["dataset", "id", "ratio"], spread_by=["model"])
+    # one row a dataset, with the models that ran on it
+    runs = settle(completions.groupBy("dataset").agg(F.array_sort(F.collect_set("model")).alias("_models")))
+    asked = (
+        join_lookup(cells, runs, ["dataset"], spread_by=["id", "ratio"])
+        .withColumn("model", F.explode("_models"))
+        .drop("_models")
+    )
+    made = completions.select("model", "dataset", "id", "ratio", "generated")
+    joined = asked.join(made, ["model", "dataset", "id", "ratio"], "left").withColumn(
+        "generated", F.coalesce("generated", F.lit(""))
+    )
     return (
         joined.withColumn("pred_answer_raw", boxed("generated"))
         .withColumn("pred_answer_norm", normalize_answer("pred_answer_raw"))
@@ -141,19 +154,29 @@ def predictions(scored: DataFrame) -> DataFrame:
 
 
 def metrics_records(
-    results: DataFrame, max_new_tokens: int = 2048, temperature: float = 0.0, engine: str = "spark"
+    results: DataFrame,
+    max_new_tokens: int = 2048,
+    temperature: float = 0.0,
+    engine: str = "spark",
+    model_ids: Mapping[str, str] | None = None,
+    data_paths: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Result rows as one record of maps per model and dataset, for output.
 
-    `num_examples` is the largest count of any ratio, as all ratios share their examples.
+    All ratios share their examples, so a record has one `num_examples`. `model_ids` and
+    `data_paths` give the full names; without one, the short name stands in.
     """
 
+    def full(column: str, names: Mapping[str, str] | None):
+        known = F.create_map(*[F.lit(v) for pair in (names or {}).items() for v in pair])
+        return F.coalesce(F.try_element_at(known, F.col(column)), F.col(column)) if names else F.col(column)
+
     def by_ratio(value: str, name: str):
         entry = F.struct(F.col("prefix_ratio").cast("string").alias("key"), F.col(value).alias("value"))
         return F.map_from_entries(F.collect_list(entry)).alias(name)
 
     return results.groupBy("model", "dataset").agg(
-        F.max("total").alias("num_examples"),
+        F.first("total").alias("num_examples"),
         F.sort_array(F.collect_list("prefix_ratio"), asc=False).alias("prefix_ratios"),
         by_ratio("correct", "correct_counts"),
         by_ratio("accuracy", "accuracies"),
@@ -163,7 +186,7 @@ def metrics_records(
         F.lit(max_new_tokens).cast("long").alias("max_new_tokens"),
         F.lit(float(temperature)).alias("temperature"),
         F.lit(engine).alias("inference_engine"),
-    )
+    ).withColumns({"model_id": full("model", model_ids), "data_path": full("dataset", data_paths)})
 
 
 def flatten_metrics(records: DataFrame) -> DataFrame:

@@ -1,131 +1,172 @@
-"""Whole jobs, from files to files: the steps a user runs one after another."""
+"""Whole jobs, from files to files: the steps a user runs one after another.
+
+Every job deletes the tables that it settled on the way, and returns what it reads back
+from its output.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalsieve.functions.text import tokenize
 from evalsieve.operators import cleaning, contamination, ngrams, preparing, scoring
 from evalsieve.operators.completing import Generator, batch_complete
+from evalsieve.operators.ngrams import Tokenizer
 from evalsieve.operators.positions import keep_rows
-from evalsieve.scale import settle
+from evalsieve.scale import settle, settled_tables
 from evalsieve.sources import files
 
-# Flagged positions are listed inside the summary record up to this many; they are
-# always written in full as a table beside it.
-INLINE_INDICES = 1_000_000
+SUMMARY_SCHEMA = (
+    "benchmark string, test_size bigint, contaminated_test bigint, num_contaminated_train bigint, "
+    "contamination_rate double, unmatchable_test bigint"
+)
+REPORT_SCHEMA = (
+    "source string, original bigint, clean bigint, removed bigint, original_pct double, "
+    "clean_pct double, removed_pct double"
+)
+TOTALS_SCHEMA = (
+    "benchmarks bigint, contaminated_test bigint, contaminated_train_max bigint, "
+    "all_clean boolean, contaminated_train_union bigint"
+)
 
 
-def _detection_record(
-    train_path: str,
-    train: DataFrame,
-    found: contamination.Detection,
-    summary: DataFrame,
+def _written(df: DataFrame, path: str, schema: str) -> DataFrame:
+    files.write_jsonl(df, path)
+    return files.read_jsonl(df.sparkSession, path, schema)
+
+
+def detection_record(
+    name: str, train: DataFrame, found: contamination.Detection, summary: DataFrame
 ) -> DataFrame:
-    flagged = found.flagged.select("benchmark", "train_idx")
-    no_list = F.lit(None).cast("array<bigint>")
-    if flagged.count() <= INLINE_INDICES:
-        lists = flagged.groupBy("benchmark").agg(
-            F.sort_array(F.collect_list("train_idx")).alias("contaminated_train_indices")
-        )
-        union = flagged.select(F.sort_array(F.collect_set("train_idx"))).scalar()
-    else:
-        lists = summary.select("benchmark", no_list.alias("contaminated_train_indices"))
-        union = no_list
-    entries = summary.join(lists, "benchmark", "left").select(
-        F.struct(
-            "benchmark",
-            "test_size",
-            "contaminated_test",
-            "contamination_rate",
-            F.when(F.col("num_contaminated_train") == 0, F.array().cast("array<bigint>"))
-            .otherwise(F.col("contaminated_train_indices"))
-            .alias("contaminated_train_indices"),
-            "num_contaminated_train",
-        ).alias("entry")
+    """One record of counts. Positions are never listed in it: however many there are, they
+    are the tables `flagged` (by benchmark) and `flagged_union`."""
+    entry = F.struct(
+        "benchmark", "test_size", "contaminated_test", "contamination_rate", "num_contaminated_train",
+        "unmatchable_test",
     )
     return contamination.contamination_total(found, train).select(
-        F.lit(train_path).alias("training_dataset"),
+        F.lit(name).alias("training_dataset"),
         "training_size",
-        entries.select(F.sort_array(F.collect_list("entry"))).scalar().alias("benchmarks"),
+        # one entry a benchmark
+        summary.select(F.sort_array(F.collect_list(entry))).scalar().alias("benchmarks"),
         "total_contaminated_train",
-        union.alias("contaminated_train_indices"),
+        F.lit("flagged").alias("flagged_folder"),
+        F.lit("flagged_union").alias("flagged_union_folder"),
     )
 
 
 def detect(
-    spark: SparkSession, train_path: str, bench_paths: Sequence[str], out: str
+    spark: SparkSession,
+    train_path: str,
+    bench_paths: Sequence[str],
+    out: str,
+    form: str = "array",
+    n: int | None = None,
+    tokenizer: Tokenizer = tokenize,
+    pairs: bool = True,
+    details: bool = False,
 ) -> DataFrame:
-    """Write summary, match details and flagged positions; return the summary table."""
-    train = files.read_training(spark, train_path)
-    bench = files.read_benchmarks(spark, bench_paths)
-    found = contamination.detect(train, bench, carry=("source",))
-    summary = contamination.contamination_summary(found, bench)
-    record = _detection_record(train_path, train, found, summary)
-    files.write_jsonl(record, f"{out}/contamination_summary")
-    files.write_jsonl(found.flagged, f"{out}/flagged")
-    # pairs need another look at the flagged texts only
-    texts = settle(keep_rows(train, found.flagged.select("train_idx").distinct()))
-    pairs = ngrams.contamination_matches(texts, bench)
-    files.write_jsonl(
-        contamination.match_details(pairs, texts, bench), f"{out}/contamination_matches"
-    )
+    """Write the summary and the flagged positions, and return the summary table.
+
+    `pairs` adds the (item, row) pairs as keys, with the matched rows and the items once
+    each beside them; `details` adds the pairs with both texts.
+    """
+    with settled_tables(spark):
+        train = settle(files.read_training(spark, train_path, form))
+        bench = files.read_benchmarks(spark, bench_paths)
+        found = contamination.detect(train, bench, n, tokenizer, carry=("source",))
+        unmatchable = contamination.unmatchable_items(bench, n, tokenizer)
+        summary = _written(
+            contamination.contamination_summary(found, bench).join(unmatchable, "benchmark"),
+            f"{out}/summary",
+            SUMMARY_SCHEMA,
+        )
+        record = detection_record(train_path, train, found, summary)
+        files.write_jsonl(record, f"{out}/contamination_summary")
+        files.write_jsonl(found.flagged, f"{out}/flagged")
+        files.write_jsonl(found.flagged_rows(), f"{out}/flagged_union")
+        if pairs or details:
+            # pairs need another look at the flagged texts only
+            texts = settle(keep_rows(train, found.flagged.select("train_idx").distinct()))
+            met = settle(ngrams.contamination_matches(texts, bench, n, tokenizer))
+            files.write_jsonl(met, f"{out}/contamination_pairs")
+            files.write_jsonl(texts, f"{out}/matched_rows")
+            files.write_jsonl(bench, f"{out}/items")
+            if details:
+                files.write_jsonl(
+                    contamination.match_details(met, texts, bench), f"{out}/contamination_matches"
+                )
     return summary
 
 
-def clean(spark: SparkSession, train_path: str, found_path: str, out: str) -> DataFrame:
+def clean(
+    spark: SparkSession, train_path: str, found_path: str, out: str, form: str = "array"
+) -> DataFrame:
     """Write the cleaned rows and their positions; return the report by source."""
-    train = files.read_training(spark, train_path)
-    flagged = (
-        files.read_jsonl(
-            spark, f"{found_path}/flagged", "benchmark string, train_idx bigint, source string"
+    with settled_tables(spark):
+        train = settle(files.read_training(spark, train_path, form))
+        flagged = files.read_jsonl(
+            spark, f"{found_path}/flagged_union", "train_idx bigint, source string"
+        )
+        size = train.count()
+        seen = files.read_jsonl(
+            spark, f"{found_path}/contamination_summary", "training_size bigint"
+        ).first()["training_size"]
+        if size != seen:
+            raise ValueError(f"detection saw {seen} training rows, the file has {size}")
+        kept = cleaning.decontaminate(train, flagged)
+        files.write_jsonl(kept.drop("row_idx"), f"{out}/decontaminated")
+        files.write_jsonl(cleaning.clean_indices(train, flagged), f"{out}/clean_train_indices")
+        return _written(
+            cleaning.decontamination_report(train, flagged), f"{out}/report", REPORT_SCHEMA
         )
-        .select("train_idx", "source")
-        .distinct()
-    )
-    size = train.count()
-    seen = files.read_jsonl(
-        spark, f"{found_path}/contamination_summary", "training_size bigint"
-    ).first()["training_size"]
-    if size != seen:
-        raise ValueError(f"detection saw {seen} training rows, the file has {size}")
-    kept = cleaning.decontaminate(train, flagged)
-    files.write_jsonl(kept.drop("row_idx"), f"{out}/decontaminated")
-    files.write_jsonl(
-        cleaning.clean_indices(train, flagged), f"{out}/clean_train_indices"
-    )
-    return cleaning.decontamination_report(train, flagged)
 
 
 def verify(
-    spark: SparkSession, train_path: str, bench_paths: Sequence[str], out: str
+    spark: SparkSession,
+    train_path: str,
+    bench_paths: Sequence[str],
+    out: str,
+    form: str = "lines",
+    n: int | None = None,
+    tokenizer: Tokenizer = tokenize,
 ) -> DataFrame:
-    """Detect again on cleaned JSON lines, write the summary and return its totals."""
-    train = files.number_rows(files.read_jsonl(spark, train_path, files.ROW_SCHEMA))
-    bench = files.read_benchmarks(spark, bench_paths)
-    per_benchmark, totals = cleaning.verify(train, bench)
-    entry = F.struct("benchmark", "test_size", "contaminated_test", "contaminated_train")
-    record = train.agg(F.count(F.lit(1)).alias("training_size")).select(
-        F.lit(train_path).alias("training_dataset"),
-        "training_size",
-        per_benchmark.select(F.sort_array(F.collect_list(entry))).scalar().alias("benchmarks"),
-        totals.select("all_clean").scalar().alias("all_clean"),
-    )
-    files.write_jsonl(record, f"{out}/verification_summary")
-    return totals
+    """Detect again on a cleaned set, write the summary and return its totals."""
+    with settled_tables(spark):
+        train = settle(files.read_training(spark, train_path, form))
+        bench = files.read_benchmarks(spark, bench_paths)
+        per_benchmark, totals = cleaning.verify(train, bench, n, tokenizer)
+        written = _written(totals, f"{out}/verification_totals", TOTALS_SCHEMA)
+        entry = F.struct("benchmark", "test_size", "contaminated_test", "contaminated_train")
+        record = train.agg(F.count(F.lit(1)).alias("training_size")).select(
+            F.lit(train_path).alias("training_dataset"),
+            "training_size",
+            per_benchmark.select(F.sort_array(F.collect_list(entry))).scalar().alias("benchmarks"),
+            written.select("all_clean").scalar().alias("all_clean"),
+        )
+        files.write_jsonl(record, f"{out}/verification_summary")
+        return written
 
 
-def prepare_pool(
-    spark: SparkSession, clean_path: str, out: str, k: int = preparing.PER_SOURCE,
-    seed: int = preparing.SEED,
+def convert(
+    spark: SparkSession, path: str, out: str, kind: str = "training", form: str = "lines"
 ) -> None:
-    """Cleaned rows to a shuffled sample of k questions per source."""
-    rows = files.number_rows(files.read_jsonl(spark, clean_path, files.ROW_SCHEMA))
-    pool = preparing.convert(rows, keep=["row_idx"])
-    sampled = preparing.stratified_sample(pool, k=k, seed=seed, key="row_idx")
-    files.write_jsonl(sampled.drop("row_idx", "shuffle_rank"), out)
+    """Every row as a question with defaults, in JSON lines; benchmarks keep their answers."""
+    with settled_tables(spark):
+        files.write_jsonl(preparing.convert(files.read_training(spark, path, form), kind), out)
+
+
+def sample(
+    spark: SparkSession, pool_path: str, out: str, k: int, seed: int = preparing.SEED
+) -> None:
+    """A shuffled sample of k questions per source (all, where there are fewer)."""
+    with settled_tables(spark):
+        pool = files.number_rows(files.read_jsonl(spark, pool_path))
+        drawn = preparing.stratified_sample(pool, k=k, seed=seed, key="row_idx")
+        files.write_jsonl(drawn.drop("row_idx", "shuffle_rank"), out)
 
 
 def teach(
@@ -134,28 +175,70 @@ def teach(
     out: str,
     load: Callable[[], Generator],
     tasks: int | None = None,
-) -> None:
-    """Prompts for every pooled question, completed in parallel, as training pairs."""
-    prompts = preparing.build_prompts(files.read_jsonl(spark, pool_path))
-    completions = batch_complete(prompts, load, tasks=tasks)
-    files.write_jsonl(preparing.teacher_pairs(prompts, completions), out)
+) -> DataFrame:
+    """A completion for every pooled question, in parallel, as training pairs; previews of
+    the first, middle and last pair are returned.
+
+    One pair for each row: its columns travel with the prompt, so nothing is joined.
+    """
+    with settled_tables(spark):
+        prompts = preparing.build_prompts(files.number_rows(files.read_jsonl(spark, pool_path)))
+        keys = ["row_idx", "id", "source", "prompt"]
+        pairs = settle(preparing.completed_pairs(batch_complete(prompts, load, keys, tasks=tasks)))
+        files.write_jsonl(pairs.drop("row_idx"), out)
+        return _written(
+            preparing.teacher_preview(pairs), f"{out}_preview",
+            "row_idx bigint, id string, input_preview string, target_preview string",
+        )
 
 
 def evaluate(
-    questions: DataFrame, completions: DataFrame, out: str, ratios: Sequence[float] = scoring.RATIOS
+    questions: DataFrame,
+    completions: DataFrame,
+    out: str,
+    ratios: Sequence[float] = scoring.RATIOS,
+    model_ids: Mapping[str, str] | None = None,
+    data_paths: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Score completions; write predictions, metric records and the result CSV, and return
+    the result rows. Every completion is computed once."""
+    spark = questions.sparkSession
+    with settled_tables(spark):
+        made = settle(completions.select("model", "dataset", "id", "ratio", "generated"))
+        scored = settle(scoring.memorization(scoring.score(scoring.prefix_grid(questions, ratios), made)))
+        files.write_jsonl(scoring.predictions(scored), f"{out}/predictions")
+        results = settle(scoring.eval_metrics(scored))
+        records = scoring.metrics_records(results, model_ids=model_ids, data_paths=data_paths)
+        files.write_jsonl(records, f"{out}/metrics")
+        files.write_results(results, f"{out}/results")
+    return files.read_results(spark, f"{out}/results")
+
+
+def evaluate_files(
+    spark: SparkSession,
+    question_paths: str | Sequence[str],
+    models: Mapping[str, Callable[[], Generator]],
+    out: str,
+    ratios: Sequence[float] = scoring.RATIOS,
+    limit: int = 0,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Score completions; write predictions, metric records and the result CSV."""
-    grid = scoring.prefix_grid(questions, ratios)
-    scored = scoring.memorization(scoring.score(grid, completions))
-    files.write_jsonl(scoring.predictions(scored), f"{out}/predictions")
-    results = scoring.eval_metrics(scored)
-    files.write_jsonl(scoring.metrics_records(results), f"{out}/metrics")
-    files.write_results(results, f"{out}/results")
-    return results
-
-
-def collect_results(spark: SparkSession, pattern: str, out: str) -> DataFrame:
-    """Metric files of many runs to one result CSV."""
-    results = scoring.flatten_metrics(files.read_metrics(spark, pattern))
-    files.write_results(results, out)
-    return results
+    """The same from question files: every model completes the grid of all their questions."""
+    with settled_tables(spark):
+        questions = settle(files.read_questions(spark, question_paths, limit))
+        grid = scoring.prefix_grid(questions, ratios)
+        made = None
+        for name, load in models.items():
+            own = batch_complete(grid, load, ["dataset", "id", "ratio"], tasks=tasks).withColumnRenamed(
+                "completion", "generated").withColumn("model", F.lit(name))
+            made = own if made is None else made.unionByName(own)
+        return evaluate(questions, made, out, ratios)
+
+
+def collect_results(spark: SparkSession, pattern: str, out: str, form: str = "files") -> DataFrame:
+    """Metric records of many runs to one result CSV: files that hold one record each, or the
+    folders that `evaluate` writes ("lines")."""
+    with settled_tables(spark):
+        read = files.read_metrics if form == "files" else files.read_metric_lines
+        files.write_results(scoring.flatten_metrics(read(spark, pattern)), out)
+    return files.read_results(spark, out)

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalsieve.scale import settle
+
 # Display label of every model.
 MODEL_LABELS = {
     "Llama-3.1-8B-Instruct": "Llama 3.1-8B (Teacher)",
@@ -168,7 +170,11 @@ def difficulty_pivot(
 
 
 def summary_grid(results: DataFrame) -> DataFrame:
-    """Every model with every dataset at the full prompt; MISSING without a result."""
+    """Every model with every dataset at the full prompt; MISSING without a result.
+
+    The result rows are used three times, so they are settled first; they are few.
+    """
+    results = settle(results)
     datasets = results.select(F.array_sort(F.collect_set("dataset"))).scalar()
     grid = results.select("model").distinct().withColumn("dataset", F.explode(datasets))
     measured = results.where(F.col("prefix_ratio") == 1.0).select(

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,46 +36,36 @@ METRICS_FILE = r"^eval_([^_]+)_(.+)_vllm\.json$"
 
 def _knows_row_index(scan: DataFrame) -> bool:
     """Whether the reader gives the place of a row in its file (Parquet does)."""
-    try:
-        scan.select("_metadata.row_index")
-    except AnalysisException:
-        return False
-    return True
+    return "row_index" in scan.select("_metadata").schema["_metadata"].dataType.names
 
 
-def _pin_splits(spark: SparkSession) -> None:
-    """Keep the way files are split, which otherwise follows the cores at hand, so
-    that losing executors cannot give a later scan other splits."""
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-
-
-def number_rows(scan: DataFrame, name: str = "row_idx") -> DataFrame:
+def number_rows(scan: DataFrame, name: str = "row_idx", within_file: bool = False) -> DataFrame:
     """Number the rows of a file scan from 0, by file path and place in the file.
 
     Takes a DataFrame straight from a reader. Parquet rows know their place in the
-    file. The rows of a text split are read in order by one task, so there a split
-    stands in for the file. Either way one aggregated row per file or split tells
-    how many rows precede it; the data itself is neither moved nor sorted.
+    file. The rows of a text split are read in order by one task; they are settled with
+    their place in the split, so that texts are parsed once and a later scan cannot be
+    split in another way. One aggregated row per file or split tells how many rows
+    precede it; these rows, not the data, are put in order by one task. With
+    `within_file` every file counts from 0.
     """
+    path = F.col("_metadata.file_path").alias("_path")
     if _knows_row_index(scan):
         part = ["_path"]
-        marked = scan.select(
-            "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.row_index").alias("_seen"),
-        )
+        marked = scan.select("*", path, F.col("_metadata.row_index").alias("_seen"))
     else:
-        _pin_splits(scan.sparkSession)
         part = ["_path", "_start"]
-        marked = scan.select(
-            "*",
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_seen"),
+        marked = settle(
+            scan.select(
+                "*",
+                path,
+                F.col("_metadata.file_block_start").alias("_start"),
+                F.monotonically_increasing_id().alias("_seen"),
+            )
         )
     in_order = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    if within_file:
+        in_order = Window.partitionBy("_path").orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         marked.groupBy(*part)
         .agg(F.min("_seen").alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -112,22 +101,59 @@ def read_jsonl(
     return _json(spark, schema).json(paths)
 
 
-def read_training(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Training rows with their position, from JSON arrays."""
-    return number_rows(read_json_array(spark, paths))
+def read_training(
+    spark: SparkSession, paths: str | Sequence[str], form: str = "array"
+) -> DataFrame:
+    """Training rows with their position, from JSON arrays ("array"), JSON lines ("lines")
+    or Parquet files ("parquet"). An array file is read by one task."""
+    if form == "parquet":
+        wanted = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
+        paths = [paths] if isinstance(paths, str) else list(paths)
+        scan = spark.read.schema(ROW_SCHEMA).parquet(*paths).select(*wanted, "_metadata")
+        return number_rows(scan).drop("_metadata")
+    if form not in ("array", "lines"):
+        raise ValueError(f"form must be array, lines or parquet, not {form!r}")
+    read = read_json_array if form == "array" else read_jsonl
+    return number_rows(read(spark, paths, ROW_SCHEMA))
 
 
 def read_benchmarks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Benchmark items; the benchmark is the file's stem, the position its place in it."""
-    items = read_json_array(spark, paths).select("*", "_metadata")
-    numbered = number_rows(items, "_all").withColumn(
-        "benchmark", file_stem(F.col("_metadata.file_name"))
+    """Benchmark items; every file is a benchmark of its own, with positions from 0.
+
+    The benchmark is the file's stem; files of equal stems are told apart by the path of
+    their folder.
+    """
+    items = read_json_array(spark, paths).select("*", F.col("_metadata.file_path").alias("_file"), "_metadata")
+    numbered = number_rows(items, "test_idx", within_file=True).drop("_metadata")
+    stem = file_stem(F.element_at(F.split("_file", "/"), -1))
+    folder = F.regexp_extract("_file", "^(?:file:)?(.*)/[^/]*$", 1)
+    alike = F.count(F.lit(1)).over(Window.partitionBy("_stem"))
+    # one row a file
+    names = numbered.select("_file").distinct().withColumn("_stem", stem).select(
+        "_file",
+        F.when(alike > 1, F.concat(folder, F.lit("/"), F.col("_stem")))
+        .otherwise(F.col("_stem"))
+        .alias("benchmark"),
     )
-    first = numbered.groupBy("benchmark").agg(F.min("_all").alias("_first"))
-    return (
-        join_lookup(numbered, first, ["benchmark"], spread_by=["_all"])
-        .withColumn("test_idx", F.col("_all") - F.col("_first"))
-        .drop("_all", "_first", "_metadata")
+    return join_lookup(numbered, settle(names), ["_file"], spread_by=["test_idx"]).drop("_file")
+
+
+def read_questions(
+    spark: SparkSession, paths: str | Sequence[str], limit: int = 0
+) -> DataFrame:
+    """Questions (dataset, id, question, answer) of JSON-lines files, by default all.
+
+    The dataset is the file's stem, a missing id is made of the position in the file, and a
+    `limit` keeps the first rows of every file.
+    """
+    scan = read_jsonl(spark, paths).select("*", F.col("_metadata.file_name").alias("_file"), "_metadata")
+    numbered = number_rows(scan, "_at", within_file=True)
+    kept = numbered.where(F.col("_at") < limit) if limit > 0 else numbered
+    return kept.select(
+        file_stem(F.col("_file")).alias("dataset"),
+        F.coalesce("id", F.format_string("ex_%d", "_at")).alias("id"),
+        "question",
+        "answer",
     )
 
 
@@ -141,21 +167,28 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """Metric records of many files, with dataset and model from the file name."""
+    """Metric records of files that hold one each, with dataset and model from the file
+    name. A file of another name fails the job."""
     name = F.col("_metadata.file_name")
 
     def part(i: int) -> Column:
-        return F.regexp_extract(name, METRICS_FILE, i)
+        other = F.raise_error(F.concat(F.lit("no dataset and model in the name of "), name))
+        found = F.regexp_extract(name, METRICS_FILE, i)
+        return F.when(found == "", other.cast("string")).otherwise(found)
 
     return (
         _json(spark, METRICS_SCHEMA)
         .option("multiLine", True)
         .json(pattern)
         .select(part(2).alias("model"), part(1).alias("dataset"), "*")
-        .where(F.col("model") != "")
     )
 
 
+def read_metric_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Metric records as `evaluate` writes them: JSON lines that name model and dataset."""
+    return _json(spark, f"model string, dataset string, {METRICS_SCHEMA}").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Result rows as CSV with a header, columns and rows in fixed order."""
     (

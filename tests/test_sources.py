@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from evalsieve.sources import files
 
 
 def write_json(path, value):
+    path.parent.mkdir(exist_ok=True)
     path.write_text(json.dumps(value, ensure_ascii=False), encoding="utf-8")
     return str(path)
 
@@ -123,9 +125,14 @@ def test_jobs_from_files_to_files(spark, tmp_path):
 
     (record,) = records("contamination_summary")
     assert record["training_size"] == 40 and record["total_contaminated_train"] == 10
-    assert record["contaminated_train_indices"] == list(range(0, 40, 4))
+    union = [r["train_idx"] for r in records(record["flagged_union_folder"])]
+    assert sorted(union) == list(range(0, 40, 4))
+    flagged = [(r["benchmark"], r["train_idx"]) for r in records(record["flagged_folder"])]
+    assert sorted(flagged) == [("first-set", i) for i in range(0, 40, 4)]
     assert [b["benchmark"] for b in record["benchmarks"]] == ["first-set", "second.set"]
-    assert record["benchmarks"][1]["contaminated_train_indices"] == []
+    assert [b["unmatchable_test"] for b in record["benchmarks"]] == [0, 0]
+    assert len(records("contamination_pairs")) == len(records("matched_rows")) == 10
+    jobs.detect(spark, train_path, bench_paths, out, details=True)
     matches = records("contamination_matches")
     assert len(matches) == 10 and {m["test_id"] for m in matches} == {"0"}
     assert {m["train_id"] for m in matches} == {f"t{i}" for i in range(0, 40, 4)}
@@ -140,17 +147,113 @@ def test_jobs_from_files_to_files(spark, tmp_path):
     (verified,) = records("verification_summary")
     assert verified["all_clean"] is True and verified["training_size"] == 30
 
-    jobs.prepare_pool(spark, cleaned, f"{out}/pool", k=5)
+    # a cleaned set can be searched and cleaned again, with another n and other words
+    again = jobs.detect(spark, cleaned, bench_paths, f"{out}/again", form="lines", n=9, pairs=False)
+    assert {r["contaminated_test"] for r in again.collect()} == {0}
+    jobs.clean(spark, cleaned, f"{out}/again", f"{out}/again", form="lines")
+    spark.read.json(cleaned).write.parquet(f"{out}/parquet")
+    assert jobs.verify(spark, f"{out}/parquet", bench_paths, out, form="parquet").first()["all_clean"]
+
+    jobs.convert(spark, cleaned, f"{out}/all")
+    assert len(records("all")) == 30
+    jobs.sample(spark, f"{out}/all", f"{out}/pool", k=5)
     assert len(records("pool")) == 10
-    jobs.teach(spark, f"{out}/pool", f"{out}/pairs", lambda: lambda ps: [" done "] * len(ps), tasks=2)
+    shown = jobs.teach(spark, f"{out}/pool", f"{out}/pairs", lambda: lambda ps: [" done "] * len(ps), tasks=2)
     pairs = records("pairs")
     assert len(pairs) == 10 and {p["target_text"] for p in pairs} == {"done"}
+    assert [r["row_idx"] for r in shown.orderBy("row_idx").collect()] == [0, 5, 9]
 
     other = write_json(tmp_path / "other.json", train[:39])
     with pytest.raises(ValueError, match="39"):
         jobs.clean(spark, other, out, out)
 
 
+def test_teaching_keeps_every_row(spark, tmp_path):
+    """Equal and missing ids give one pair for each row, and nothing is shuffled."""
+    rows = [{"question": f"q{i}", "source": "s", **({"id": "x"} if i < 3 else {})} for i in range(4)]
+    (tmp_path / "pool.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    jobs.teach(spark, str(tmp_path / "pool.jsonl"), str(tmp_path / "pairs"), lambda: lambda ps: [p.split("Problem:\n")[1] for p in ps])
+    pairs = spark.read.json(str(tmp_path / "pairs")).collect()
+    assert sorted(r["target_text"].split()[0] for r in pairs) == ["q0", "q1", "q2", "q3"]
+    assert all(r["target_text"].split()[0] in r["input_text"] for r in pairs)
+
+
+def test_benchmarks_of_one_name_stay_apart(spark, tmp_path):
+    sizes = {"a/test": 5, "m/other": 2, "z/test": 5}
+    paths = [write_json(tmp_path / f"{p}.json", [{"prompt": f"{p} {i}"} for i in range(n)]) for p, n in sizes.items()]
+    found = files.read_benchmarks(spark, paths).collect()
+    for p, n in sizes.items():
+        own = sorted((r["test_idx"], r["prompt"]) for r in found if r["benchmark"].endswith(p.removeprefix("m/")))
+        assert own == [(i, f"{p} {i}") for i in range(n)]
+    assert {r["benchmark"] for r in found if r["prompt"].startswith("m")} == {"other"}
+
+
+def test_question_files(spark, tmp_path):
+    rows = [{"question": f"q{i}", "answer": str(i), **({"id": f"own{i}"} if i % 2 else {})} for i in range(6)]
+    (tmp_path / "math500.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "aime2025.jsonl").write_text(json.dumps(rows[0]))
+    found = files.read_questions(spark, [str(tmp_path / "math500.jsonl"), str(tmp_path / "aime2025.jsonl")], limit=3)
+    assert {tuple(r) for r in found.collect()} == {
+        ("math500", "ex_0", "q0", "0"), ("math500", "own1", "q1", "1"), ("math500", "ex_2", "q2", "2"),
+        ("aime2025", "ex_0", "q0", "0"),
+    }
+    results = jobs.evaluate_files(
+        spark, str(tmp_path / "math500.jsonl"), {"m": lambda: lambda ps: [r"\boxed{1}"] * len(ps)}, str(tmp_path / "out"))
+    assert {(r["total"], r["correct"]) for r in results.collect()} == {(6, 1)}
+
+
+def test_unknown_metric_files_fail(spark, tmp_path):
+    write_json(tmp_path / "eval_aime2025_vllm.json", {"num_examples": 1, "prefix_ratios": [1.0]})
+    with pytest.raises(Exception, match="no dataset and model"):
+        files.read_metrics(spark, str(tmp_path / "eval_*_vllm.json")).collect()
+
+
+def test_text_reads_leave_the_session_alone(spark, tmp_path):
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    (tmp_path / "t.jsonl").write_text('{"prompt": "a"}\n{"prompt": "b"}')
+    assert files.read_training(spark, str(tmp_path / "t.jsonl"), "lines").count() == 2
+    assert spark.conf.get(key, None) == before
+
+
+def test_a_job_leaves_only_its_outputs(spark, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    settled = lambda: {p for p in Path(folder).glob("evalsieve-*/*")}
+    before = settled()
+    rows = [{"prompt": "w " * 30, "source": "s", "id": "t"}]
+    path = write_json(tmp_path / "x.json", rows)
+    jobs.detect(spark, path, [path], str(tmp_path / "out")).collect()
+    jobs.clean(spark, path, str(tmp_path / "out"), str(tmp_path / "out")).collect()
+    assert settled() == before
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {
+        "summary", "contamination_summary", "flagged", "flagged_union", "contamination_pairs", "matched_rows",
+        "items", "decontaminated", "clean_train_indices", "report"}
+
+
+def test_evaluation_counts_missing_completions_and_runs_once(spark, tmp_path):
+    questions = spark.createDataFrame(
+        [("math500", i, f"question number {i} with words", "5") for i in range(6)]
+        + [("aime2025", i, "asked of no model", "5") for i in range(2)],
+        "dataset string, id long, question string, answer string",
+    )
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    grid = scoring.prefix_grid(questions).where("dataset = 'math500' and not (id = 2 and ratio = 0.4)")
+    made = grid.select(F.lit("m").alias("model"), "dataset", "id", "ratio", F.lit(r"\boxed{5}").alias("generated"))
+    made = made.mapInPandas(count, made.schema)
+    results = {r["prefix_ratio"]: r for r in jobs.evaluate(questions, made, str(tmp_path / "out")).collect()}
+    assert computed.value == 23
+    assert {r["total"] for r in results.values()} == {6} and results[0.4]["correct"] == 5
+    assert results[0.4]["no_boxed_count"] == 1 and results[0.4]["accuracy"] == 5 / 6
+    again = jobs.collect_results(spark, str(tmp_path / "out" / "metrics"), str(tmp_path / "csv"), form="lines")
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in results.values()}
+
+
 def test_evaluation_job(spark, tmp_path):
     questions = spark.createDataFrame(
         [("math500", i, f"question number {i} with words", "5") for i in range(6)],
