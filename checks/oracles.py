@@ -5,12 +5,40 @@ Python's whitespace is spelled out, because RE2's \s is ASCII only.
 
 from __future__ import annotations
 
-from evalsieve.functions.text import PROMPT_HEAD, PROMPT_TAIL
-from evalsieve.plans.reports import DIFFICULTY_ROWS, FAMILIES, MODEL_LABELS
+# Fixed values, spelled out here on their own: the prompt around a question, the models in
+# the order of the completions with their labels, the families, and the rows of the pivot.
+PROMPT_HEAD = (
+    "You are a math problem solving assistant.\n"
+    "Solve the following problem step by step and put the final answer in \\boxed{}.\n\nProblem:\n"
+)
+PROMPT_TAIL = "\n\nSolution:\n"
+MODEL_LABELS = {
+    "Llama-3.1-8B-Instruct": "Llama 3.1-8B (Teacher)",
+    "Llama-3.2-1B-Instruct": "Llama 3.2-1B (Base)",
+    "llama_instruct_from_llama_merged": "Llama 3.2-1B (Student)",
+    "llama_from_qwen_merged": "Llama 3.2-1B (Cross-Family)",
+    "Qwen2.5-Math-7B-Instruct": "Qwen2.5-Math-7B (Teacher)",
+    "Qwen2.5-1.5B": "Qwen2.5-1.5B (Base)",
+    "qwen_from_qwen_merged": "Qwen2.5-1.5B (Student)",
+    "qwen_from_llama_merged": "Qwen2.5-1.5B (Cross-Family)",
+}
+FAMILIES = {
+    "Llama": ["Llama 3.1-8B (Teacher)", "Llama 3.2-1B (Base)", "Llama 3.2-1B (Student)"],
+    "Qwen": ["Qwen2.5-Math-7B (Teacher)", "Qwen2.5-1.5B (Base)", "Qwen2.5-1.5B (Student)"],
+}
+DIFFICULTY_ROWS = [
+    "Qwen2.5-Math-7B (Teacher)",
+    "Qwen2.5-1.5B (Student)",
+    "Qwen2.5-1.5B (Base)",
+    "Llama 3.1-8B (Teacher)",
+    "Llama 3.2-1B (Student)",
+    "Llama 3.2-1B (Base)",
+]
 
 SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+SPACE_ANY, NO_SPACE = SPACE[:-1] + "*", "[^" + SPACE[1:]
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
@@ -53,11 +81,22 @@ LENGTHS = """lengths AS (
   FROM bench GROUP BY benchmark)"""
 
 
-def match_ctes(n: int | None = None, docs: str = "documents") -> str:
+#: The benchmark again, split by the length of its items, so that the two n differ.
+BY_LENGTH = f"""by_length AS (
+  SELECT CASE WHEN len({words("lower(text)")}) < 20 THEN 'short' ELSE 'long' END AS benchmark, item_id AS test_idx,
+    text, {words("lower(text)")} AS t FROM benchmark)"""
+
+
+def match_ctes(n: int | None = None, docs: str = "documents", bench_from: str = "", tokens: str = "") -> str:
     """CTEs up to `hits`: every matching pair of positions."""
+    own = f"bench AS (SELECT * FROM {bench_from})" if bench_from else BENCH
+    text_tokens = words("lower(text)")
+    if tokens:
+        text_tokens = tokens.replace("{text}", "text")
+        own = own.replace(words("lower(text)"), text_tokens)
     lengths = LENGTHS if n is None else f"lengths AS (SELECT DISTINCT benchmark, {n} AS n FROM bench)"
-    return f"""{BENCH}, {lengths},
-docs AS (SELECT doc_id, source, {words("lower(text)")} AS t FROM {docs}),
+    return f"""{own}, {lengths},
+docs AS (SELECT doc_id, source, {text_tokens} AS t FROM {docs}),
 bench_at AS (
   SELECT benchmark, test_idx, t, n, unnest(range(1, len(t) - n + 2)) AS i
   FROM bench JOIN lengths USING (benchmark)),
@@ -116,8 +155,8 @@ grid AS (
   FROM cells)"""
 
 COMPLETIONS = GRID + r""",
-completions AS (
-  SELECT model, model_label, grid.*,
+given AS (
+  SELECT model, model_label, grid.dataset, id, r,
     concat(
       CASE id % 5 WHEN 0 THEN concat(tail, ' ') WHEN 1 THEN concat(substr(tail, 11), ' ') ELSE '' END,
       text,
@@ -131,7 +170,14 @@ completions AS (
         ELSE concat(' \boxed{\text{ ', number, ' }}. Done {x}.') END) AS generated
   FROM documents
   JOIN labels_of ON m = doc_id % 8
-  JOIN grid ON id = doc_id // 32 AND r = (doc_id // 8) % 4)"""
+  JOIN grid ON id = doc_id // 32 AND r = (doc_id // 8) % 4),
+-- a model is asked every example of its datasets; what is missing counts as empty
+completions AS (
+  SELECT runs.model, runs.model_label, grid.*, coalesce(given.generated, '') AS generated,
+    given.model IS NOT NULL AS present
+  FROM (SELECT DISTINCT model, model_label, dataset FROM given) runs
+  JOIN grid USING (dataset)
+  LEFT JOIN given ON given.model = runs.model AND given.id = grid.id AND given.r = grid.r)"""
 
 
 def normalized(source: str, column: str, name: str, prefix: str) -> str:
@@ -224,6 +270,8 @@ TEACHER = f"""turn_pairs AS (
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
+LETTERS = "regexp_extract_all(lower({text}), '[a-z]+')"
+
 ORACLES: dict[str, str] = {
     "tokenize": f"""SELECT doc_id AS row_idx, len({words("lower(text)")}) AS n_tokens,
   array_to_string({words("lower(text)")}, ' ') AS tokens FROM documents""",
@@ -233,9 +281,9 @@ SELECT doc_id AS row_idx, ratio, shown, substr(text, length(shown) + 1) AS tail,
   length(substr(text, length(shown) + 1)) AS tail_length FROM cut""",
     "boxed_answers": f"""WITH {SCORED}
 SELECT model, id, ratio, pred_answer_raw AS answer, length(generated) AS generated_length
-FROM scored""",
+FROM scored WHERE present""",
     "normalize_answers": f"""WITH {SCORED}
-SELECT model, id, ratio, pred_answer_raw AS raw, pred_answer_norm AS norm FROM scored""",
+SELECT model, id, ratio, pred_answer_raw AS raw, pred_answer_norm AS norm FROM scored WHERE present""",
     "model_names": """SELECT page_id,
   replace(string_split(CASE WHEN ends_with(url, '/') THEN url[:-2] ELSE url END, '/')[-1], ':', '_')
     AS model_name,
@@ -261,6 +309,32 @@ SELECT p.benchmark, p.test_idx, CAST(p.test_idx AS VARCHAR) AS test_id, b.text A
   p.train_idx, CAST(p.train_idx AS VARCHAR) AS train_id, d.source AS train_source,
   d.text AS train_prompt
 FROM pairs p JOIN bench b USING (benchmark, test_idx) JOIN documents d ON d.doc_id = p.train_idx""",
+    "two_lengths": f"""WITH {BY_LENGTH}, {match_ctes(bench_from="by_length")}
+SELECT benchmark, n, test_idx, train_idx FROM (SELECT DISTINCT benchmark, test_idx, train_idx FROM hits)
+JOIN lengths USING (benchmark)""",
+    "letters_only": f"""WITH {match_ctes(8, tokens=LETTERS)}
+SELECT DISTINCT benchmark, test_idx, train_idx FROM hits""",
+    "unmatchable_items": f"""WITH {BENCH}, {LENGTHS}
+SELECT benchmark, CAST(count(*) FILTER (len(t) < n) AS BIGINT) AS unmatchable_test
+FROM bench JOIN lengths USING (benchmark) GROUP BY benchmark""",
+    "detection_record": f"""{MATCH}, summary AS (
+  {SUMMARY.format(rows_name='num_contaminated_train')}),
+total AS (SELECT count(DISTINCT train_idx) AS u FROM pairs),
+docs_n AS (SELECT count(*) AS n FROM documents)
+SELECT 'documents' AS training_dataset, docs_n.n AS training_size, u AS total_contaminated_train,
+  benchmark, test_size, contaminated_test, num_contaminated_train,
+  (SELECT count(*) FROM (SELECT DISTINCT benchmark, train_idx FROM pairs) f WHERE f.benchmark = summary.benchmark)
+    AS listed, u AS listed_union
+FROM summary, total, docs_n""",
+    "benchmark_files": """SELECT CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'b' END AS folder,
+  row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id) - 1 AS test_idx, text AS prompt
+FROM benchmark""",
+    "text_positions": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx,
+  CAST(doc_id AS VARCHAR) AS id, text AS prompt FROM documents""",
+    "question_files": """SELECT 'items' AS dataset, CASE WHEN spot % 2 = 0 THEN concat('q', item_id) ELSE concat('ex_', spot) END AS id,
+  text AS question, CAST(item_id AS VARCHAR) AS answer
+FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS spot FROM benchmark) WHERE spot < 50""",
+    "first_rows": "SELECT doc_id AS row_idx, source FROM documents WHERE doc_id < 100",
     "source_counts": "SELECT source, count(*) AS rows FROM documents GROUP BY source",
     "decontaminate": f"""{MATCH}
 SELECT doc_id AS row_idx, source, text AS prompt FROM documents
@@ -299,9 +373,15 @@ FROM placed WHERE place <= 20""",
   SELECT id, source, concat(input_text, target_text) AS whole,
     {words("concat(input_text, target_text)")} AS w FROM turn_pairs)
 SELECT id, source,
-  CASE WHEN len(w) <= 100 THEN whole ELSE array_to_string(w[1:100], ' ') END AS text,
+  CASE WHEN len(w) <= 100 THEN whole ELSE regexp_extract(whole, '^({SPACE_ANY}{NO_SPACE}){{1,100}}') END AS text,
   least(len(w), 100) AS n_tokens, len(w) > 100 AS truncated
 FROM joined""",
+    "pairing_faults": """WITH p AS (SELECT concat(conv_id, ':', turn) AS id, count(*) AS n FROM conversations
+  WHERE role = 'user' GROUP BY ALL),
+c AS (SELECT concat(conv_id, ':', turn - 1) AS id, count(*) AS n FROM conversations
+  WHERE role = 'assistant' GROUP BY ALL)
+SELECT id, CAST(coalesce(p.n, 0) AS BIGINT) AS prompts, CAST(coalesce(c.n, 0) AS BIGINT) AS completions
+FROM p FULL JOIN c USING (id) WHERE coalesce(p.n, 0) <> 1 OR coalesce(c.n, 0) <> 1""",
     "teacher_preview": f"""WITH n AS (SELECT count(*) AS n FROM documents)
 SELECT doc_id AS row_idx, CAST(doc_id AS VARCHAR) AS id,
   substr({prompt("text")}, 1, 100) AS input_preview, substr(text, 1, 150) AS target_preview
@@ -326,9 +406,8 @@ SELECT model, dataset, id, gold_answer_norm, CAST(ratio AS VARCHAR) AS ratio,
   round(rougel_f, 9) AS rougel_f
 FROM scored JOIN fscored USING (model, id, ratio)""",
     "eval_metrics": f"{RESULTS} SELECT * FROM result_rows",
-    # a metric record has one example count for all its ratios
-    "flatten_metrics": f"""{RESULTS}
-SELECT * REPLACE (max(total) OVER (PARTITION BY model, dataset) AS total) FROM result_rows""",
+    "flatten_metrics": f"{RESULTS} SELECT * FROM result_rows",
+    "metrics_roundtrip": f"{RESULTS} SELECT * FROM result_rows",
     "results_csv": f"{RESULTS} SELECT * FROM result_rows",
     "training_jsonl": """SELECT text AS question, source, CAST(doc_id AS VARCHAR) AS id
 FROM documents""",

@@ -21,7 +21,7 @@ from evalsieve.functions.text import (
     tail,
 )
 from evalsieve.operators import cleaning, completing, contamination, ngrams, preparing, scoring
-from evalsieve.plans import reports
+from evalsieve.plans import jobs, reports
 from evalsieve.scale import shared_folder
 from evalsieve.sources import files
 
@@ -154,10 +154,66 @@ def contamination_total(spark, sf_dir):
 
 @query
 def match_sources(spark, sf_dir):
-    pairs = ngrams.contamination_matches(
-        training_texts(spark, sf_dir), benchmarks(spark, sf_dir), carry=["source"]
+    """Counted without making the pairs."""
+    return ngrams.pairs_per_source(training_texts(spark, sf_dir), benchmarks(spark, sf_dir))
+
+
+@query
+def two_lengths(spark, sf_dir):
+    """Two benchmarks of long and of short items, so that each has an n of its own."""
+    size = F.size(text.tokenize("prompt"))
+    bench = benchmarks(spark, sf_dir).withColumn(
+        "benchmark", F.when(size < 20, "short").otherwise("long")
+    )
+    lengths = ngrams.ngram_length(bench).select("benchmark", F.col("n").cast("long").alias("n"))
+    pairs = ngrams.contamination_matches(training_texts(spark, sf_dir), bench)
+    return pairs.join(F.broadcast(lengths), "benchmark")  # two rows
+
+
+@query
+def letters_only(spark, sf_dir):
+    """Matching with a tokenizer of the caller's."""
+
+    def letters(column):
+        return F.regexp_extract_all(F.lower(column), F.lit("[a-z]+"), F.lit(0))
+
+    return ngrams.contamination_matches(
+        training_texts(spark, sf_dir), benchmarks(spark, sf_dir), n=8, tokenizer=letters
+    )
+
+
+@query
+def unmatchable_items(spark, sf_dir):
+    return contamination.unmatchable_items(benchmarks(spark, sf_dir))
+
+
+@query
+def detection_record(spark, sf_dir):
+    """The summary record, unfolded, beside the sizes of the position tables it names."""
+    found, bench = _detected(spark, sf_dir)
+    summary = contamination.contamination_summary(found, bench).join(
+        contamination.unmatchable_items(bench), "benchmark"
+    )
+    record = jobs.detection_record("documents", training(spark, sf_dir), found, summary)
+    listed = found.flagged.groupBy("benchmark").agg(F.count(F.lit(1)).alias("listed"))
+    union = found.flagged_rows().select(F.count(F.lit(1))).scalar()
+    return (
+        record.select(
+            "training_dataset", "training_size", "total_contaminated_train", F.inline("benchmarks")
+        )
+        .join(F.broadcast(listed), "benchmark", "left")
+        .select(
+            "training_dataset",
+            "training_size",
+            "total_contaminated_train",
+            "benchmark",
+            "test_size",
+            "contaminated_test",
+            "num_contaminated_train",
+            F.coalesce("listed", F.lit(0).cast("long")).alias("listed"),
+            union.alias("listed_union"),
+        )
     )
-    return contamination.match_sources(pairs)
 
 
 @query
@@ -244,6 +300,55 @@ def position_index(spark, sf_dir):
     return files.number_rows(scan).select("doc_id", "row_idx")
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid4()}"
+
+
+@query
+def text_positions(spark, sf_dir):
+    """Positions of the rows of a text source: the training rows in JSON lines."""
+    folder = _folder(spark, "text_positions")
+    rows = training(spark, sf_dir).select("prompt", "answer", "source", "id", "row_idx")
+    # as many files as the table has splits, in the order of its rows
+    files.write_jsonl(rows.sort("row_idx").drop("row_idx"), folder)
+    return files.read_training(spark, folder, "lines").select("row_idx", "id", "prompt")
+
+
+@query
+def benchmark_files(spark, sf_dir):
+    """Two files of one name in two folders are two benchmarks, each counted from 0."""
+    folder = _folder(spark, "benchmark_files")
+    half = F.when(F.col("test_idx") % 2 == 0, "a").otherwise("b").alias("half")
+    # a published benchmark is one array in one file; one task writes both, under one name
+    entry = F.struct("test_idx", "prompt", "answer", "source", "id")
+    arrays = (
+        benchmarks(spark, sf_dir).groupBy(half).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+        .select("half", F.to_json(F.transform("e", lambda e: e.dropFields("test_idx"))).alias("value"))
+    )
+    arrays.coalesce(1).write.partitionBy("half").text(folder)
+    found = files.read_benchmarks(spark, [f"{folder}/half=a", f"{folder}/half=b"])
+    return found.select(F.regexp_extract("benchmark", "half=([ab])/", 1).alias("folder"), "test_idx", "prompt")
+
+
+@query
+def question_files(spark, sf_dir):
+    """Questions of a file: dataset by its stem, ids filled in, the first 50 rows."""
+    folder = _folder(spark, "question_files")
+    item = F.col("test_idx").cast("string")
+    rows = benchmarks(spark, sf_dir).sort("test_idx").coalesce(1).select(
+        F.col("prompt").alias("question"),
+        item.alias("answer"),
+        F.when(F.monotonically_increasing_id() % 2 == 0, F.concat(F.lit("q"), item)).alias("id"),
+    )
+    files.write_jsonl(rows, folder)
+    return files.read_questions(spark, folder, limit=50).withColumn("dataset", F.lit("items"))
+
+
+@query
+def first_rows(spark, sf_dir):
+    return preparing.first_rows(training(spark, sf_dir).select("row_idx", "source"), 100)
+
+
 @query
 def stratified_sample(spark, sf_dir):
     pool = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -270,6 +375,13 @@ def teacher_pairs(spark, sf_dir):
     return _teacher_pairs(spark, sf_dir)
 
 
+@query
+def pairing_faults(spark, sf_dir):
+    """Turns without an answer, and answers without a turn before them."""
+    answers = _turns(spark, sf_dir, "assistant").withColumnRenamed("text", "completion")
+    return preparing.pairing_faults(_turns(spark, sf_dir, "user"), answers)
+
+
 @query
 def sft_examples(spark, sf_dir):
     return preparing.sft_examples(_teacher_pairs(spark, sf_dir), max_tokens=100).select(
@@ -391,6 +503,14 @@ def flatten_metrics(rows):
     return _rounded(scoring.flatten_metrics(scoring.metrics_records(rows)))
 
 
+@query
+def metrics_roundtrip(spark, sf_dir):
+    """Metric records as a job writes them, read back and flattened."""
+    folder = _folder(spark, "metrics")
+    files.write_jsonl(scoring.metrics_records(results(spark, sf_dir)), folder)
+    return _rounded(scoring.flatten_metrics(files.read_metric_lines(spark, folder)))
+
+
 @query
 def results_csv(spark, sf_dir):
     """Result rows through the CSV sink and back."""
