@@ -28,7 +28,7 @@ from evalsieve.scale import settle
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 64-bit words of the fingerprints that stand for that similarity.
-WIDE_WORDS = 4
+WIDE_WORDS = 8
 #: Bands of minimum hashes, and hashes in a band.
 BANDS = 10
 BAND_ROWS = 4
@@ -43,11 +43,11 @@ _LANES = np.array(
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits that two sets of a Jaccard similarity have on average, and half a
-    standard deviation more: SimHash measures the angle, and sets of equal size with
+    """Differing bits that two sets of a Jaccard similarity have on average, and a standard
+    deviation more: SimHash measures the angle, and sets of equal size with
     similarity s have the cosine 2s / (1 + s)."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 0.7 * np.sqrt(bits * p * (1 - p)) + 0.5)
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
 def _hashes(text: str, words: int) -> list[int]:
@@ -143,12 +143,13 @@ def links(nodes: DataFrame, keys, radius: int, bucket: int = BUCKET) -> DataFram
     Buckets above `bucket` fingerprints are cut into parts, and every two parts are compared
     in a task of their own, so no link is lost and no task gets more than twice `bucket`.
     """
-    placed = settle(nodes.select("node", "fp", F.explode(keys).alias("key")))
+    placed = settle(nodes.select("node", F.explode(keys).alias("key")))
     sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / bucket).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     met = (
         placed.join(sizes, "key")
+        .join(nodes.select("node", "fp"), "node")  # fingerprints of shared buckets only
         .withColumns({"_parts": parts, "_own": own})
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .groupBy("key", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))

@@ -118,7 +118,7 @@ def test_line_stage(stages):
 def test_near_duplicate_stage(stages):
     got, made = stages[2]
     rows = simhash.fingerprints(got).collect()
-    radius = simhash.radius_for(0.8, 256)
+    radius = simhash.radius_for(0.8, 64 * simhash.WIDE_WORDS)
     pairs = []
     for a, b in combinations(rows, 2):
         bits = sum(bin((x ^ y) % 2**64).count("1") for x, y in zip(a.fp, b.fp))
