@@ -176,8 +176,9 @@ def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS,
         F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= neighbours)
     texts = named.groupBy("template", "_llm_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
         F.count(F.lit(1)).alias("texts"))
-    recurring = pairs.join(texts, "template").where(
-        (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template")
+    # settled, so that it is dealt anew for the join and Spark can split a hot template's lines
+    recurring = settle(pairs.join(texts, "template").where(
+        (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template"))
     return named.join(recurring, "template", "left_semi").select(
         "_llm_id", "_llm_text", "line", "start", "end", "template")
 
