@@ -283,10 +283,15 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | None
         .withColumn("node", node)
     )
     found = components(links(distinct, keys, radius))
-    rooted = distinct.join(found, "node", "left").select(
-        "fp", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
+    linked = distinct.select("node", "doc_id").join(found, "node")
+    # settled, so that both are dealt anew for the join and Spark can split a hot component
+    least = settle(linked.groupBy("root").agg(F.min("doc_id").alias("_llm_least")))
+    linked = linked.join(least, "root").select("node", F.struct("_llm_least").alias("_llm_group"))
+    ids = distinct.join(linked, "node", "left").select(
+        "fp",
+        F.when(F.col("_llm_group").isNull(), F.col("doc_id"))
+        .otherwise(F.col("_llm_group._llm_least")).alias("component_id"),
+    )
     return made.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
