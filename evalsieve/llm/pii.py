@@ -358,7 +358,7 @@ def learn(scanned: DataFrame, sample: int = SAMPLE):
     each = scanned.select("base", F.explode("windows").alias("w")).where(F.length("w.text") <= 4 * SAMPLE_TOKENS)
     inside = F.filter("base", lambda s: (s["start"] < F.col("w.start") + F.length("w.text")) & (s["end"] > F.col("w.start")))
     each = each.select("w", inside.alias("base"))
-    drawn = lambda df: df.orderBy(F.xxhash64("w"), "w.start", "w.text").limit(sample // 2)
+    drawn = lambda df: df.distinct().orderBy(F.xxhash64("w"), "w.start", "w.text").limit(sample // 2)
     # where several chunks stand together the rules read across them, so what they miss there
     # is no evidence against an entity
     without = each.where((F.size("base") == 0) & ~F.contains("w.text", F.lit(" ")))

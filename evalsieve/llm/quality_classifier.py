@@ -191,6 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         chosen.select("doc_id", F.col("quality").cast("int").alias("quality"), "text"),
         own_features, "doc_id long, quality int, features binary",
     )
+    # of rows that repeat a doc_id one counts, however many there are
+    featured = featured.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features"))
     model = featured.groupBy().applyInPandas(solve, "weights binary, bias double").first()
     return None if model is None else (ratios, np.frombuffer(model["weights"]), model["bias"])
 
