@@ -6,7 +6,9 @@ begin with `_llm_` are theirs: they add such columns to a table and drop them ag
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,6 +86,19 @@ def rewrite(df: DataFrame, fn: Callable[..., dict[str, list]], needs: list[str],
     return df.mapInArrow(run, schema)
 
 
+class Spans:
+    """Spans of a text, asked again and again whether one of them overlaps another span."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self._starts = [a for a, _ in ordered]
+        self._reach = list(accumulate((b for _, b in ordered), max))  # furthest end so far
+
+    def touch(self, start: int, end: int) -> bool:
+        before = bisect_left(self._starts, end)
+        return before > 0 and self._reach[before - 1] > start
+
+
 def gaps(length: int, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """What ordered spans, some of which may lie in others, leave of a text."""
     at, out = 0, []

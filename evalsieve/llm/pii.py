@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import ids_and_texts, map_batches
+from evalsieve.llm.common import Spans, ids_and_texts, map_batches
 from evalsieve.scale import settle
 
 #: The rules' kinds, in the order in which they are listed.
@@ -411,11 +411,12 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         spans = []
         for base, own in zip(columns["base"], columns["windows"]):
             all_spans = list(base)
+            known = Spans((s["start"], s["end"]) for s in base)
             for w in own:
                 i = distinct[w["text"], w["left"]]
                 for a, b, label, sure in found[i]:
                     start, end = w["start"] + wins[i].starts[a], w["start"] + wins[i].ends[b - 1]
-                    if sure >= CONFIDENCE and not any(s["start"] < end and start < s["end"] for s in base):
+                    if sure >= CONFIDENCE and not known.touch(start, end):
                         all_spans.append({"kind": f"like_{KINDS[label - 1]}", "start": start, "end": end})
             spans.append(sorted(all_spans, key=lambda s: (rank[s["kind"]], s["start"])))
         return {"doc_id": columns["doc_id"], "base": columns["base"], "spans": spans}

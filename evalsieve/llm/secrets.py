@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import gaps, ids_and_texts, map_batches, rewrite
+from evalsieve.llm.common import Spans, gaps, ids_and_texts, map_batches, rewrite
 from evalsieve.scale import settle
 
 #: The rules' kinds, in the order in which equal starts are listed.
@@ -75,7 +75,8 @@ def _scan_text(text: str) -> tuple[list, list]:
     found = _rules(text)
     own = [(m.start(), m.end()) for m in _CANDIDATE.finditer(text)]
     if found and own:
-        own = [(a, b) for a, b in own if not any(a < e and s < b for s, _, e, _ in found)]
+        base = Spans((a, b) for a, _, b, _ in found)
+        own = [(a, b) for a, b in own if not base.touch(a, b)]
     return found, own
 
 
