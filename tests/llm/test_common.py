@@ -25,4 +25,4 @@ def test_gaps_are_what_no_span_covers(spans, length):
 def test_chunks_make_up_the_list(texts, most):
     found = list(chunks(texts, most))
     assert [t for a, b in found for t in texts[a:b]] == texts
-    assert all(b - a == 1 or sum(map(len, texts[a:b])) <= most for a, b in found)
+    assert all(sum(map(bool, texts[a:b])) <= 1 or sum(map(len, texts[a:b])) <= most for a, b in found)
