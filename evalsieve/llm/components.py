@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     `links` has columns a and b (long). Alternates large and small stars: each round every
     node's larger, then smaller neighbours are hung below its smallest one, until nothing
     changes. A round is two joins on the node; what it leaves is written to the shared folder,
-    so lineage stays short. Self-links and repeated links do no harm; no links, no rows.
+    so lineage stays short, and so are the smallest neighbours, so that Spark deals both sides
+    of a join anew and can split a node with very many links. Self-links and repeated links do no harm; no links, no rows.
     """
     edges = settle(_arrange(links.select("a", "b")))
     before = None
@@ -41,13 +42,13 @@ def _arrange(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = settle(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
     hung = both.join(least, "a").where(F.col("b") > F.col("a"))
     return _arrange(hung.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")))
     hung = edges.join(least, "a")
     return _arrange(
         hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
