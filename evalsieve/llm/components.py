@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     node's larger, then smaller neighbours are hung below its smallest one, until nothing
     changes. A round is two joins on the node; what it leaves is written to the shared folder,
     so lineage stays short, and so are the smallest neighbours, so that Spark deals both sides
-    of a join anew and can split a node with very many links. Self-links and repeated links do no harm; no links, no rows.
+    of a join anew and can split a node with very many links. Self-links and repeated links
+    do no harm; no links, no rows.
     """
     edges = settle(_arrange(links.select("a", "b")))
     before = None
