@@ -35,6 +35,8 @@ MARGIN = 12.0
 MARGIN_PER_CHAR = 0.4
 #: Log-likelihood of a character once a value has left a kind's automaton.
 OUTSIDE = -20.0
+#: Characters of candidates that are scored in one go.
+CELLS = 1 << 21
 #: Confidence parameter of the Hoeffding bound.
 ALPHA = 0.05
 
@@ -227,23 +229,34 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[np.ndarra
 
 
 def log_likelihoods(values: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """One row for each value, one column for each automaton."""
+    """One row for each value, one column for each automaton.
+
+    Values are walked by length, a window of characters at a time and at most CELLS of them,
+    however long the longest value is; shorter ones leave when they end.
+    """
     out = np.zeros((len(values), len(tables)))
     lengths = np.array([len(v) for v in values])
     order = np.argsort(lengths, kind="stable")
     for rows in np.array_split(order, max(1, len(order) // 4096)):
-        longest = int(lengths[rows].max())
-        symbols = np.full((len(rows), longest + 1), -1, dtype=np.int64)
-        for i, r in enumerate(rows):
-            symbols[i, : lengths[r]] = _SYMBOL[np.frombuffer(values[r].encode(), dtype=np.uint8)]
-            symbols[i, lengths[r]] = _END
-        for k, (step, log) in enumerate(tables):
-            state, total = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
-            for s in symbols.T:
-                live = s >= 0
-                total[live] += log[state[live], s[live]]
-                state[live] = step[state[live], s[live]]
-            out[rows, k] = total
+        state, total = np.zeros((len(tables), len(rows)), dtype=np.int64), np.zeros((len(tables), len(rows)))
+        at = done = 0
+        while done < len(rows):
+            own = rows[done:]
+            width = min(max(1, CELLS // len(own)), int(lengths[own[-1]]) + 1 - at)
+            symbols = np.full((len(own), width), -1, dtype=np.int64)
+            for i, r in enumerate(own):
+                piece = values[r][at : at + width].encode()
+                symbols[i, : len(piece)] = _SYMBOL[np.frombuffer(piece, dtype=np.uint8)]
+                if lengths[r] < at + width:
+                    symbols[i, lengths[r] - at] = _END
+            for (step, log), q, t in zip(tables, state[:, done:], total[:, done:]):
+                for s in symbols.T:
+                    live = s >= 0
+                    t[live] += log[q[live], s[live]]
+                    q[live] = step[q[live], s[live]]
+            at += width
+            done = int(np.searchsorted(lengths[rows], at))
+        out[rows] = total.T
     return out
 
 

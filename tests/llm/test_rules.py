@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -113,6 +114,28 @@ def test_merged_automaton_keeps_the_language():
     assert inside.min() > outside.max()
 
 
+def test_long_candidates_take_bounded_memory(monkeypatch):
+    random.seed(7)
+    own = ["".join(random.choice("ab12+AZ") for _ in range(random.randint(0, 60))) for _ in range(300)]
+    learnt = secrets.Automaton(own[:100])
+    learnt.merge()
+    tables = [learnt.table(), secrets.Automaton(own[100:]).table()]
+    whole = secrets.log_likelihoods(own, tables)
+    for row, value in zip(whole, own):
+        for got, (step, log) in zip(row, tables):
+            state, want = 0, 0.0
+            for s in [*(int(secrets._SYMBOL[ord(c)]) for c in value), secrets._END]:
+                want, state = want + log[state, s], step[state, s]
+            assert got == want
+    tracemalloc.start()
+    long = secrets.log_likelihoods([*(f"{v}{i}" for i, v in enumerate(own * 10)), "aB3/" * 50_000], tables[:1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 2**20 and long[-1, 0] < long[:-1, 0].min()
+    monkeypatch.setattr(secrets, "CELLS", 700, raising=False)
+    assert (secrets.log_likelihoods(own, tables) == whole).all()
+
+
 def test_secrets_on_odd_tables(odd_docs, no_docs):
     rows = secrets.find_secrets(odd_docs).collect()
     assert len(rows) == odd_docs.count() and not any(r.spans for r in rows if r.doc_id != 7)
