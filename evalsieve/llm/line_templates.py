@@ -3,8 +3,9 @@
 A line falls to the leaf of a fixed-depth tree: its number of tokens, then its leading
 tokens, where tokens with digits count as a variable field. In a leaf the lines vote by
 position: a token that half of the distinct lines share is part of the leaf's template, the
-other positions are variable. Lines that agree with enough of the template carry it; the
-rest vote again, and who still differs keeps its own text as template. All of it is
+other positions are variable. Lines that agree with enough of the template, beyond the
+leading tokens that all share, carry it; the rest vote again until nobody gains a template,
+and who still differs keeps its own text as template. All of it is
 counting, so a leaf with any number of lines is spread over many tasks.
 
 A template is dropped if it recurs across documents: it stands between many different pairs
@@ -26,10 +27,8 @@ from evalsieve.scale import settle
 
 #: Leading tokens that make the levels of the tree below the number of tokens.
 LEADING = 3
-#: Share of a line's tokens that must agree with a template.
+#: Share of a line's tokens after the leading ones that must agree with a template.
 AGREEING = 0.6
-#: Votes that the lines of a leaf take.
-VOTES = 2
 #: Different pairs of neighbours at least, and the share of different texts that have one.
 NEIGHBOURS = 8
 NEIGHBOUR_SHARE = 0.5
@@ -124,12 +123,12 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
     return distinct.join(leaves, "leaf", "left_semi")
 
 
-def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, votes: int = VOTES,
-              least: int = NEIGHBOURS) -> DataFrame:
+def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = NEIGHBOURS,
+              leading: int = LEADING) -> DataFrame:
     """leaf, own, template: for the distinct lines that carry the template of their leaf.
 
     Only leaves with several distinct lines, and `least` lines, vote: no other could have a
-    template that recurs.
+    template that recurs. Leaves vote again while they gain: no vote differs from one without a gain.
     """
     many = settle(
         found.groupBy("leaf")
@@ -137,9 +136,9 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, vot
         .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
         .select("leaf")
     )
-    left = settle(masked_lines(docs, many))
-    result = None
-    for vote in range(votes):
+    left = settle(masked_lines(docs, many, leading))
+    result, vote = None, 0
+    while True:
         tokens = left.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
         counted = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
         place = counted.groupBy("leaf", "at").agg(
@@ -147,20 +146,23 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, vot
         )
         fixed = place.where((2 * F.col("n") >= F.col("of")) & (F.col("of") > 1)).select("leaf", "at", "token")
         agreed = (
-            tokens.join(fixed, ["leaf", "at", "token"], "left_semi")
+            tokens.where(F.col("at") >= leading).join(fixed, ["leaf", "at", "token"], "left_semi")
             .groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("agreed"))
         )
         judged = settle(
             left.join(agreed, ["leaf", "own"], "left").withColumn(
                 "carries",
-                F.coalesce(F.col("agreed"), F.lit(0)) >= agreeing * F.size(F.split("masked", " ")),
+                F.coalesce(F.col("agreed"), F.lit(0)) >= agreeing * (F.size(F.split("masked", " ")) - leading),
             ).drop("agreed")
         )
         carried = judged.where("carries").select(
             "leaf", "own", F.xxhash64("leaf", F.lit(vote)).alias("template"))
         result = carried if result is None else result.unionByName(carried)
-        left = judged.where("not carries").drop("carries")
-    return result
+        if not judged.where("carries").head(1):
+            return result
+        gained = settle(judged.where("carries").select("leaf").distinct())
+        left = judged.where("not carries").drop("carries").join(gained, "leaf", "left_semi")
+        vote += 1
 
 
 def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS,

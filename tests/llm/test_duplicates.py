@@ -224,6 +224,21 @@ def test_votes_by_plain_python(spark):
     assert own["a b c y z w v"] not in carried and own["d e f"] not in carried
 
 
+def test_votes_go_on_while_lines_gain_a_template(spark):
+    """Four formats in one leaf, each half of what the ones before it have left."""
+    rows = [f"log of day {name * 5} {'abcdefghijklmnop'[i]}" for name, n in (("q ", 16), ("r ", 8), ("s ", 4), ("t ", 2))
+            for i in range(n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    carried = line_templates.templates(df, line_templates.lines(df), least=2).collect()
+    assert len(carried) == len(rows) and len({r.template for r in carried}) == 4
+
+
+def test_a_common_opening_is_no_template(spark):
+    rows = [f"this is the {w} {w[::-1]}x" for w in WORDS] + [f"here we go {w}" for w in WORDS]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert line_templates.templates(df, line_templates.lines(df)).count() == 0
+
+
 def test_templates_on_odd_tables(odd_docs, no_docs):
     rows = line_templates.drop_recurring(odd_docs).collect()
     assert len(rows) == odd_docs.count()
