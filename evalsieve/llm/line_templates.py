@@ -8,9 +8,11 @@ leading tokens that all share, carry it; the rest vote again until nobody gains
 and who still differs keeps its own text as template. All of it is
 counting, so a leaf with any number of lines is spread over many tasks.
 
-A template is dropped if it recurs across documents: it stands between many different pairs
-of neighbouring lines. Copies of one document share their lines' neighbours, so a text that
-was merely copied keeps its lines here; whole copies are for the near-duplicate operators.
+A template is dropped if it recurs across documents. With `groups` that is decided by the
+documents themselves: near-duplicates count as one, and a template that so many groups hold
+recurs, wherever its lines stand. Without, a template recurs that stands between many
+different pairs of neighbouring lines. Either way a text that was merely copied keeps its
+lines here; whole copies are for the near-duplicate operators.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalsieve.llm import simhash
 from evalsieve.llm.common import keyed, map_batches, rewrite
 from evalsieve.scale import settle
 
@@ -32,6 +35,8 @@ AGREEING = 0.6
 #: Different pairs of neighbours at least, and the share of different texts that have one.
 NEIGHBOURS = 8
 NEIGHBOUR_SHARE = 0.5
+#: Groups of near-duplicate documents from which a template recurs.
+GROUPS = 2
 
 #: Bits of the filter on leaves.
 SLOTS = 1 << 23
@@ -165,22 +170,37 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, lea
         vote += 1
 
 
-def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS,
-                    share: float = NEIGHBOUR_SHARE) -> DataFrame:
+def _between_many(named: DataFrame, neighbours: int, share: float) -> DataFrame:
+    """The templates that stand between many different pairs of neighbours."""
+    pairs = named.groupBy("template", "before", "after").agg(F.lit(1).alias("_")).groupBy("template").agg(
+        F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= neighbours)
+    texts = named.groupBy("template", "_llm_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
+        F.count(F.lit(1)).alias("texts"))
+    return pairs.join(texts, "template").where(
+        (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template")
+
+
+def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
+    """The templates that at least so many groups of near-duplicate documents hold."""
+    texts = keyed(docs).select(F.col("_llm_text").alias("doc_id"), "text")
+    group = settle(
+        simhash.groups(texts).select(F.col("doc_id").alias("_llm_text"), F.col("component_id").alias("group")).distinct())
+    held = settle(named.select("template", "_llm_text").distinct())
+    each = held.join(group, "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
+    return each.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template")
+
+
+def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS, share: float = NEIGHBOUR_SHARE,
+                    groups: int | None = None) -> DataFrame:
     """Key, number, offsets and template of every line whose template recurs across documents."""
     found = settle(lines(docs))
-    carried = templates(docs, found, least=neighbours)
+    carried = templates(docs, found, least=groups or neighbours)
     named = settle(
         found.join(carried, ["leaf", "own"], "left")
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")
     )
-    pairs = named.groupBy("template", "before", "after").agg(F.lit(1).alias("_")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= neighbours)
-    texts = named.groupBy("template", "_llm_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("texts"))
     # settled, so that it is dealt anew for the join and Spark can split a hot template's lines
-    recurring = settle(pairs.join(texts, "template").where(
-        (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template"))
+    recurring = settle(_in_groups(docs, named, groups) if groups else _between_many(named, neighbours, share))
     return named.join(recurring, "template", "left_semi").select(
         "_llm_id", "_llm_text", "line", "start", "end", "template")
 

@@ -82,7 +82,7 @@ def op4_secret_scan(spark, sf_dir):
 
 @query
 def op5_line_templates(spark, sf_dir):
-    cut = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    cut = line_templates.drop_recurring(table(spark, sf_dir, "documents"), groups=line_templates.GROUPS)
     return cut.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "text")
 
 

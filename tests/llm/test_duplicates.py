@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import __spark_entry__ as contract
 from evalsieve.llm import line_templates, repeated_units, simhash
 from evalsieve.llm.components import components
 
@@ -239,7 +240,39 @@ def test_a_common_opening_is_no_template(spark):
     assert line_templates.templates(df, line_templates.lines(df)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def passages(spark, tmp_path_factory):
+    """Documents of words of their own, with passages that 3 and 1,000 of them hold, and near copies."""
+    body = lambda i, n: [" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{k}" for w in WORDS)
+                         .translate(str.maketrans("0123456789", "ABCDEFGHIJ")) for k in range(n)]
+    rare = [f"{w} is a rare line of a passage" for w in WORDS[:4]]
+    common = [f"the common {w} passage goes on" for w in WORDS[:4]]
+    rows = []
+    for i in range(1010):
+        own = body(i, 12)
+        rows.append((i, "\n".join(own[:6] + (rare if i < 3 else []) + (common if i >= 10 else []) + own[6:])))
+    copied = body(2000, 12)
+    rows += [(3000 + i, "\n".join([*copied, f"of copy {'abcdefghij'[i]}"])) for i in range(10)]
+    rows += [(4000, "the common alpha passage goes on")]  # nothing else in it
+    folder = tmp_path_factory.mktemp("passages")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder), dict(rows), {*rare, *common}
+
+
+def test_passages_of_few_and_of_many_documents_are_dropped(spark, passages):
+    folder, texts, gone = passages
+    for r in contract.queries()["op5_line_templates"](spark, folder).collect():
+        assert r.text.split("\n") == ([x for x in texts[r.doc_id].split("\n") if x not in gone] or [""]), r.doc_id
+
+
 def test_templates_on_odd_tables(odd_docs, no_docs):
     rows = line_templates.drop_recurring(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert line_templates.drop_recurring(no_docs).count() == 0
+
+
+def test_groups_of_templates_on_odd_tables(odd_docs, no_docs):
+    rows = line_templates.drop_recurring(odd_docs, groups=2).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r.text and not r.dropped for r in rows if r.doc_id in (1, 2))  # copies of one text
+    assert line_templates.drop_recurring(no_docs, groups=2).count() == 0
