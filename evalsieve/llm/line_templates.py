@@ -182,11 +182,8 @@ def _between_many(named: DataFrame, neighbours: int, share: float) -> DataFrame:
 
 def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
     """The templates that at least so many groups of near-duplicate documents hold."""
-    texts = keyed(docs).select(F.col("_llm_text").alias("doc_id"), "text")
-    group = settle(
-        simhash.groups(texts).select(F.col("doc_id").alias("_llm_text"), F.col("component_id").alias("group")).distinct())
     held = settle(named.select("template", "_llm_text").distinct())
-    each = held.join(group, "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
+    each = held.join(simhash.groups_of_texts(docs), "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template")
 
 

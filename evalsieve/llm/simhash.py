@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import chunks, ids_and_texts, map_batches
+from evalsieve.llm.common import chunks, ids_and_texts, keyed, map_batches
 from evalsieve.llm.components import components
 from evalsieve.scale import settle
 
@@ -295,8 +295,24 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float | None
     return made.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def groups_of_texts(docs: DataFrame, **how) -> DataFrame:
+    """_llm_text, group: of every text that `keyed` tells apart, settled."""
+    found = groups(keyed(docs).select(F.col("_llm_text").alias("doc_id"), "text"), **how)
+    return settle(found.select(F.col("doc_id").alias("_llm_text"), F.col("component_id").alias("group")).distinct())
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
-    grouped = groups(docs, **how)
-    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti")
+    """The first document of every group, by doc_id and then the hash of the text, with all its
+    columns. A null doc_id ranks first; of rows with equal doc_id and text one stays."""
+    own = ["_llm_id", "_llm_text"]
+    place = F.struct(*own)
+    rows = settle(keyed(docs).select(*own))
+    named = settle(rows.join(groups_of_texts(docs, **how), "_llm_text"))
+    first = settle(named.groupBy("group").agg(F.min(place).alias("first")))
+    gone = named.join(first, "group").where(place != F.col("first")).select(*own).distinct()
+    left = keyed(docs).join(gone, own, "left_anti")
+    repeated = settle(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*own))
+    if repeated.head(1):
+        once = left.join(repeated, own, "left_semi").dropDuplicates(own)
+        left = left.join(repeated, own, "left_anti").unionByName(once)
+    return left.select(*docs.columns)

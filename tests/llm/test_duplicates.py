@@ -112,6 +112,13 @@ def test_similarity_finds_near_copies(spark):
     assert left >= set(near) and len(left) <= 1.03 * len(near)
 
 
+def test_one_of_each_goes_by_rows(spark):
+    a, b, c = prose(60).replace("a", "o"), prose(60), "no one else says this"
+    rows = [(3, b, "x"), (7, b, "x"), (7, a, "x"), (9, c, "x"), (9, c, "x"), (None, "only nulls here", "x"), (None, "only nulls here", "x")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, more string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted({rows[0], rows[2], rows[3], rows[5]}, key=str)
+
+
 def test_groups_on_odd_tables(odd_docs, no_docs):
     for how in ({}, {"words": 3, "radius": 2}):
         rows = simhash.groups(odd_docs, **how).collect()
