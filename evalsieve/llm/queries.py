@@ -8,15 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, line_templates, packing, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, simhash, topk
+from evalsieve.llm import bpe, line_templates, packing, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, sentence_pieces, simhash, topk
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Vocabulary of the token queries.
+#: Vocabularies of the token queries.
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(fn: Query) -> Query:
@@ -138,3 +139,15 @@ def op10_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_sentence_pieces(spark, sf_dir):
+    coded = sentence_pieces.encode_and_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
