@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, line_templates, packing, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, sentence_pieces, simhash, topk
+from evalsieve.llm import bpe, line_templates, packing, periodic_runs, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, sentence_pieces, simhash, topk
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,40 @@ def op13_sentence_pieces(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _with_planted_runs(docs):
+    """The documents' words, in a tenth of the documents periodic from some word on: both are
+    drawn by doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = F.size("_llm_words").cast("long")
+    split = docs.select(
+        "doc_id", "text", h.alias("_llm_h"),
+        F.coalesce(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array().cast("array<string>"))
+        .alias("_llm_words"),
+    )
+    g = F.floor(F.col("_llm_h") / 10)
+    placed = split.withColumn("_llm_a", F.when((F.col("_llm_h") % 10 == 0) & (n > 0), F.pmod(g, n)).cast("int"))
+    rest = n.cast("int") - F.col("_llm_a")
+    placed = placed.withColumn("_llm_p", (1 + F.floor(rest / (3 + F.pmod(g, F.lit(8))))).cast("int"))
+    root = F.slice("_llm_words", F.col("_llm_a") + 1, F.col("_llm_p"))
+    again = F.slice(F.flatten(F.array_repeat(root, F.ceil(rest / F.col("_llm_p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("_llm_words", F.lit(1), F.col("_llm_a")), again), " ")
+    return placed.select("doc_id", F.when(F.col("_llm_a").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
