@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalsieve.llm import bpe, line_templates, packing, periodic_runs, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, sentence_pieces, simhash, topk
+from evalsieve.llm import bpe, line_templates, packing, periodic_runs, pii, quality_classifier, quality_rules, quality_rules_sql, repeated_units, secrets, sentence_pieces, simhash, topk, vector_codes, vector_codes_sql
 from evalsieve.scale import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +189,20 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    books = sha256(vector_codes.text_of(codebooks).encode()).hexdigest()
+    return coded.select(
+        "vec_id",
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(books).alias("codebooks_sha256"),
+    )
+
+
+ORACLES["op11_vector_codes"] = vector_codes_sql.SQL
