@@ -87,6 +87,13 @@ BY_LENGTH = f"""by_length AS (
     text, {words("lower(text)")} AS t FROM benchmark)"""
 
 
+def by_remainder(parts: int) -> str:
+    """The benchmark cut into several by the number of the item."""
+    return f"""by_remainder AS (
+  SELECT CAST(item_id % {parts} AS VARCHAR) AS benchmark, item_id AS test_idx, text,
+    {words("lower(text)")} AS t FROM benchmark)"""
+
+
 def match_ctes(n: int | None = None, docs: str = "documents", bench_from: str = "", tokens: str = "") -> str:
     """CTEs up to `hits`: every matching pair of positions."""
     own = f"bench AS (SELECT * FROM {bench_from})" if bench_from else BENCH
@@ -335,6 +342,62 @@ FROM benchmark""",
   text AS question, CAST(item_id AS VARCHAR) AS answer
 FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS spot FROM benchmark) WHERE spot < 50""",
     "first_rows": "SELECT doc_id AS row_idx, source FROM documents WHERE doc_id < 100",
+    "shared_runs": f"""{MATCH},
+islands AS (
+  SELECT *, train_pos - test_pos AS diagonal, train_pos - row_number() OVER (
+    PARTITION BY benchmark, test_idx, train_idx, train_pos - test_pos ORDER BY train_pos) AS island
+  FROM (SELECT DISTINCT benchmark, test_idx, train_idx, test_pos, train_pos FROM hits)),
+stretches AS (
+  SELECT benchmark, test_idx, train_idx, min(test_pos) AS test_start, min(train_pos) AS train_start,
+    count(*) + any_value(n) - 1 AS length
+  FROM islands JOIN lengths USING (benchmark) GROUP BY benchmark, test_idx, train_idx, diagonal, island)
+SELECT * FROM stretches QUALIFY row_number() OVER (
+  PARTITION BY benchmark, test_idx, train_idx ORDER BY length DESC, train_start, test_start) = 1""",
+    "benchmark_overlap": f"""WITH {by_remainder(5)}, {match_ctes(8, bench_from="by_remainder")},
+flagged AS (SELECT DISTINCT concat('bench-', benchmark) AS s, train_idx FROM hits),
+names AS (SELECT DISTINCT concat('bench-', benchmark) AS s FROM bench),
+counted AS (SELECT names.s, count(train_idx) AS n FROM names LEFT JOIN flagged USING (s) GROUP BY names.s),
+met AS (
+  SELECT a.s AS set_a, b.s AS set_b, count(*) AS in_both FROM flagged a JOIN flagged b USING (train_idx)
+  WHERE a.s < b.s GROUP BY a.s, b.s)
+SELECT a.s AS set_a, b.s AS set_b, a.n AS size_a, b.n AS size_b, coalesce(in_both, 0) AS in_both,
+  a.n - coalesce(in_both, 0) AS only_a, b.n - coalesce(in_both, 0) AS only_b, a.n + b.n - coalesce(in_both, 0) AS in_either
+FROM counted a JOIN counted b ON a.s < b.s LEFT JOIN met ON set_a = a.s AND set_b = b.s""",
+    "flagged_by_all_or_one": f"""WITH {by_remainder(3)}, {match_ctes(8, bench_from="by_remainder")},
+flagged AS (SELECT train_idx AS position, list(DISTINCT benchmark) AS b FROM hits GROUP BY train_idx)
+SELECT 'any' AS set, position FROM flagged
+UNION ALL SELECT 'all', position FROM flagged WHERE len(b) = 3
+UNION ALL SELECT 'only-0', position FROM flagged WHERE b = ['0']""",
+    "training_fingerprint": """WITH e AS (
+  SELECT doc_id, concat_ws(';', coalesce(concat(length(text), ':', text), '-'), '-',
+    coalesce(concat(length(source), ':', source), '-'), concat(length(CAST(doc_id AS VARCHAR)), ':', doc_id)) AS e
+  FROM documents),
+h AS (SELECT md5(e) AS c, md5(concat(doc_id, ';', e)) AS p FROM e),
+sums AS (
+  SELECT count(*) AS training_size,
+    """ + ", ".join(
+        f"sum(CAST(CAST(concat('0x', substr({d}, {8 * i + 1}, 8)) AS BIGINT) AS HUGEINT)) AS {d}{i}"
+        for d in "cp" for i in range(4)
+    ) + """ FROM h),
+halves AS (
+  SELECT training_size, """ + ", ".join(
+        f"{d}2 * 4294967296 + {d}3 AS {d}_low, {d}0 * 4294967296 + {d}1 AS {d}_high" for d in "cp"
+    ) + """ FROM sums)
+SELECT training_size, """ + ", ".join(
+        f"lower(concat(lpad(to_hex(CAST(({d}_high + {d}_low // 18446744073709551616) % 18446744073709551616 AS UBIGINT)), 16, '0'), "
+        f"lpad(to_hex(CAST({d}_low % 18446744073709551616 AS UBIGINT)), 16, '0'))) AS {name}"
+        for d, name in (("c", "content_fingerprint"), ("p", "placed_fingerprint"))
+    ) + " FROM halves",
+    "completion_faults": f"""WITH {COMPLETIONS},
+moved AS (
+  SELECT model, dataset, ratio, CASE WHEN id % 7 = 0 THEN id + 2 WHEN id % 11 = 0 THEN -id ELSE id END AS id
+  FROM (SELECT given.model, given.dataset, given.id, grid.ratio FROM given JOIN grid ON grid.id = given.id AND grid.r = given.r)),
+counted AS (SELECT model, dataset, id, ratio, count(*) AS completions FROM moved GROUP BY ALL)
+SELECT model, dataset, id, ratio, completions,
+  EXISTS (SELECT 1 FROM grid g WHERE g.dataset = c.dataset AND g.id = c.id AND g.ratio = c.ratio) AS asked
+FROM counted c
+WHERE completions > 1 OR NOT EXISTS (
+  SELECT 1 FROM grid g WHERE g.dataset = c.dataset AND g.id = c.id AND g.ratio = c.ratio)""",
     "source_counts": "SELECT source, count(*) AS rows FROM documents GROUP BY source",
     "decontaminate": f"""{MATCH}
 SELECT doc_id AS row_idx, source, text AS prompt FROM documents

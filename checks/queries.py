@@ -20,7 +20,17 @@ from evalsieve.functions.text import (
     short_model_name,
     tail,
 )
-from evalsieve.operators import cleaning, completing, contamination, ngrams, preparing, scoring
+from evalsieve.operators import (
+    cleaning,
+    completing,
+    contamination,
+    identity,
+    ngrams,
+    position_sets,
+    preparing,
+    scoring,
+    shared_runs as runs,
+)
 from evalsieve.plans import jobs, reports
 from evalsieve.scale import shared_folder
 from evalsieve.sources import files
@@ -223,6 +233,41 @@ def match_details(spark, sf_dir):
     return contamination.match_details(pairs, training(spark, sf_dir), bench)
 
 
+@query
+def shared_runs(spark, sf_dir):
+    """The longest common run of every matching pair."""
+    return runs.longest_runs(training_texts(spark, sf_dir), benchmarks(spark, sf_dir))
+
+
+@query
+def benchmark_overlap(spark, sf_dir):
+    """Rows that five benchmarks flag, by set algebra on bitmaps of positions."""
+    bench = benchmarks(spark, sf_dir).withColumn(
+        "benchmark", F.concat(F.lit("bench-"), (F.col("test_idx") % 5).cast("string")))
+    found = contamination.detect(training_texts(spark, sf_dir), bench, n=8)
+    sets = position_sets.from_positions(found.flagged, "train_idx", "benchmark")
+    return position_sets.overlaps(sets, bench.select(F.col("benchmark").alias("set")))
+
+
+@query
+def flagged_by_all_or_one(spark, sf_dir):
+    """Per position: flagged by every one of three benchmarks, by any, by the first alone."""
+    bench = benchmarks(spark, sf_dir).withColumn("benchmark", (F.col("test_idx") % 3).cast("string"))
+    found = contamination.detect(training_texts(spark, sf_dir), bench, n=8)
+    sets = position_sets.from_positions(found.flagged, "train_idx", "benchmark")
+    any_set = position_sets.union_all(sets, "any")
+    every = position_sets.intersect_all(sets, "all", ["0", "1", "2"])
+    others = position_sets.union_all(sets, "others", ["1", "2"])
+    first = position_sets.minus(sets.unionByName(others), "only-0", "0", "others")
+    return position_sets.positions(any_set.unionByName(every).unionByName(first))
+
+
+@query
+def training_fingerprint(spark, sf_dir):
+    """Size and fingerprints of the training set, as a detection records them."""
+    return identity.fingerprints(training(spark, sf_dir))
+
+
 @query
 def source_counts(spark, sf_dir):
     return cleaning.source_counts(training(spark, sf_dir))
@@ -431,6 +476,15 @@ def _scored(spark, sf_dir):
     return scoring.score(grid, completions(spark, sf_dir))
 
 
+@query
+def completion_faults(spark, sf_dir):
+    """Some completions filed under the next example but one, some under one that is not asked."""
+    made = completions(spark, sf_dir)
+    moved = made.withColumn(
+        "id", F.when(F.col("id") % 7 == 0, F.col("id") + 2).when(F.col("id") % 11 == 0, -F.col("id")).otherwise(F.col("id")))
+    return scoring.completion_faults(scoring.prefix_grid(questions(spark, sf_dir)), moved)
+
+
 def results(spark, sf_dir):
     return scoring.eval_metrics(scoring.memorization(_scored(spark, sf_dir)))
 

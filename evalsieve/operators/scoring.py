@@ -42,25 +42,48 @@ def prefix_grid(questions: DataFrame, ratios: Sequence[float] = RATIOS) -> DataF
     )
 
 
-def score(grid: DataFrame, completions: DataFrame) -> DataFrame:
+#: What names a completion.
+COMPLETION_KEY = ["model", "dataset", "id", "ratio"]
+
+
+def completion_faults(grid: DataFrame, completions: DataFrame) -> DataFrame:
+    """model, dataset, id, ratio, completions, asked: the keys with several completions, and
+    those that no cell of the grid asks for. Keys alone are read, not texts."""
+    made = completions.groupBy(*COMPLETION_KEY).agg(F.count(F.lit(1)).alias("completions"))
+    cells = grid.select("dataset", "id", "ratio", F.lit(True).alias("_asked")).distinct()
+    asked = F.coalesce("_asked", F.lit(False))
+    return (
+        made.join(cells, ["dataset", "id", "ratio"], "left")
+        .where((F.col("completions") > 1) | ~asked)
+        .select(*COMPLETION_KEY, "completions", asked.alias("asked"))
+    )
+
+
+def score(grid: DataFrame, completions: DataFrame, settled: bool = False) -> DataFrame:
     """Answers, correctness and format of every cell of the grid, for every model.
 
     Completions have (model, dataset, id, ratio, generated) and meet their prompt
     by key. A model that has completions of a dataset answers for all its cells: a
     missing completion counts as an empty one, neither correct nor boxed, because
     shares are of the examples asked. Without completions a dataset has no rows of
-    that model.
+    that model. Repeated completions of a cell would count twice, so they are refused;
+    those that no cell asks for are left out (`completion_faults` lists both). The
+    completions are computed once, unless the caller has `settled` them.
     """
+    made = completions.select(*COMPLETION_KEY, "generated")
+    made = made if settled else settle(made)
+    repeated = made.groupBy(*COMPLETION_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if repeated:
+        raise ValueError(f"{repeated['n']} completions of one cell: {repeated.asDict()}")
     cells = grid.select("dataset", "id", "ratio", "answer", "shown", "tail", "tail_length")
     # one row a dataset, with the models that ran on it
-    runs = settle(completions.groupBy("dataset").agg(F.array_sort(F.collect_set("model")).alias("_models")))
+    runs = settle(made.groupBy("dataset").agg(F.array_sort(F.collect_set("model")).alias("_models")))
     asked = (
         join_lookup(cells, runs, ["dataset"], spread_by=["id", "ratio"])
         .withColumn("model", F.explode("_models"))
         .drop("_models")
     )
-    made = completions.select("model", "dataset", "id", "ratio", "generated")
-    joined = asked.join(made, ["model", "dataset", "id", "ratio"], "left").withColumn(
+    joined = asked.join(made, COMPLETION_KEY, "left").withColumn(
         "generated", F.coalesce("generated", F.lit(""))
     )
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
-from evalsieve.operators import cleaning, contamination, ngrams, preparing, scoring
+from evalsieve.operators import cleaning, contamination, identity, ngrams, preparing, scoring
 from evalsieve.operators.completing import Generator, batch_complete
 from evalsieve.operators.ngrams import Tokenizer
 from evalsieve.operators.positions import keep_rows
@@ -42,14 +42,18 @@ def detection_record(
     name: str, train: DataFrame, found: contamination.Detection, summary: DataFrame
 ) -> DataFrame:
     """One record of counts. Positions are never listed in it: however many there are, they
-    are the tables `flagged` (by benchmark) and `flagged_union`."""
+    are the tables `flagged` (by benchmark) and `flagged_union`. Two fingerprints tell the
+    training set that was seen from an edited or re-ordered one."""
     entry = F.struct(
         "benchmark", "test_size", "contaminated_test", "contamination_rate", "num_contaminated_train",
         "unmatchable_test",
     )
-    return contamination.contamination_total(found, train).select(
+    known = identity.fingerprints(train).select(F.struct("content_fingerprint", "placed_fingerprint")).scalar()
+    return contamination.contamination_total(found, train).withColumn("_known", known).select(
         F.lit(name).alias("training_dataset"),
         "training_size",
+        "_known.content_fingerprint",
+        "_known.placed_fingerprint",
         # one entry a benchmark
         summary.select(F.sort_array(F.collect_list(entry))).scalar().alias("benchmarks"),
         "total_contaminated_train",
@@ -105,18 +109,18 @@ def detect(
 def clean(
     spark: SparkSession, train_path: str, found_path: str, out: str, form: str = "array"
 ) -> DataFrame:
-    """Write the cleaned rows and their positions; return the report by source."""
+    """Write the cleaned rows and their positions; return the report by source. Rows go by
+    position, so a training set other than the detection saw is refused."""
     with settled_tables(spark):
         train = settle(files.read_training(spark, train_path, form))
         flagged = files.read_jsonl(
             spark, f"{found_path}/flagged_union", "train_idx bigint, source string"
         )
-        size = train.count()
         seen = files.read_jsonl(
-            spark, f"{found_path}/contamination_summary", "training_size bigint"
-        ).first()["training_size"]
-        if size != seen:
-            raise ValueError(f"detection saw {seen} training rows, the file has {size}")
+            spark, f"{found_path}/contamination_summary",
+            "training_size bigint, content_fingerprint string, placed_fingerprint string",
+        ).first()
+        identity.refuse_other(seen, identity.fingerprints(train).first())
         kept = cleaning.decontaminate(train, flagged)
         files.write_jsonl(kept.drop("row_idx"), f"{out}/decontaminated")
         files.write_jsonl(cleaning.clean_indices(train, flagged), f"{out}/clean_train_indices")
@@ -200,12 +204,15 @@ def evaluate(
     model_ids: Mapping[str, str] | None = None,
     data_paths: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Score completions; write predictions, metric records and the result CSV, and return
-    the result rows. Every completion is computed once."""
+    """Score completions; write predictions, metric records, the result CSV and the keys of
+    repeated or unasked completions, and return the result rows. Repeated completions fail
+    the job. Every completion is computed once."""
     spark = questions.sparkSession
     with settled_tables(spark):
         made = settle(completions.select("model", "dataset", "id", "ratio", "generated"))
-        scored = settle(scoring.memorization(scoring.score(scoring.prefix_grid(questions, ratios), made)))
+        grid = scoring.prefix_grid(questions, ratios)
+        files.write_jsonl(scoring.completion_faults(grid, made), f"{out}/completion_faults")
+        scored = settle(scoring.memorization(scoring.score(grid, made, settled=True)))
         files.write_jsonl(scoring.predictions(scored), f"{out}/predictions")
         results = settle(scoring.eval_metrics(scored))
         records = scoring.metrics_records(results, model_ids=model_ids, data_paths=data_paths)

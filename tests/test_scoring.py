@@ -191,3 +191,18 @@ def test_grid_and_completeness_show_what_is_missing(spark):
     assert (status["expected"], status["found"], status["complete"]) == (12, 5, False)
     full = rows.where(F.col("model") == "Qwen2.5-1.5B").where("prefix_ratio = 1")
     assert reports.completeness(full).first()["complete"] is True
+
+
+def test_repeated_and_unknown_completions(spark):
+    from evalsieve.operators.scoring import completion_faults
+
+    asked = prefix_grid(spark.createDataFrame([("d", 1, "q", "5"), ("d", 2, "q", "6")], QUESTIONS), [1.0])
+    made = [("m", "d", 1, 1.0, r"\boxed{5}"), ("m", "d", 1, 1.0, r"\boxed{5}"), ("m", "d", 2, 1.0, "no"), ("m", "d", 9, 1.0, r"\boxed{5}")]
+    faults = completion_faults(asked, spark.createDataFrame(made, COMPLETIONS)).collect()
+    assert {(r.model, r.id, r.completions, r.asked) for r in faults} == {("m", 1, 2, True), ("m", 9, 1, False)}
+    with pytest.raises(ValueError, match="2 completions of one cell"):
+        score(asked, spark.createDataFrame(made, COMPLETIONS))
+    once = score(asked, spark.createDataFrame(made[1:], COMPLETIONS))
+    row = eval_metrics(memorization(once)).first()
+    assert (row.total, row.correct, row.accuracy) == (2, 1, 0.5)
+    assert completion_faults(asked, spark.createDataFrame(made[1:3], COMPLETIONS)).count() == 0
