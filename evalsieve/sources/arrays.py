@@ -22,9 +22,12 @@ from evalsieve.scale import join_lookup, settle
 
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
 _STRING = re.compile(r'"[^"]*"')
+_END = re.compile(r"\s*(\[\s*)?\]\s*\}")
+#: Deeper nesting is no object that Spark's parser reads.
+_DEEPEST = 1000
 
 
-def effects(piece: str, closed: bool = True) -> tuple[int, int, int]:
+def effects(piece: str) -> tuple[int, int, int]:
     """Of a piece and the brace after it: whether it turns the case inside / outside of a
     string (1 or 0), and the change of depth if it starts outside and if it starts inside."""
     bare = _ESCAPED.sub("", piece) if "\\" in piece else piece
@@ -36,9 +39,7 @@ def effects(piece: str, closed: bool = True) -> tuple[int, int, int]:
             rest = rest.partition('"')[2]
         rest = _STRING.sub("", rest).partition('"')[0]
         ends_inside = (quotes + inside) % 2
-        changes.append(rest.count("{") - (1 if closed and not ends_inside else 0))
-        if inside and not quotes:
-            changes[-1] = 0
+        changes.append(rest.count("{") - (0 if ends_inside else 1))
     return quotes % 2, changes[0], changes[1]
 
 
@@ -83,7 +84,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for case in (0, 1):
                 inside = case ^ state[0]
                 state[1][case] += changes[inside]
-                if not inside ^ turn:
+                if not inside ^ turn and -_DEEPEST <= state[1][case] <= 0:
                     ends = state[2][case]
                     ends[state[1][case]] = ends.get(state[1][case], 0) + 1
             state[0] ^= turn
@@ -127,16 +128,24 @@ def _starts(pieces: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole objects, and the parts of those that cross the border of a range."""
-    cursor, key, begun, buffer = None, None, False, []
-
-    def flush(rows, whole, closing):
-        text = "".join(buffer)
-        buffer.clear()
-        rows.append((key[0], cursor.ended - (1 if closing else 0), None if whole else key[1], text))
-
-    def batch_of(rows):
+    """Whole objects, the parts of those that cross the border of a range, and for the end of
+    an array a row without a place."""
+    cursor, key, begun, buffer, rows = Cursor(), None, False, [], []
+
+    def leave():
+        if buffer:
+            text = "".join(buffer)
+            buffer.clear()
+            if cursor.inside or cursor.depth:
+                rows.append((key[0], cursor.ended, key[1], text))
+            elif _END.fullmatch(text):
+                rows.append((key[0], None, None, None))
+            else:  # only the end of a file stands after a brace and before none
+                raise ValueError(f"{key[0]} is no array of objects: it ends in {text[-40:-1]!r}")
+
+    def made():
         columns = list(zip(*rows)) if rows else [[]] * 4
+        rows.clear()
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()),
              pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())],
@@ -144,24 +153,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        rows: list[tuple] = []
         for path, start, value, inside, depth, ended in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if (path, start) != key:
-                if buffer:
-                    flush(rows, False, False)
+                leave()
                 if inside is None:
                     raise ValueError(f"{path} changed while it was read")
                 key, cursor = (path, start), Cursor(inside, depth, ended)
                 begun = not inside and not depth  # nothing of an object stands before
             buffer.append(value + "}")
             if cursor.step(value):
-                flush(rows, begun, True)
+                rows.append((path, cursor.ended - 1, None if begun else start, "".join(buffer)))
+                buffer.clear()
                 begun = True
-        yield batch_of(rows)
-    if buffer:
-        rows = []
-        flush(rows, False, False)
-        yield batch_of(rows)
+        yield made()
+    leave()
+    yield made()
 
 
 def read_array_rows(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
@@ -173,17 +179,32 @@ def read_array_rows(spark: SparkSession, paths: str | Sequence[str], schema: str
     """
     pieces = _pieces(spark, paths)
     starts = settle(_starts(pieces))
-    placed = join_lookup(pieces, starts, ["_path", "_start"], "left", spread_by=["value"]) \
-        if False else pieces.join(F.broadcast(starts), ["_path", "_start"], "left")
+    # one row for each range of spark.sql.files.maxPartitionBytes: some 800,000 for 100 TB
+    placed = pieces.join(F.broadcast(starts), ["_path", "_start"], "left")
     cut = settle(
         placed.select("_path", "_start", "value", "inside", "depth", "ended")
         .mapInArrow(_cut, "_path string, _at long, _range long, text string")
     )
-    whole = cut.where("_range is null").select("_path", "_at", "text")
+    open_ = cut.groupBy("_path").agg(F.count_if(F.col("_at").isNull()).alias("ends")).where("ends <> 1").first()
+    if open_:
+        raise ValueError(f"{open_['_path']} is no array of objects: it does not end")
+    whole = cut.where("_at is not null and _range is null").select("_path", "_at", "text")
     parts = cut.where("_range is not null").groupBy("_path", "_at").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_range", "text"))), lambda p: p["text"]), "").alias("text"))
-    # what is no object: the opening bracket, commas, and the closing bracket after the last
-    bare = F.regexp_replace("text", r"\A[\s\x{FEFF}]*[\[,]?\s*", "")
-    objects = whole.unionByName(parts).withColumn("text", bare).where(~F.col("text").rlike(r"\A\s*\]?\s*\}?\z"))
-    parsed = F.from_json("text", schema, {"mode": "FAILFAST"})
+    opening = F.when(F.col("_at") == 0, F.lit(r"\A[\s\x{FEFF}]*\[\s*")).otherwise(F.lit(r"\A\s*,\s*"))
+    bare = F.regexp_replace(F.col("text"), opening, F.lit(""))
+    fault = F.raise_error(F.concat(F.lit("no object at the start of "), F.substring(bare, 1, 80)))
+    checked = F.when(bare.startswith("{"), bare).otherwise(fault.cast("string"))
+    parsed = F.from_json(checked, schema, {"mode": "FAILFAST"})
+    objects = whole.unionByName(parts)
     return objects.select("_path", "_at", parsed.alias("_row")).select("_path", "_at", "_row.*")
+
+
+def number_array_rows(rows: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Rows of `read_array_rows` numbered from 0 over all files, in the order of their paths."""
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a file
+    shifts = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    return join_lookup(rows, settle(shifts), ["_path"], spread_by=["_at"]).withColumn(
+        name, (F.col("_at") + F.col("_shift")).cast("long")).drop("_path", "_at", "_shift")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evalsieve.functions.text import file_stem
 from evalsieve.scale import join_lookup, settle
+from evalsieve.sources.arrays import number_array_rows, read_array_rows
 
 ROW_SCHEMA = "prompt string, answer string, source string, id string"
 POOL_SCHEMA = "question string, answer string, source string, id string"
@@ -89,8 +90,8 @@ def _json(spark: SparkSession, schema: str):
 def read_json_array(
     spark: SparkSession, paths: str | Sequence[str], schema: str = ROW_SCHEMA
 ) -> DataFrame:
-    """Files that each hold one JSON array. Such a file is read by one task; convert
-    large ones to JSON lines once."""
+    """Files that each hold one JSON array, a task for each file; `read_array_rows` reads
+    large ones by many tasks."""
     return _json(spark, schema).option("multiLine", True).json(paths)
 
 
@@ -105,7 +106,7 @@ def read_training(
     spark: SparkSession, paths: str | Sequence[str], form: str = "array"
 ) -> DataFrame:
     """Training rows with their position, from JSON arrays ("array"), JSON lines ("lines")
-    or Parquet files ("parquet"). An array file is read by one task."""
+    or Parquet files ("parquet"); large files of any form are read by many tasks."""
     if form == "parquet":
         wanted = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
         paths = [paths] if isinstance(paths, str) else list(paths)
@@ -113,8 +114,9 @@ def read_training(
         return number_rows(scan).drop("_metadata")
     if form not in ("array", "lines"):
         raise ValueError(f"form must be array, lines or parquet, not {form!r}")
-    read = read_json_array if form == "array" else read_jsonl
-    return number_rows(read(spark, paths, ROW_SCHEMA))
+    if form == "array":
+        return number_array_rows(read_array_rows(spark, paths, ROW_SCHEMA))
+    return number_rows(read_jsonl(spark, paths, ROW_SCHEMA))
 
 
 def read_benchmarks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -123,8 +125,7 @@ def read_benchmarks(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     The benchmark is the file's stem; files of equal stems are told apart by the path of
     their folder.
     """
-    items = read_json_array(spark, paths).select("*", F.col("_metadata.file_path").alias("_file"), "_metadata")
-    numbered = number_rows(items, "test_idx", within_file=True).drop("_metadata")
+    numbered = read_array_rows(spark, paths, ROW_SCHEMA).withColumnsRenamed({"_path": "_file", "_at": "test_idx"})
     stem = file_stem(F.element_at(F.split("_file", "/"), -1))
     folder = F.regexp_extract("_file", "^(?:file:)?(.*)/[^/]*$", 1)
     alike = F.count(F.lit(1)).over(Window.partitionBy("_stem"))
