@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalsieve.scale import settle
+
 #: White space of the word rules: space and the controls from tab to carriage return.
 BLANKS = r"\x20\x09-\x0D"
 
@@ -35,6 +37,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Bits of the filter that tells which rows may have one of a set of keys: 32 MB at most.
+SLOTS = 1 << 28
+
+
+def parted_by_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have one of the keys, and the others, which have none.
+
+    Rows stay where they are: the keys' hashes are broadcast as a bitmap of a fixed number of
+    bits, whatever the number of keys. Where it fills up, more rows are taken to have a key;
+    the caller joins those by the key itself.
+    """
+
+    def slot():  # Spark counts the bits of bitmaps from 1
+        return F.pmod(F.xxhash64(*on), F.lit(SLOTS)) + 1
+
+    bitmaps = keys.select(slot().alias("_llm_slot")).groupBy(
+        F.bitmap_bucket_number("_llm_slot").alias("_llm_bucket")
+    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_llm_slot")).alias("_llm_bits"))
+    bitmaps = settle(bitmaps)
+    bit = F.bitmap_bit_position(slot())
+    byte = F.substring("_llm_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (bit % 8).cast("int")) == 1
+    marked = rows.withColumn("_llm_bucket", F.bitmap_bucket_number(slot())).join(
+        F.broadcast(bitmaps), "_llm_bucket", "left")
+    may = F.coalesce(is_set, F.lit(False))
+    return tuple(marked.where(w).select(*rows.columns) for w in (may, ~may))
+
+
+def with_found(docs: DataFrame, found: DataFrame, on: list[str], empty: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with what was found for their key in a column `name`, and the documents that
+    have no such key, with `empty` there. Only the former are shuffled.
+
+    `found` has one settled row per key, so Spark can split a key that very many rows share.
+    """
+    some, others = parted_by_keys(docs, found, on)
+    joined = some.join(found, on, "left").withColumn(name, F.coalesce(name, empty))
+    return joined.select(*docs.columns, name), others.withColumn(name, empty)
+
+
 #: Rows that are Python values at a time.
 SLICE = 1000
 

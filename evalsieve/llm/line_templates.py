@@ -1,18 +1,18 @@
 """Line dedup by a tree of log templates.
 
 A line falls to the leaf of a fixed-depth tree: its number of tokens, then its leading
-tokens, where tokens with digits count as a variable field. In a leaf the lines vote by
-position: a token that half of the distinct lines share is part of the leaf's template, the
-other positions are variable. Lines that agree with enough of the template, beyond the
-leading tokens that all share, carry it; the rest vote again until nobody gains a template,
-and who still differs keeps its own text as template. All of it is
-counting, so a leaf with any number of lines is spread over many tasks.
-
-A template is dropped if it recurs across documents. With `groups` that is decided by the
-documents themselves: near-duplicates count as one, and a template that so many groups hold
-recurs, wherever its lines stand. Without, a template recurs that stands between many
-different pairs of neighbouring lines. Either way a text that was merely copied keeps its
-lines here; whole copies are for the near-duplicate operators.
+tokens, where tokens with digits count as a variable field. In a leaf the tokens of the other
+positions are counted over its distinct lines. Of a line's tokens the more frequent ones, by
+a given share, are what its format has in common; the rarest of these names the format, the
+tokens are counted again among the lines that have it, and those as frequent as the rarest of
+the given share make the template. The others are variable fields. So every format of a leaf
+gets its template, however many formats and lines the leaf has, and two lines of one template
+agree on the leading tokens and on at least that share of the others. All of it is counting,
+in two rounds, so a leaf with any number of lines is spread over many tasks.
+
+A template is dropped if it recurs across documents: near-duplicates count as one, and a
+template that several groups of them hold recurs, wherever its lines stand. A text that was
+merely copied keeps its lines here; whole copies are for the near-duplicate operators.
 """
 
 from __future__ import annotations
@@ -25,16 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalsieve.llm import simhash
-from evalsieve.llm.common import keyed, map_batches, rewrite
+from evalsieve.llm.common import keyed, map_batches, parted_by_keys, rewrite, with_found
 from evalsieve.scale import settle
 
 #: Leading tokens that make the levels of the tree below the number of tokens.
 LEADING = 3
-#: Share of a line's tokens after the leading ones that must agree with a template.
+#: Share of a line's tokens after the leading ones that its template fixes at least.
 AGREEING = 0.6
-#: Different pairs of neighbours at least, and the share of different texts that have one.
-NEIGHBOURS = 8
-NEIGHBOUR_SHARE = 0.5
 #: Groups of near-duplicate documents from which a template recurs.
 GROUPS = 2
 
@@ -50,44 +47,38 @@ def _hash(text: str, seed: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-def _tree_path(line: str, leading: int) -> tuple[str, str, int] | None:
-    """Masked text, leading tokens and leaf of a line; none for one without tokens."""
+def _tree_path(line: str, leading: int) -> tuple[str, int] | None:
+    """Masked text and leaf of a line; none for one without tokens."""
     tokens = line.split()
     if not tokens:
         return None
     if _FIELD.search(line):
         tokens = [_VARIABLE if _FIELD.search(t) else t for t in tokens]
     head = " ".join(tokens[:leading])
-    return " ".join(tokens), head, _hash(f"{len(tokens)} {head}", 1)
+    return " ".join(tokens), _hash(f"{len(tokens)} {head}", 1)
 
 
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     """Every line with tokens for all levels: its document's key, its number and offsets in the
-    text, leaf, a hash of its masked text, and of the lines before and after it a hash of their
-    leading tokens, which small changes further on leave alone."""
+    text, leaf and a hash of its masked text."""
 
     def run(columns):
-        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own", "before", "after")
+        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own")
         out: dict[str, list] = {n: [] for n in names}
         for key, text_hash, text in zip(columns["_llm_id"], columns["_llm_text"], columns["text"]):
-            rows, at = [], 0
+            at = 0
             for number, line in enumerate((text or "").split("\n")):
                 path = _tree_path(line, leading)
-                if path:
-                    rows.append((number, at, at + len(line), *path, _hash(path[1], 3)))
+                if path and path[0].count(" ") + 1 >= leading:
+                    row = (key, text_hash, number, at, at + len(line), path[1], _hash(path[0], 2))
+                    for name, value in zip(names, row):
+                        out[name].append(value)
                 at += len(line) + 1
-            heads = [0, *(r[6] for r in rows), 0]
-            for i, (number, start, end, masked, _, leaf, _) in enumerate(rows):
-                if masked.count(" ") + 1 < leading:
-                    continue
-                for name, value in zip(names, (key, text_hash, number, start, end, leaf, _hash(masked, 2),
-                                               heads[i], heads[i + 2])):
-                    out[name].append(value)
         return out
 
     return map_batches(
         keyed(docs).select("_llm_id", "_llm_text", F.col("text").cast("string").alias("text")), run,
-        "_llm_id long, _llm_text long, line int, start long, end long, leaf long, own long, before long, after long",
+        "_llm_id long, _llm_text long, line int, start long, end long, leaf long, own long",
     )
 
 
@@ -117,9 +108,9 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
             for line in (text or "").split("\n"):
                 path = _tree_path(line, leading)
                 if path:
-                    slot = path[2] % SLOTS
+                    slot = path[1] % SLOTS
                     if bits[slot >> 3] >> (slot & 7) & 1:
-                        for name, value in zip(out, (path[2], _hash(path[0], 2), path[0])):
+                        for name, value in zip(out, (path[1], _hash(path[0], 2), path[0])):
                             out[name].append(value)
         return out
 
@@ -128,12 +119,25 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
     return distinct.join(leaves, "leaf", "left_semi")
 
 
-def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = NEIGHBOURS,
+def _counted(tokens: DataFrame, among: list[str], agreeing: float) -> DataFrame:
+    """leaf, own, most: the tokens (-n, at, token) of every line, n being how many lines of the
+    same `among` have that token there; the most frequent first, of equals the leftmost. And
+    `edge`, the token with which the given share of the line is reached."""
+    n = tokens.groupBy(*among, "at", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # settled, so that both sides are dealt anew and Spark can split a token of very many lines
+    with_n = tokens.join(settle(n), [*among, "at", "token"], "left")
+    each = F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "token")
+    lines_ = with_n.groupBy("leaf", "own").agg(F.array_sort(F.collect_list(each)).alias("most"))
+    reach = F.col("most")[F.ceil(agreeing * F.size("most")).cast("int") - 1]
+    return lines_.withColumn("edge", F.filter("most", lambda t: t["n"] == reach["n"])[0])
+
+
+def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = GROUPS,
               leading: int = LEADING) -> DataFrame:
-    """leaf, own, template: for the distinct lines that carry the template of their leaf.
+    """leaf, own, template: for the distinct lines that share tokens with others of their leaf.
 
-    Only leaves with several distinct lines, and `least` lines, vote: no other could have a
-    template that recurs. Leaves vote again while they gain: no vote differs from one without a gain.
+    Only leaves with several distinct lines, and `least` lines, are looked at: no other could
+    have a template that recurs.
     """
     many = settle(
         found.groupBy("leaf")
@@ -141,80 +145,66 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, lea
         .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
         .select("leaf")
     )
-    left = settle(masked_lines(docs, many, leading))
-    result, vote = None, 0
-    while True:
-        tokens = left.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-        counted = tokens.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
-        place = counted.groupBy("leaf", "at").agg(
-            F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("of")
-        )
-        fixed = place.where((2 * F.col("n") >= F.col("of")) & (F.col("of") > 1)).select("leaf", "at", "token")
-        agreed = (
-            tokens.where(F.col("at") >= leading).join(fixed, ["leaf", "at", "token"], "left_semi")
-            .groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("agreed"))
-        )
-        judged = settle(
-            left.join(agreed, ["leaf", "own"], "left").withColumn(
-                "carries",
-                F.coalesce(F.col("agreed"), F.lit(0)) >= agreeing * (F.size(F.split("masked", " ")) - leading),
-            ).drop("agreed")
-        )
-        carried = judged.where("carries").select(
-            "leaf", "own", F.xxhash64("leaf", F.lit(vote)).alias("template"))
-        result = carried if result is None else result.unionByName(carried)
-        if not judged.where("carries").head(1):
-            return result
-        gained = settle(judged.where("carries").select("leaf").distinct())
-        left = judged.where("not carries").drop("carries").join(gained, "leaf", "left_semi")
-        vote += 1
-
-
-def _between_many(named: DataFrame, neighbours: int, share: float) -> DataFrame:
-    """The templates that stand between many different pairs of neighbours."""
-    pairs = named.groupBy("template", "before", "after").agg(F.lit(1).alias("_")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") >= neighbours)
-    texts = named.groupBy("template", "_llm_text").agg(F.lit(1).alias("_")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("texts"))
-    return pairs.join(texts, "template").where(
-        (F.col("texts") > 1) & (F.col("pairs") >= share * F.col("texts"))).select("template")
+    distinct = masked_lines(docs, many, leading)
+    tokens = settle(
+        distinct.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+        .where(F.col("at") >= leading)
+    )
+    named = settle(
+        _counted(tokens, ["leaf"], agreeing).where(F.col("edge")["n"] < -1)
+        .select("leaf", "own", F.xxhash64(F.col("edge")["at"], F.col("edge")["token"]).alias("format"))
+    )
+    again = settle(_counted(tokens.join(named, ["leaf", "own"]), ["leaf", "format"], agreeing))
+    fixed = F.filter("most", lambda t: t["n"] <= F.col("edge")["n"])
+    places = F.array_sort(F.transform(fixed, lambda t: F.struct(t["at"].alias("at"), t["token"].alias("token"))))
+    return again.where(F.col("edge")["n"] < -1).select("leaf", "own", F.xxhash64("leaf", places).alias("template"))
 
 
 def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
-    """The templates that at least so many groups of near-duplicate documents hold."""
+    """The templates that at least so many groups of near-duplicate documents hold.
+
+    Groups are asked for only of the texts that hold a template of several texts.
+    """
     held = settle(named.select("template", "_llm_text").distinct())
-    each = held.join(simhash.groups_of_texts(docs), "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
+    several = settle(
+        held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template"))
+    held = settle(held.join(several, "template", "left_semi"))
+    some, _ = parted_by_keys(keyed(docs), held.select("_llm_text").distinct(), ["_llm_text"])
+    each = held.join(simhash.groups_of_texts(some), "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template")
 
 
-def recurring_lines(docs: DataFrame, neighbours: int = NEIGHBOURS, share: float = NEIGHBOUR_SHARE,
-                    groups: int | None = None) -> DataFrame:
+def recurring_lines(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Key, number, offsets and template of every line whose template recurs across documents."""
     found = settle(lines(docs))
-    carried = templates(docs, found, least=groups or neighbours)
+    carried = templates(docs, found, least=groups)
     named = settle(
         found.join(carried, ["leaf", "own"], "left")
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")
     )
     # settled, so that it is dealt anew for the join and Spark can split a hot template's lines
-    recurring = settle(_in_groups(docs, named, groups) if groups else _between_many(named, neighbours, share))
+    recurring = settle(_in_groups(docs, named, groups))
     return named.join(recurring, "template", "left_semi").select(
         "_llm_id", "_llm_text", "line", "start", "end", "template")
 
 
-def drop_recurring(docs: DataFrame, **limits) -> DataFrame:
+def drop_recurring(docs: DataFrame, groups: int = GROUPS, name: str = "dropped") -> DataFrame:
     """`docs` with all columns, `text` without its recurring lines, and `dropped`: line number,
-    start, end (code points, end exclusive, of the text as given) and template of each.
+    start, end (code points, end exclusive, of the text as given) and template of each. A
+    column of that name is replaced; `name` gives another one.
 
-    Blank lines, and lines with fewer tokens than the tree has levels of them, stay. A null text stays null. Equal rows are one document and are cut alike;
-    every row is returned, also if nothing is left of its text.
+    Blank lines, and lines with fewer tokens than the tree has levels of them, stay. A null
+    text stays null. Equal rows are one document and are cut alike; every row is returned, also
+    if nothing is left of its text. An empty table gives an empty one.
     """
     spans = F.struct("line", "start", "end", "template")
-    gone = recurring_lines(docs, **limits).groupBy("_llm_id", "_llm_text").agg(
-        F.array_sort(F.collect_set(spans)).alias("_llm_dropped"))
-    joined = keyed(docs.drop("dropped")).join(gone, ["_llm_id", "_llm_text"], "left").drop("_llm_id", "_llm_text")
+    gone = settle(recurring_lines(docs, groups).groupBy("_llm_id", "_llm_text").agg(
+        F.array_sort(F.collect_set(spans)).alias(name)))
     empty = F.array().cast("array<struct<line:int,start:bigint,end:bigint,template:bigint>>")
-    joined = joined.withColumn("dropped", F.coalesce("_llm_dropped", empty)).drop("_llm_dropped")
+    changed, same = (
+        part.drop("_llm_id", "_llm_text")
+        for part in with_found(keyed(docs.drop(name)), gone, ["_llm_id", "_llm_text"], empty, name)
+    )
 
     def cut(texts, dropped):
         left = []
@@ -225,4 +215,5 @@ def drop_recurring(docs: DataFrame, **limits) -> DataFrame:
             left.append(text)
         return {"text": left}
 
-    return rewrite(joined, cut, ["text", "dropped"], "text string")
+    return rewrite(changed, cut, ["text", name], "text string").unionByName(
+        same.withColumn("text", F.col("text").cast("string")))

@@ -62,7 +62,8 @@ def repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
     """Key and offsets of every unit but the first of its digest, and where the first is."""
     found = settle(units(docs, words))
     place = F.struct("_llm_id", "_llm_text", "start")
-    first = (
+    # settled, so that both sides of the join are dealt anew and Spark can split a hot digest
+    first = settle(
         found.groupBy("high", "low")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
@@ -88,8 +89,8 @@ def remove_repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
     row is returned, also if nothing is left of its text.
     """
     span = F.struct("start", "end", "kept_doc_id", "kept_start")
-    gone = repeats(docs, words).groupBy("_llm_id", "_llm_text").agg(
-        F.array_sort(F.collect_set(span)).alias("removed"))
+    gone = settle(repeats(docs, words).groupBy("_llm_id", "_llm_text").agg(
+        F.array_sort(F.collect_set(span)).alias("removed")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kept_doc_id:bigint,kept_start:bigint>>")
     joined = (
         keyed(docs.drop("removed", "kept")).join(gone, ["_llm_id", "_llm_text"], "left")

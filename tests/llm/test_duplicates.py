@@ -196,7 +196,8 @@ def templated(spark):
     random.seed(12)
     rows = []
     for i in range(60):
-        body = [prose(random.randint(10, 25), i * 7 + k) + f" {WORDS[i % 19]}{'abcdefgh'[k]}" for k in range(4)]
+        own = "abcdefghij"[i % 10] + "klmnopqrst"[i // 10]  # words that no other document has
+        body = [" ".join(w + own + "uvwx"[k] for w in prose(random.randint(10, 25), i * 7 + k).split()) for k in range(4)]
         body.insert(random.randrange(4), f"Printed on day {i} by {random.choice(WORDS)} for everyone to read")
         rows.append((i, "\n".join(body)))
     copied = "\n".join(prose(20, 400 + k) for k in range(5))
@@ -219,26 +220,33 @@ def test_recurring_templates_are_dropped_and_copies_stay(spark, templated):
     assert len({r.dropped[0].template for i, r in rows.items() if i < 1000}) == 1
 
 
-def test_votes_by_plain_python(spark):
-    rows = [("a b c x q 1", 1), ("a b c x q 2", 2), ("a b c x r 3", 3), ("a b c y z w v", 4), ("d e f", 5), ("a b c k l m", 6)]
-    df = spark.createDataFrame([(i, t) for t, i in rows], "doc_id long, text string")
+def carried_by(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     found = line_templates.lines(df)
-    own = {r.masked: r.own for r in line_templates.masked_lines(df, found.select("leaf").distinct()).collect()}
-    assert set(own) == {"a b c x q <*>", "a b c x r <*>", "a b c y z w v", "d e f", "a b c k l m"}
-    carried = {r.own: r.template for r in line_templates.templates(df, found, least=2).collect()}
-    # of six tokens, q is shared by half of the leaf's distinct lines, "<*>" by more
-    assert own["a b c x q <*>"] in carried
-    assert carried[own["a b c x q <*>"]] == carried[own["a b c x r <*>"]]
-    assert own["a b c y z w v"] not in carried and own["d e f"] not in carried
+    names = {r.own: r.masked for r in line_templates.masked_lines(df, found.select("leaf").distinct()).collect()}
+    return {names[r.own]: r.template for r in line_templates.templates(df, found).collect()}
+
 
+def test_templates_fix_what_lines_share(spark):
+    carried = carried_by(spark, ["a b c x q 1", "a b c x q 2", "a b c x r 3", "a b c y z w v", "d e f", "a b c k l m"])
+    assert set(carried) == {"a b c x q <*>", "a b c x r <*>"} and len(set(carried.values())) == 1
 
-def test_votes_go_on_while_lines_gain_a_template(spark):
-    """Four formats in one leaf, each half of what the ones before it have left."""
+
+def test_every_format_of_a_leaf_gets_a_template(spark):
+    """However many formats share an opening, and however unequal they are."""
     rows = [f"log of day {name * 5} {'abcdefghijklmnop'[i]}" for name, n in (("q ", 16), ("r ", 8), ("s ", 4), ("t ", 2))
             for i in range(n)]
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    carried = line_templates.templates(df, line_templates.lines(df), least=2).collect()
-    assert len(carried) == len(rows) and len({r.template for r in carried}) == 4
+    carried = carried_by(spark, rows)
+    assert len(carried) == len(rows) and len(set(carried.values())) == 4
+
+
+@pytest.mark.parametrize("formats", [1, 2, 3, 6])
+def test_more_formats_do_not_bring_lines_back(spark, formats):
+    verbs = "opened the session now,closed a ticket today,read some mail here,left this room early,sent two files out,paid his bill late"
+    rows = [f"the user account {n} {v}" for v in verbs.split(",")[:formats] for n in WORDS[:12]]
+    df = spark.createDataFrame([(i, f"{r}\n{prose(30, i)} {r[::-1]}") for i, r in enumerate(rows)], "doc_id long, text string")
+    dropped = [r for r in line_templates.drop_recurring(df).collect() if "the user account" not in r.text]
+    assert len(dropped) == len(rows)
 
 
 def test_a_common_opening_is_no_template(spark):
@@ -272,14 +280,8 @@ def test_passages_of_few_and_of_many_documents_are_dropped(spark, passages):
         assert r.text.split("\n") == ([x for x in texts[r.doc_id].split("\n") if x not in gone] or [""]), r.doc_id
 
 
-def test_templates_on_odd_tables(odd_docs, no_docs):
-    rows = line_templates.drop_recurring(odd_docs).collect()
-    assert len(rows) == odd_docs.count()
-    assert line_templates.drop_recurring(no_docs).count() == 0
-
-
 def test_groups_of_templates_on_odd_tables(odd_docs, no_docs):
-    rows = line_templates.drop_recurring(odd_docs, groups=2).collect()
+    rows = line_templates.drop_recurring(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert all(r.text and not r.dropped for r in rows if r.doc_id in (1, 2))  # copies of one text
-    assert line_templates.drop_recurring(no_docs, groups=2).count() == 0
+    assert line_templates.drop_recurring(no_docs).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as contract
 import corpus_pipeline
 from evalsieve.llm import line_templates, quality_classifier, secrets, simhash
+from evalsieve.llm.common import keyed
 from evalsieve.scale import settle
 
 from .test_duplicates import roots
@@ -41,6 +43,24 @@ def test_is_registered(spark, stages):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, stages[-1][1].collect()))
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    """Every stage but the last gives the columns it got and loses no row but by its decision."""
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "score", "dropped", "removed", "spans")
+    spark.read.parquet(f"{SF_DIR}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = settle(stage(spark, docs, SF_DIR))
+        assert made.dtypes == docs.dtypes, name
+        if name in ("line_dedup", "secret_scan"):
+            assert made.count() == docs.count()
+            assert made.where("doc_id = 4").first().text is None
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.dtypes == docs.dtypes and empty.count() == 0
+    (_, pack) = corpus_pipeline.STAGES[-1]
+    packed = pack(spark, docs, SF_DIR)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert pack(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_columns_stay(stages):
     for got, made in stages[:-1]:
         assert made.dtypes == got.dtypes and 0 < made.count() <= got.count()
@@ -55,52 +75,58 @@ def test_quality_stage(spark, stages):
     assert all(labels.get(i, 1) for i in want)
 
 
-def plain_recurring(texts: dict, leading=3, agreeing=0.6, votes=2, neighbours=8):
-    """Numbers of the lines to drop from each text, by dictionaries in one process."""
+def plain_recurring(texts: dict, group: dict, leading=3, agreeing=0.6, least=2):
+    """Numbers of the lines to drop from each text, by dictionaries in one process; `group` is
+    the group of near-duplicates of each text."""
     rows, distinct = [], defaultdict(set)
     for key, text in texts.items():
-        own = []
         for number, line in enumerate((text or "").split("\n")):
-            tokens = ["<*>" if any(c in "0123456789" for c in t) else t for t in line.split()]
-            if tokens:
-                own.append((number, tuple(tokens)))
-        heads = ["", *(" ".join(t[:leading]) for _, t in own), ""]
-        for i, (number, tokens) in enumerate(own):
+            tokens = tuple("<*>" if any(c in "0123456789" for c in t) else t for t in line.split())
             if len(tokens) >= leading:
-                rows.append((key, number, tokens, heads[i], heads[i + 2]))
+                rows.append((key, number, tokens))
                 distinct[len(tokens), tokens[:leading]].add(tokens)
-    size = Counter((len(r[2]), r[2][:leading]) for r in rows)
+
+    def edges(own):
+        """Of each line the tokens after the leading ones, counted over all, and the count and
+        place at which the share is reached."""
+        count = Counter((at, t[at]) for t in own for at in range(leading, len(t)))
+        for t in own:
+            ranked = sorted((-count[at, t[at]], at) for at in range(leading, len(t)))
+            if ranked:
+                reach = ranked[math.ceil(agreeing * len(ranked)) - 1][0]
+                yield t, -reach, min(at for n, at in ranked if n == reach), count
+
     template = {}
-    for leaf, own in distinct.items():
-        if len(own) < 2 or size[leaf] < neighbours:
-            continue
-        for vote in range(votes):
-            fixed = {}
-            for at in range(leaf[0]):
-                token, n = max(Counter(t[at] for t in own).items(), key=lambda x: (x[1], x[0]), default=("", 0))
-                if 2 * n >= len(own) > 1:
-                    fixed[at] = token
-            carrying = {t for t in own if sum(t[at] == x for at, x in fixed.items()) >= agreeing * leaf[0]}
-            template.update({t: (leaf, vote) for t in carrying})
-            own = own - carrying
-    pairs, found = defaultdict(set), defaultdict(set)
-    for key, _, tokens, before, after in rows:
-        name = template.get(tokens, tokens)
-        pairs[name].add((before, after))
-        found[name].add(texts[key])
-    gone = defaultdict(set)
-    for key, number, tokens, _, _ in rows:
-        name = template.get(tokens, tokens)
-        if len(pairs[name]) >= neighbours and len(found[name]) > 1 and len(pairs[name]) >= 0.5 * len(found[name]):
+    for own in distinct.values():
+        formats = defaultdict(set)
+        for t, n, at, _ in edges(own):
+            if n > 1:
+                formats[at, t[at]].add(t)
+        for mine in formats.values():
+            for t, n, _, count in edges(mine):
+                if n > 1:
+                    template[t] = (len(t), t[:leading]) + tuple(
+                        (at, t[at]) for at in range(leading, len(t)) if count[at, t[at]] >= n)
+    held, gone = defaultdict(set), defaultdict(set)
+    for key, _, tokens in rows:
+        held[template.get(tokens, tokens)].add(group[texts[key]])
+    for key, number, tokens in rows:
+        if len(held[template.get(tokens, tokens)]) >= least:
             gone[key].add(number)
     return gone
 
 
+def grouped(docs):
+    """Groups of near-duplicate texts, all of them asked for."""
+    rows = keyed(docs).join(simhash.groups_of_texts(docs), "_llm_text").select("text", "group").collect()
+    return {r.text: r.group for r in rows}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_lines_by_plain_python(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    want = plain_recurring(texts)
+    want = plain_recurring(texts, grouped(docs))
     assert sum(map(len, want.values())) > 20
     for r in line_templates.drop_recurring(docs).collect():
         assert {d.line for d in r.dropped} == want[r.doc_id]
@@ -109,10 +135,10 @@ def test_lines_by_plain_python(spark, sf):
 def test_line_stage(stages):
     got, made = stages[1]
     texts = {r.doc_id: r.text for r in got.collect()}
-    gone = plain_recurring(texts)
+    gone = plain_recurring(texts, grouped(got))
     for r in made.collect():
         left = "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in gone[r.doc_id])
-        assert r.text == (left if left.strip() else texts[r.doc_id]) and r.n_chars == len(r.text)
+        assert r.text == left and r.n_chars == len(r.text)
 
 
 def test_near_duplicate_stage(stages):
