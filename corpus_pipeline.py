@@ -25,11 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, but a document that has nothing else keeps its text."""
-    cut = line_templates.drop_recurring(docs.withColumn("_llm_whole", F.col("text")))
-    nothing = (F.size("dropped") > 0) & ~F.col("text").rlike(r"\S")
-    text = F.when(nothing, F.col("_llm_whole")).otherwise(F.col("text"))
-    return _counted(cut.withColumn("text", text)).select(*docs.columns)
+    """Lines of recurring templates go, by the rule of `op5_line_templates`.
+
+    Every row stays, also one of which nothing is left; a null text stays null, equal rows are
+    cut alike, and an empty table gives an empty one.
+    """
+    return _counted(line_templates.drop_recurring(docs, name="_llm_dropped")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
