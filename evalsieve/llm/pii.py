@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import Spans, ids_and_texts, map_batches
+from evalsieve.llm.common import Spans, chunks, ids_and_texts, map_batches
 from evalsieve.scale import settle
 
 #: The rules' kinds, in the order in which they are listed.
@@ -31,6 +31,12 @@ SAMPLE_TOKENS = 48
 MOST_TOKENS = 16
 #: Probability that an added span needs.
 CONFIDENCE = 0.5
+#: Longer windows are decoded in stretches of so many tokens, with more beside them on both
+#: sides, so that no entity and hardly any evidence is cut.
+STRETCH_TOKENS = 512
+MARGIN_TOKENS = 4 * MOST_TOKENS
+#: Characters of windows whose features are held at a time.
+DECODED_CHARS = 20_000
 ROUNDS = 50
 
 _HASHED = 1 << 14
@@ -97,21 +103,23 @@ def windows(text: str) -> list[dict]:
     if not _TRIGGER.search(text):
         return []
     out: list[dict] = []
+    pieces: list[list[str]] = []  # of each window
     before, after_window, end = "", False, 0
     for m in _CHUNK.finditer(text):
         chunk = m[0]
         if _TRIGGER.search(chunk):
             gap = text[end : m.start()]
             if after_window and gap in (" ", "  "):
-                out[-1]["text"] += gap + chunk
+                pieces[-1] += [gap, chunk]
             else:
-                out.append({"start": m.start(), "text": chunk, "left": before[-20:], "right": ""})
+                out.append({"start": m.start(), "left": before[-20:], "right": ""})
+                pieces.append([chunk])
             after_window, end = True, m.end()
         else:
             if after_window:
                 out[-1]["right"] = chunk[:20]
             after_window, before = False, chunk
-    return out
+    return [{**w, "text": "".join(own)} for w, own in zip(out, pieces)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -331,6 +339,43 @@ def decode(wins: list[Window], weights, pairs) -> list[list[tuple[int, int, int,
     return out
 
 
+def stretches(text: str, left: str) -> Iterator[tuple[str, str, int, int, int]]:
+    """What a window is decoded in: text, what stands left of it, its place in the window, and
+    from where to where entities that begin there count. A window of few tokens is one."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    if len(spans) <= STRETCH_TOKENS:
+        yield text, left, 0, 0, len(text)
+        return
+    for core in range(0, len(spans), STRETCH_TOKENS):
+        first = max(0, core - MARGIN_TOKENS)
+        last = min(len(spans), core + STRETCH_TOKENS + MARGIN_TOKENS)
+        a, b = spans[first][0], spans[last - 1][1]
+        until = min(len(spans), core + STRETCH_TOKENS)
+        yield text[a:b], left if a == 0 else text[max(0, a - 20) : a], a, spans[core][0], spans[until - 1][1]
+
+
+def entities(wins: list[tuple[str, str]], weights, pairs) -> list[list[tuple[int, int, int, float]]]:
+    """Of each window (text, what stands left of it) the entities of the best segmentation:
+    start, end, label, probability. Time is linear in the text; what is held is bounded."""
+    number: dict[tuple[str, str], int] = {}
+    parts = []
+    for i, (text, left) in enumerate(wins):
+        for part, beside, at, since, until in stretches(text, left):
+            parts.append((i, number.setdefault((part, beside), len(number)), at, since, until))
+    keys = list(number)
+    decoded: list[list[tuple[int, int, int, float]]] = []
+    for a, b in chunks([text for text, _ in keys], DECODED_CHARS):
+        made = [Window(text, beside, "") for text, beside in keys[a:b]]
+        for win, found in zip(made, decode(made, weights, pairs)):
+            decoded.append([(win.starts[x], win.ends[y - 1], label, sure) for x, y, label, sure in found])
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in wins]
+    for i, own, at, since, until in parts:
+        for start, end, label, sure in sorted(decoded[own]):
+            if since <= at + start < until and not (out[i] and at + start < out[i][-1][1]):
+                out[i].append((at + start, at + end, label, sure))
+    return out
+
+
 # -- the operator -----------------------------------------------------------------------------
 
 
@@ -406,16 +451,14 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for own in columns["windows"]:
             for w in own:
                 distinct.setdefault((w["text"], w["left"]), len(distinct))
-        wins = [Window(text, left, "") for text, left in distinct]
-        found = decode(wins, weights.astype(float), pairs.astype(float))
+        found = entities(list(distinct), weights.astype(float), pairs.astype(float))
         spans = []
         for base, own in zip(columns["base"], columns["windows"]):
             all_spans = list(base)
             known = Spans((s["start"], s["end"]) for s in base)
             for w in own:
-                i = distinct[w["text"], w["left"]]
-                for a, b, label, sure in found[i]:
-                    start, end = w["start"] + wins[i].starts[a], w["start"] + wins[i].ends[b - 1]
+                for a, b, label, sure in found[distinct[w["text"], w["left"]]]:
+                    start, end = w["start"] + a, w["start"] + b
                     if sure >= CONFIDENCE and not known.touch(start, end):
                         all_spans.append({"kind": f"like_{KINDS[label - 1]}", "start": start, "end": end})
             spans.append(sorted(all_spans, key=lambda s: (rank[s["kind"]], s["start"])))

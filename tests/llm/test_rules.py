@@ -228,6 +228,64 @@ def test_dynamic_programming_against_all_segmentations():
         assert abs(p - marginal) < 1e-9
 
 
+def _field():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    weights, pairs = draw.normal(size=(5, pii._HASHED)), draw.normal(size=(5, 5))
+    weights[:, 0] = 0
+    return weights, pairs
+
+
+def test_short_windows_are_decoded_whole():
+    """In groups or alone, short windows have the spans of the plain decoder."""
+    random.seed(8)
+    wins = [("".join(random.choices("12 ab@.-+", k=random.randint(1, 60))), "left") for _ in range(60)]
+    weights, pairs = _field()
+    found = pii.entities(wins, weights, pairs)
+    for (text, left), own in zip(wins, found):
+        win = pii.Window(text, left, "")
+        plain = pii.decode([win], weights, pairs)[0]
+        assert [(a, b, y) for a, b, y, _ in own] == sorted((win.starts[x], win.ends[y - 1], k) for x, y, k, _ in plain)
+
+
+def test_long_windows_in_stretches(monkeypatch):
+    """Stretches cover every token once, and change what the whole window gives hardly at all."""
+    random.seed(9)
+    text = " ".join(random.choice(["+49 30 123", "a@b.de", "10.0.0.1", "x1", "77"]) for _ in range(400))
+    weights, pairs = _field()
+    (stretched,) = pii.entities([(text, "")], weights, pairs)
+    cores = [(a, b) for _, _, _, a, b in pii.stretches(text, "")]
+    assert len(cores) > 2 and cores[0][0] == 0 and cores[-1][1] == len(text)
+    assert all(b == c for (_, b), (c, _) in zip(cores, cores[1:]))
+    assert all(x[1] <= y[0] for x, y in zip(stretched, stretched[1:]))
+    monkeypatch.setattr(pii, "STRETCH_TOKENS", 10**9)
+    (whole,) = pii.entities([(text, "")], weights, pairs)
+    same = {s[:3] for s in stretched} & {s[:3] for s in whole}
+    assert len(same) >= 0.99 * max(len(whole), len(stretched))
+
+
+def test_long_runs_of_numbers_take_linear_time_and_flat_memory():
+    import time
+
+    weights, pairs = _field()
+    took, peak = [], []
+    for n in (10_000, 40_000):
+        text = " ".join(str(random.randrange(10**6)) for _ in range(n // 7))
+        start = time.perf_counter()
+        (window,) = pii.windows(text)
+        assert window["text"] == text
+        tracemalloc.start()
+        pii.entities([(window["text"], "")], weights, pairs)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] and peak[1] < 2 * peak[0]
+    start = time.perf_counter()
+    pii.windows("1 " * 1_000_000)  # two megabytes
+    assert time.perf_counter() - start < 20
+
+
 def test_pii_on_odd_tables(odd_docs, no_docs):
     assert pii.find_pii(odd_docs).count() == odd_docs.count()
     assert pii.find_pii(no_docs).count() == 0
