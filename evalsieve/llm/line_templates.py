@@ -119,14 +119,14 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
     return distinct.join(leaves, "leaf", "left_semi")
 
 
-def _counted(tokens: DataFrame, among: list[str], agreeing: float) -> DataFrame:
-    """leaf, own, most: the tokens (-n, at, token) of every line, n being how many lines of the
-    same `among` have that token there; the most frequent first, of equals the leftmost. And
-    `edge`, the token with which the given share of the line is reached."""
-    n = tokens.groupBy(*among, "at", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _counted(tokens: DataFrame, agreeing: float) -> DataFrame:
+    """leaf, own, most: the tokens (-n, at, key) of every line, n being how many lines have the
+    key; the most frequent first, of equals the leftmost. And `edge`, the leftmost of those
+    with which the given share of the line is reached."""
+    n = tokens.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
     # settled, so that both sides are dealt anew and Spark can split a token of very many lines
-    with_n = tokens.join(settle(n), [*among, "at", "token"], "left")
-    each = F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "token")
+    with_n = tokens.join(settle(n), "key", "left")
+    each = F.struct((-F.coalesce("n", F.lit(1))).alias("n"), "at", "key")
     lines_ = with_n.groupBy("leaf", "own").agg(F.array_sort(F.collect_list(each)).alias("most"))
     reach = F.col("most")[F.ceil(agreeing * F.size("most")).cast("int") - 1]
     return lines_.withColumn("edge", F.filter("most", lambda t: t["n"] == reach["n"])[0])
@@ -146,18 +146,21 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, lea
         .select("leaf")
     )
     distinct = masked_lines(docs, many, leading)
+    # a token at its place in its leaf, by a hash
     tokens = settle(
         distinct.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
         .where(F.col("at") >= leading)
+        .select("leaf", "own", "at", F.xxhash64("leaf", "at", "token").alias("key"))
     )
     named = settle(
-        _counted(tokens, ["leaf"], agreeing).where(F.col("edge")["n"] < -1)
-        .select("leaf", "own", F.xxhash64(F.col("edge")["at"], F.col("edge")["token"]).alias("format"))
+        _counted(tokens, agreeing).where(F.col("edge")["n"] < -1)
+        .select("leaf", "own", F.inline("most"), F.col("edge")["key"].alias("format"))
+        .select("leaf", "own", "at", F.xxhash64("key", "format").alias("key"))
     )
-    again = settle(_counted(tokens.join(named, ["leaf", "own"]), ["leaf", "format"], agreeing))
+    again = settle(_counted(named, agreeing))
     fixed = F.filter("most", lambda t: t["n"] <= F.col("edge")["n"])
-    places = F.array_sort(F.transform(fixed, lambda t: F.struct(t["at"].alias("at"), t["token"].alias("token"))))
-    return again.where(F.col("edge")["n"] < -1).select("leaf", "own", F.xxhash64("leaf", places).alias("template"))
+    keys = F.array_sort(F.transform(fixed, lambda t: t["key"]))
+    return again.where(F.col("edge")["n"] < -1).select("leaf", "own", F.xxhash64("leaf", keys).alias("template"))
 
 
 def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
