@@ -342,6 +342,7 @@ FROM benchmark""",
   text AS question, CAST(item_id AS VARCHAR) AS answer
 FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS spot FROM benchmark) WHERE spot < 50""",
     "first_rows": "SELECT doc_id AS row_idx, source FROM documents WHERE doc_id < 100",
+    "indexed_summary": f"{MATCH} {SUMMARY.format(rows_name='num_contaminated_train')}",
     "shared_runs": f"""{MATCH},
 islands AS (
   SELECT *, train_pos - test_pos AS diagonal, train_pos - row_number() OVER (

@@ -30,6 +30,7 @@ from evalsieve.operators import (
     preparing,
     scoring,
     shared_runs as runs,
+    training_index,
 )
 from evalsieve.plans import jobs, reports
 from evalsieve.scale import shared_folder
@@ -233,6 +234,16 @@ def match_details(spark, sf_dir):
     return contamination.match_details(pairs, training(spark, sf_dir), bench)
 
 
+@query
+def indexed_summary(spark, sf_dir):
+    """Two benchmarks against an index of the training rows that was written in two steps."""
+    folder = _folder(spark, "index")
+    train, bench = training_texts(spark, sf_dir), benchmarks(spark, sf_dir)
+    training_index.add_rows(train.where(F.col("row_idx") % 2 == 0), folder)
+    training_index.add_rows(train.where(F.col("row_idx") % 2 == 1), folder)
+    return contamination.contamination_summary(training_index.detect(train, bench, folder), bench)
+
+
 @query
 def shared_runs(spark, sf_dir):
     """The longest common run of every matching pair."""

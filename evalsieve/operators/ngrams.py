@@ -109,28 +109,27 @@ def settled_terms(
     return settle(grams.distinct())
 
 
-def _shared_window_rows(
+def _run_hashes(tokens: Column, width: int) -> Column:
+    return F.transform(
+        F.sequence(F.lit(0), F.size(tokens) - width), lambda i: _start_hash(tokens, i, width)
+    )
+
+
+def row_marks(
     train: DataFrame,
-    dictionary: DataFrame,
     lengths: Sequence[int],
-    key: str,
-    text: str,
-    tokenizer: Tokenizer,
-    width: int,
+    key: str = "row_idx",
+    text: str = "prompt",
+    tokenizer: Tokenizer = tokenize,
+    width: int = START_TOKENS,
 ) -> DataFrame:
-    """Keys of the rows that may hold a dictionary n-gram; complete, not exact.
+    """(key, n, _mark): the marks of the n-grams of every row.
 
-    Used when the dictionary is too large to broadcast. Every n-gram is marked by
-    the smallest hash of the `width`-token runs inside it. Equal n-grams have
-    equal marks, and neighbouring n-grams mostly share theirs, so a row sends far
-    fewer marks than positions through the shuffle.
+    Every n-gram is marked by the smallest hash of the `width`-token runs inside it. Equal
+    n-grams have equal marks, and neighbouring n-grams mostly share theirs, so a row has far
+    fewer marks than positions.
     """
 
-    def run_hashes(tokens: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(tokens) - width), lambda i: _start_hash(tokens, i, width)
-        )
-
     def marked_with(n: int, marks: Column) -> Column:
         return F.transform(
             F.array_distinct(marks), lambda m: F.struct(F.lit(n).alias("n"), m.alias("_mark"))
@@ -139,7 +138,7 @@ def _shared_window_rows(
     rows = (
         train.select(key, tokenizer(F.col(text)).alias("_tokens"))
         .where(F.size("_tokens") >= min(lengths))
-        .select(key, run_hashes(F.col("_tokens")).alias("_runs"))
+        .select(key, _run_hashes(F.col("_tokens"), width).alias("_runs"))
     )
     marks = []
     for n in lengths:
@@ -157,10 +156,31 @@ def _shared_window_rows(
                 ),
             )
         marks.append(marked_with(n, F.slice(name, F.lit(1), F.size(name) - span + 1)))
-    marked = rows.select(key, F.inline(F.flatten(F.array_compact(F.array(*marks)))))
-    wanted = dictionary.select(
-        "n", F.array_min(run_hashes(F.col("ngram"))).alias("_mark")
+    return rows.select(key, F.inline(F.flatten(F.array_compact(F.array(*marks)))))
+
+
+def term_marks(dictionary: DataFrame, width: int = START_TOKENS) -> DataFrame:
+    """The distinct (n, _mark) of a dictionary's n-grams."""
+    return dictionary.select(
+        "n", F.array_min(_run_hashes(F.col("ngram"), width)).alias("_mark")
     ).distinct()
+
+
+def _shared_window_rows(
+    train: DataFrame,
+    dictionary: DataFrame,
+    lengths: Sequence[int],
+    key: str,
+    text: str,
+    tokenizer: Tokenizer,
+    width: int,
+) -> DataFrame:
+    """Keys of the rows that may hold a dictionary n-gram; complete, not exact.
+
+    Used when the dictionary is too large to broadcast: rows and n-grams meet by their marks.
+    """
+    marked = row_marks(train, lengths, key, text, tokenizer, width)
+    wanted = term_marks(dictionary, width)
     return join_lookup(marked, wanted, ["n", "_mark"], "left_semi", [key]).select(key).distinct()
 
 
