@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import gaps, keyed, map_batches, rewrite
+from evalsieve.llm.common import gaps, keyed, map_batches, rewrite, with_found
 from evalsieve.scale import settle
 
 #: Words of a unit at least; shorter ones recur by chance and stay.
@@ -86,15 +86,17 @@ def remove_repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
 
     All offsets are code points of the text as given, ends exclusive. Equal rows are one
     document. A null text stays null and counts as empty; a null doc_id ranks first. Every
-    row is returned, also if nothing is left of its text.
+    row is returned, also if nothing is left of its text; an empty table gives an empty one.
+    Columns of the names `removed` and `kept` are replaced.
     """
     span = F.struct("start", "end", "kept_doc_id", "kept_start")
     gone = settle(repeats(docs, words).groupBy("_llm_id", "_llm_text").agg(
         F.array_sort(F.collect_set(span)).alias("removed")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kept_doc_id:bigint,kept_start:bigint>>")
-    joined = (
-        keyed(docs.drop("removed", "kept")).join(gone, ["_llm_id", "_llm_text"], "left")
-        .withColumn("removed", F.coalesce("removed", empty)).drop("_llm_id", "_llm_text")
+    # texts without repeats stay in place
+    changed, same = (
+        part.drop("_llm_id", "_llm_text")
+        for part in with_found(keyed(docs.drop("removed", "kept")), gone, ["_llm_id", "_llm_text"], empty, "removed")
     )
 
     def cut(texts, removed):
@@ -105,7 +107,11 @@ def remove_repeats(docs: DataFrame, words: int = UNIT_WORDS) -> DataFrame:
             kept.append([{"start": a, "end": b} for a, b in own])
         return {"text": left, "kept": kept}
 
-    return rewrite(joined, cut, ["text", "removed"], "text string, kept array<struct<start:long,end:long>>")
+    text = F.col("text").cast("string")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length(text).cast("long").alias("end")))
+    return rewrite(
+        changed, cut, ["text", "removed"], "text string, kept array<struct<start:long,end:long>>"
+    ).unionByName(same.withColumns({"kept": F.filter(whole, lambda span: span["end"] > 0), "text": text}))
 
 
 
