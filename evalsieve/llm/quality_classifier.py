@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import ids_and_texts, map_batches, rewrite
+from evalsieve.llm.common import ids_and_texts, map_batches, parted_by_keys, rewrite
 
 #: Features are hashed to two to this power.
 BITS = 17
@@ -90,8 +90,10 @@ def held_out():
 
 def log_ratios(docs: DataFrame, train: DataFrame) -> np.ndarray:
     """Of every feature the log-ratio of its share among good and among bad documents."""
-    # labels grow with the documents, so they are never broadcast
-    labelled = ids_and_texts(docs).where(~held_out()).join(train.hint("merge"), "doc_id")
+    # labels grow with the documents, so they are never broadcast; of the texts only those are
+    # shuffled that a bitmap of the labels' ids lets through
+    may, _ = parted_by_keys(ids_and_texts(docs).where(~held_out()), train.select("doc_id"), ["doc_id"])
+    labelled = may.join(train.hint("merge"), "doc_id")
 
     def count(batches):
         import pyarrow as pa
