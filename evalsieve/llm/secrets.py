@@ -29,7 +29,7 @@ SAMPLE = 1000
 #: Longest value that a sample takes, in characters.
 SAMPLE_CHARS = 256
 #: Characters of a candidate at least.
-CANDIDATE_CHARS = 16
+CANDIDATE_CHARS = 8
 #: How much likelier than ordinary a candidate must be: e to this power, and per character.
 MARGIN = 12.0
 MARGIN_PER_CHAR = 0.4
