@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalsieve.llm.common import chunks, ids_and_texts, keyed, map_batches
+from evalsieve.llm.common import chunks, ids_and_texts, keyed, map_batches, parted_by_keys
 from evalsieve.llm.components import components
 from evalsieve.scale import settle
 
@@ -141,10 +141,11 @@ def links(nodes: DataFrame, keys, radius: int, bucket: int = BUCKET) -> DataFram
     those that fingerprints within the radius connect; never all pairs.
 
     Buckets above `bucket` fingerprints are cut into parts, and every two parts are compared
-    in a task of their own, so no link is lost and no task gets more than twice `bucket`.
+    as one group, so no link is lost and no group has more than twice `bucket` of them.
     """
     placed = settle(nodes.select("node", F.explode(keys).alias("key")))
-    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # settled, so that both sides of the join are dealt anew and Spark can split a hot bucket
+    sizes = settle(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / bucket).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     met = (
@@ -309,10 +310,13 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     rows = settle(keyed(docs).select(*own))
     named = settle(rows.join(groups_of_texts(docs, **how), "_llm_text"))
     first = settle(named.groupBy("group").agg(F.min(place).alias("first")))
-    gone = named.join(first, "group").where(place != F.col("first")).select(*own).distinct()
-    left = keyed(docs).join(gone, own, "left_anti")
+    gone = settle(named.join(first, "group").where(place != F.col("first")).select(*own).distinct())
+    # only rows that may go are shuffled with their texts
+    may, others = parted_by_keys(keyed(docs), gone, own)
+    left = others.unionByName(may.join(gone, own, "left_anti"))
     repeated = settle(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*own))
     if repeated.head(1):
-        once = left.join(repeated, own, "left_semi").dropDuplicates(own)
-        left = left.join(repeated, own, "left_anti").unionByName(once)
+        may, others = parted_by_keys(left, repeated, own)
+        once = may.join(repeated, own, "left_semi").dropDuplicates(own)
+        left = others.unionByName(may.join(repeated, own, "left_anti")).unionByName(once)
     return left.select(*docs.columns)
