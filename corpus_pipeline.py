@@ -34,8 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates: five-word shingles, 0.8."""
-    return simhash.one_of_each(docs)
+    """The first document of every group of `op7_simhash`: three-word shingles, two bits.
+
+    Texts without words, null ones among them, are one group. Of equal rows one stays, a null
+    doc_id ranks first, and an empty table gives an empty one.
+    """
+    return simhash.one_of_each(docs, words=3, radius=2)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
