@@ -8,7 +8,8 @@ tokens are counted again among the lines that have it, and those as frequent as
 the given share make the template. The others are variable fields. So every format of a leaf
 gets its template, however many formats and lines the leaf has, and two lines of one template
 agree on the leading tokens and on at least that share of the others. All of it is counting,
-in two rounds, so a leaf with any number of lines is spread over many tasks.
+in two rounds. A leaf of bounded text is counted whole, within a task that sees one leaf after
+the other; a larger one by joins and groups over all tasks, with the same verdict.
 
 A template is dropped if it recurs across documents: near-duplicates count as one, and a
 template that several groups of them hold recurs, wherever its lines stand. A text that was
@@ -17,9 +18,13 @@ merely copied keeps its lines here; whole copies are for the near-duplicate oper
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +40,8 @@ AGREEING = 0.6
 #: Groups of near-duplicate documents from which a template recurs.
 GROUPS = 2
 
+#: Characters of a leaf's lines, repeats included, up to which one task counts it whole.
+WHOLE_CHARS = 1_000_000
 #: Bits of the filter on leaves.
 SLOTS = 1 << 23
 
@@ -95,7 +102,8 @@ def _slots(leaves: DataFrame) -> np.ndarray:
 
 
 def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) -> DataFrame:
-    """leaf, own and masked text of the distinct lines of the given leaves.
+    """leaf, own and masked text of the lines of the given leaves, with the leaves' columns;
+    repeated lines are left out where they are seen together.
 
     The texts are parsed again rather than kept: a bitmap of the leaves' hashes lets only
     a few others through, and the join then leaves just these.
@@ -103,20 +111,75 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
     bits = _slots(leaves)
 
     def run(columns):
-        out: dict[str, list] = {"leaf": [], "own": [], "masked": []}
+        seen: dict[tuple[int, int], str] = {}
         for text in columns["text"]:
             for line in (text or "").split("\n"):
                 path = _tree_path(line, leading)
                 if path:
                     slot = path[1] % SLOTS
                     if bits[slot >> 3] >> (slot & 7) & 1:
-                        for name, value in zip(out, (path[1], _hash(path[0], 2), path[0])):
-                            out[name].append(value)
-        return out
+                        seen[path[1], _hash(path[0], 2)] = path[0]
+        return {"leaf": [k[0] for k in seen], "own": [k[1] for k in seen], "masked": seen.values()}
 
     found = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "leaf long, own long, masked string")
-    distinct = found.groupBy("leaf", "own").agg(F.first("masked").alias("masked"))
-    return distinct.join(leaves, "leaf", "left_semi")
+    return found.join(leaves, "leaf")
+
+
+def _edges(rows: list[tuple[str, ...]], agreeing: float) -> Iterator[tuple[list[int], int]]:
+    """For each line how many lines have its token, by place, and the leftmost place of the
+    count with which the given share of the line is reached."""
+    count = Counter(placed for tokens in rows for placed in enumerate(tokens))
+    for tokens in rows:
+        n = [count[placed] for placed in enumerate(tokens)]
+        yield n, n.index(sorted(n, reverse=True)[math.ceil(agreeing * len(n)) - 1])
+
+
+def _leaf_templates(leaf: int, lines_: dict[int, str], agreeing: float, leading: int) -> Iterator[tuple[int, int]]:
+    """own and template of the lines of one leaf that share tokens with others of it."""
+    split = {own: tuple(masked.split(" ")[leading:]) for own, masked in lines_.items()}
+    formats: dict[tuple[int, str], list[int]] = defaultdict(list)
+    if len(split) < 2 or not all(split.values()):  # none, or all, have no further tokens
+        return
+    for (own, tokens), (n, edge) in zip(split.items(), _edges(list(split.values()), agreeing)):
+        if n[edge] > 1:
+            formats[edge, tokens[edge]].append(own)
+    for named, members in formats.items():
+        rows = [split[own] for own in members]
+        for own, tokens, (n, edge) in zip(members, rows, _edges(rows, agreeing)):
+            if n[edge] > 1:
+                fixed = " ".join(f"{at}:{t}" for at, t in enumerate(tokens) if n[at] >= n[edge])
+                yield own, _hash(f"{leaf} {named[0]}:{named[1]} {fixed}", 3)
+
+
+def _by_leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, str]]]:
+    """The lines of each leaf, out of batches in the order of leaves."""
+    last, rows = None, {}
+    for batch in batches:
+        for leaf, own, masked in zip(*[batch.column(n).to_pylist() for n in ("leaf", "own", "masked")]):
+            if leaf != last:
+                if rows:
+                    yield last, rows
+                last, rows = leaf, {}
+            rows[own] = masked
+    if rows:
+        yield last, rows
+
+
+def _counted_whole(found: DataFrame, agreeing: float, leading: int) -> DataFrame:
+    """leaf, own, template for leaves of bounded text, one at a time in memory."""
+    kind = pa.schema([(n, pa.int64()) for n in ("leaf", "own", "template")])
+
+    def run(batches):
+        out: list[tuple[int, int, int]] = []
+        for leaf, rows in _by_leaf(batches):
+            out += [(leaf, *named) for named in _leaf_templates(leaf, rows, agreeing, leading)]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=kind)
+
+    return found.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "leaf long, own long, template long")
 
 
 def _counted(tokens: DataFrame, agreeing: float) -> DataFrame:
@@ -132,20 +195,9 @@ def _counted(tokens: DataFrame, agreeing: float) -> DataFrame:
     return lines_.withColumn("edge", F.filter("most", lambda t: t["n"] == reach["n"])[0])
 
 
-def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = GROUPS,
-              leading: int = LEADING) -> DataFrame:
-    """leaf, own, template: for the distinct lines that share tokens with others of their leaf.
-
-    Only leaves with several distinct lines, and `least` lines, are looked at: no other could
-    have a template that recurs.
-    """
-    many = settle(
-        found.groupBy("leaf")
-        .agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
-        .select("leaf")
-    )
-    distinct = masked_lines(docs, many, leading)
+def _counted_by_joins(found: DataFrame, agreeing: float, leading: int) -> DataFrame:
+    """leaf, own, template for leaves of any size."""
+    distinct = found.groupBy("leaf", "own").agg(F.first("masked").alias("masked"))
     # a token at its place in its leaf, by a hash
     tokens = settle(
         distinct.select("leaf", "own", F.posexplode(F.split("masked", " ")).alias("at", "token"))
@@ -163,6 +215,25 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, lea
     return again.where(F.col("edge")["n"] < -1).select("leaf", "own", F.xxhash64("leaf", keys).alias("template"))
 
 
+def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = GROUPS,
+              leading: int = LEADING, whole: int = WHOLE_CHARS) -> DataFrame:
+    """leaf, own, template: for the distinct lines that share tokens with others of their leaf.
+
+    Only leaves with several distinct lines, and `least` lines, are looked at: no other could
+    have a template that recurs. Leaves of more than `whole` characters are counted by joins.
+    """
+    many = settle(
+        found.groupBy("leaf")
+        .agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("n"),
+             F.sum(F.col("end") - F.col("start")).alias("chars"))
+        .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
+        .select("leaf", (F.col("chars") > whole).alias("large"))
+    )
+    masked = settle(masked_lines(docs, many, leading))
+    parts = [masked.where(w).drop("large") for w in (F.col("large"), ~F.col("large"))]
+    return _counted_by_joins(parts[0], agreeing, leading).unionByName(_counted_whole(parts[1], agreeing, leading))
+
+
 def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
     """The templates that at least so many groups of near-duplicate documents hold.
 
@@ -180,7 +251,7 @@ def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Key, number, offsets and template of every line whose template recurs across documents."""
     found = settle(lines(docs))
-    carried = templates(docs, found, least=groups)
+    carried = settle(templates(docs, found, least=groups))
     named = settle(
         found.join(carried, ["leaf", "own"], "left")
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")

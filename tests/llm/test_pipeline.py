@@ -132,6 +132,19 @@ def test_lines_by_plain_python(spark, sf):
         assert {d.line for d in r.dropped} == want[r.doc_id]
 
 
+def test_leaves_of_any_size_alike(spark):
+    """Templates part the lines alike, whether leaves are counted whole, by joins, or mixed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = settle(line_templates.lines(docs))
+    parts = []
+    for whole in (10**9, 2_000, -1):
+        classes = defaultdict(set)
+        for r in line_templates.templates(docs, found, whole=whole).collect():
+            classes[r.template].add((r.leaf, r.own))
+        parts.append({frozenset(c) for c in classes.values()})
+    assert len(parts[0]) > 50 and parts[0] == parts[1] == parts[2]
+
+
 def test_line_stage(stages):
     got, made = stages[1]
     texts = {r.doc_id: r.text for r in got.collect()}
