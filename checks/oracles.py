@@ -452,6 +452,11 @@ SELECT doc_id AS row_idx, CAST(doc_id AS VARCHAR) AS id,
 FROM documents, n WHERE doc_id = 0 OR (n > 2 AND doc_id IN (n // 2, n - 1))""",
     "batch_complete": f"""SELECT CAST(doc_id AS VARCHAR) AS id,
   concat({prompt("text")}, ' \\boxed{{', length({prompt("text")}), '}}') AS completion
+FROM documents""",
+    "resumed_completion": f"""SELECT CAST(doc_id AS VARCHAR) AS id,
+  CASE WHEN length({prompt("text")}) % 17 <> 0
+    THEN concat({prompt("text")}, ' \\boxed{{', length({prompt("text")}), '}}') END AS completion,
+  CASE WHEN length({prompt("text")}) % 17 = 0 THEN 'ValueError: no answer' END AS error
 FROM documents""",
     "prefix_grid": f"""WITH {GRID}
 SELECT dataset, id, ratio, shown, tail, tail_length, {prompt("shown")} AS prompt FROM grid""",
@@ -472,6 +477,7 @@ FROM scored JOIN fscored USING (model, id, ratio)""",
     "eval_metrics": f"{RESULTS} SELECT * FROM result_rows",
     "flatten_metrics": f"{RESULTS} SELECT * FROM result_rows",
     "metrics_roundtrip": f"{RESULTS} SELECT * FROM result_rows",
+    "metric_files": f"{RESULTS} SELECT * FROM result_rows",
     "results_csv": f"{RESULTS} SELECT * FROM result_rows",
     "training_jsonl": """SELECT text AS question, source, CAST(doc_id AS VARCHAR) AS id
 FROM documents""",

@@ -466,6 +466,24 @@ def batch_complete(spark, sf_dir):
     return completing.batch_complete(prompts, load)
 
 
+@query
+def resumed_completion(spark, sf_dir):
+    """A run over a third of the prompts, then one over all: the ledger answers for the third.
+    Prompts of some lengths fail, with their error in the row."""
+    def load():
+        def answer(prompts):
+            if any(len(p) % 17 == 0 for p in prompts):
+                raise ValueError("no answer")
+            return [rf"{p} \boxed{{{len(p)}}}" for p in prompts]
+
+        return answer
+
+    ledger = _folder(spark, "ledger")
+    prompts = preparing.build_prompts(preparing.convert(training_texts(spark, sf_dir)))
+    completing.resumable_complete(prompts.where(F.col("id").cast("long") % 3 == 0), load, ledger, rounds=2)
+    return completing.resumable_complete(prompts, load, ledger, rounds=2)
+
+
 # -- evaluation ---------------------------------------------------------------
 
 
@@ -576,6 +594,24 @@ def metrics_roundtrip(spark, sf_dir):
     return _rounded(scoring.flatten_metrics(files.read_metric_lines(spark, folder)))
 
 
+@query
+def metric_files(spark, sf_dir):
+    """Metric records in files that hold one each and name dataset and model, read back."""
+    folder = _folder(spark, "metric_files")
+    named = scoring.metrics_records(results(spark, sf_dir)).select(
+        F.format_string("eval_%s_%s_vllm.json", "dataset", "model").alias("name"),
+        F.to_json(F.struct(*[c.split()[0] for c in files.METRICS_SCHEMA.split(", ")])).alias("value"),
+    )
+    named.repartition("name").write.partitionBy("name").text(folder)
+    # a folder for each record, one per dataset and model; its only part gets the record's name
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for own in fs.globStatus(path(f"{folder}/name=*")):
+        (part,) = fs.globStatus(path(f"{own.getPath()}/part-*"))
+        fs.rename(part.getPath(), path(folder, own.getPath().getName().removeprefix("name=")))
+    return _rounded(scoring.flatten_metrics(files.read_metrics(spark, f"{folder}/eval_*_vllm.json")))
+
+
 @query
 def results_csv(spark, sf_dir):
     """Result rows through the CSV sink and back."""

@@ -15,7 +15,7 @@ from evalsieve.operators.cleaning import (
     source_counts,
     verify,
 )
-from evalsieve.operators.completing import batch_complete
+from evalsieve.operators.completing import batch_complete, resumable_complete
 from evalsieve.operators.contamination import (
     Detection,
     contaminated_indices,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evalsieve.functions.text import tokenize
 from evalsieve.operators import cleaning, contamination, identity, ngrams, preparing, scoring
-from evalsieve.operators.completing import Generator, batch_complete
+from evalsieve.operators.completing import Generator, batch_complete, resumable_complete
 from evalsieve.operators.ngrams import Tokenizer
 from evalsieve.operators.positions import keep_rows
 from evalsieve.scale import settle, settled_tables
@@ -179,16 +179,25 @@ def teach(
     out: str,
     load: Callable[[], Generator],
     tasks: int | None = None,
+    ledger: str | None = None,
 ) -> DataFrame:
     """A completion for every pooled question, in parallel, as training pairs; previews of
     the first, middle and last pair are returned.
 
-    One pair for each row: its columns travel with the prompt, so nothing is joined.
+    One pair for each row: its columns travel with the prompt, so nothing is joined. With a
+    `ledger` folder a job that died goes on where it was, equal prompts are asked once, and
+    rows on which the generator raised are written to `<out>_errors`, not among the pairs.
     """
     with settled_tables(spark):
         prompts = preparing.build_prompts(files.number_rows(files.read_jsonl(spark, pool_path)))
         keys = ["row_idx", "id", "source", "prompt"]
-        pairs = settle(preparing.completed_pairs(batch_complete(prompts, load, keys, tasks=tasks)))
+        if ledger is None:
+            made = batch_complete(prompts, load, keys, tasks=tasks)
+        else:
+            tried = resumable_complete(prompts, load, ledger, keys, tasks=tasks)
+            files.write_jsonl(tried.where("error IS NOT NULL").drop("completion"), f"{out}_errors")
+            made = tried.where("error IS NULL").drop("error")
+        pairs = settle(preparing.completed_pairs(made))
         files.write_jsonl(pairs.drop("row_idx"), out)
         return _written(
             preparing.teacher_preview(pairs), f"{out}_preview",

@@ -12,6 +12,7 @@ from evalsieve import (
     convert,
     first_rows,
     pairing_faults,
+    resumable_complete,
     sft_examples,
     shard,
     shard_rows,
@@ -169,3 +170,49 @@ def test_generator_must_answer_every_prompt(spark):
     prompts = spark.range(5).select("id", F.lit("p").alias("prompt"))
     with pytest.raises(Exception, match="5 prompts gave 4|prompts gave"):
         batch_complete(prompts, lambda: lambda texts: texts[1:], tasks=1).collect()
+
+
+def test_completion_goes_on_after_a_death(spark, tmp_path):
+    """A generator that dies midway is called once for each prompt over two runs."""
+    prompts = spark.range(40).select("id", F.concat(F.lit("p"), F.col("id") % 20).alias("prompt"))
+    log, alive = tmp_path / "asked", tmp_path / "alive"
+    log.mkdir()
+
+    def load():
+        def generate(texts):
+            if not alive.exists() and len(list(log.iterdir())) >= 8:
+                raise SystemExit("the generator died")
+            for t in texts:
+                with open(log / t, "a") as f:
+                    f.write("x")
+            return [t.upper() for t in texts]
+
+        return generate
+
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(Exception):
+        resumable_complete(prompts, load, ledger, tasks=1, rounds=6).collect()
+    before = len(list(log.iterdir()))
+    assert 8 <= before < 20
+    alive.touch()
+    rows = resumable_complete(prompts, load, ledger, tasks=1, rounds=6).collect()
+    assert {(r.id, r.completion, r.error) for r in rows} == {(i, f"P{i % 20}", None) for i in range(40)}
+    assert {p.name: p.read_text() for p in log.iterdir()} == {f"p{i}": "x" for i in range(20)}
+
+
+def test_failed_prompts_are_rows_and_tried_again(spark, tmp_path):
+    prompts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "a")], "id long, prompt string")
+
+    def picky(texts):
+        if "bad" in texts:
+            raise ValueError("cannot")
+        return [t + "!" for t in texts]
+
+    ledger = str(tmp_path / "ledger")
+    first = resumable_complete(prompts, lambda: picky, ledger, rounds=2).collect()
+    assert {(r.id, r.completion, r.error) for r in first} == {
+        (1, "a!", None), (4, "a!", None), (2, None, "ValueError: cannot"), (3, None, "no prompt")}
+    mended = resumable_complete(prompts, lambda: lambda ts: [t + "?" for t in ts], ledger, rounds=2).collect()
+    assert {(r.id, r.completion, r.error) for r in mended} == {
+        (1, "a!", None), (4, "a!", None), (2, "bad?", None), (3, None, "no prompt")}
+    assert resumable_complete(prompts.limit(0), lambda: picky, ledger, rounds=2).count() == 0

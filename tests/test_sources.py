@@ -178,6 +178,25 @@ def test_teaching_keeps_every_row(spark, tmp_path):
     assert all(r["target_text"].split()[0] in r["input_text"] for r in pairs)
 
 
+def test_teaching_with_a_ledger(spark, tmp_path):
+    """Faults are listed beside the pairs; the next run asks only for them."""
+    rows = [{"question": f"q{i}", "source": "s", "id": str(i)} for i in range(4)]
+    (tmp_path / "pool.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    paths = [str(tmp_path / n) for n in ("pool.jsonl", "pairs")]
+
+    def picky(prompts):
+        if any("q2" in p for p in prompts):
+            raise ValueError("cannot")
+        return ["one" for _ in prompts]
+
+    jobs.teach(spark, *paths, lambda: picky, ledger=str(tmp_path / "ledger"))
+    assert [r.id for r in spark.read.json(f"{paths[1]}_errors").collect()] == ["2"]
+    assert spark.read.json(paths[1]).count() == 3
+    jobs.teach(spark, *paths, lambda: lambda ps: ["two" for _ in ps], ledger=str(tmp_path / "ledger"))
+    assert sorted(r.target_text for r in spark.read.json(paths[1]).collect()) == ["one", "one", "one", "two"]
+    assert spark.read.schema("id string").json(f"{paths[1]}_errors").count() == 0
+
+
 def test_benchmarks_of_one_name_stay_apart(spark, tmp_path):
     sizes = {"a/test": 5, "m/other": 2, "z/test": 5}
     paths = [write_json(tmp_path / f"{p}.json", [{"prompt": f"{p} {i}"} for i in range(n)]) for p, n in sizes.items()]
