@@ -14,10 +14,13 @@ test_idx, prompt, ...).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalsieve.functions.text import tokenize
 from evalsieve.operators.positions import keep_rows
@@ -36,6 +39,9 @@ SHORTEST, LONGEST, LENGTH_PERCENTILE = 8, 13, 0.05
 # Tokens hashed at every position of a training text.
 START_TOKENS = 4
 
+# Hashes of token runs that are looked through at a time; more only if one row has more.
+_RUNS = 1_000_000
+
 Tokenizer = Callable[[Column], Column]
 
 
@@ -123,47 +129,67 @@ def row_marks(
     tokenizer: Tokenizer = tokenize,
     width: int = START_TOKENS,
 ) -> DataFrame:
-    """(key, n, _mark): the marks of the n-grams of every row.
+    """(key, n, _mark): the distinct marks of every row, n being the greatest of the lengths
+    whose n-grams have it; those of the shorter lengths have it too.
 
     Every n-gram is marked by the smallest hash of the `width`-token runs inside it. Equal
     n-grams have equal marks, and neighbouring n-grams mostly share theirs, so a row has far
-    fewer marks than positions.
+    fewer marks than positions. The mark of an n-gram also marks a shorter one inside it, so
+    all lengths together have no more marks than the shortest alone.
     """
-
-    def marked_with(n: int, marks: Column) -> Column:
-        return F.transform(
-            F.array_distinct(marks), lambda m: F.struct(F.lit(n).alias("n"), m.alias("_mark"))
-        )
-
-    rows = (
-        train.select(key, tokenizer(F.col(text)).alias("_tokens"))
-        .where(F.size("_tokens") >= min(lengths))
-        .select(key, _run_hashes(F.col("_tokens"), width).alias("_runs"))
+    spans = np.array(sorted(set(lengths))) - width + 1  # runs in an n-gram
+    # no filter on the size of short texts, as Spark would tokenise for it once more
+    runs_of = F.when(F.size("_tokens") >= min(lengths), _run_hashes(F.col("_tokens"), width))
+    rows = train.select(key, tokenizer(F.col(text)).alias("_tokens")).select(
+        key, F.coalesce(runs_of, F.array().cast("array<bigint>")).alias("_runs")
     )
-    marks = []
-    for n in lengths:
-        span = n - width + 1
-        name = f"_least{n}"
-        rows = rows.withColumn(name, F.when(F.size("_runs") >= span, F.col("_runs")))
-        # minima of 2, 4, ... neighbours, then two overlapping ones make up the span
-        for step in _doubling(span):
-            rows = rows.withColumn(
-                name,
-                F.zip_with(
-                    name,
-                    F.slice(name, F.lit(step + 1), F.size(name) - step),
-                    lambda a, b: F.least(a, b),
-                ),
-            )
-        marks.append(marked_with(n, F.slice(name, F.lit(1), F.size(name) - span + 1)))
-    return rows.select(key, F.inline(F.flatten(F.array_compact(F.array(*marks)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, runs = batch.columns
+            ends = np.asarray(runs.offsets)[1:]
+            at = 0
+            while at < len(runs):
+                most = (ends[at - 1] if at else np.asarray(runs.offsets)[0]) + _RUNS
+                upto = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+                part = runs.slice(at, upto - at)
+                row, span, mark = _least_runs(part.flatten().to_numpy(), part.value_lengths().to_numpy(), spans)
+                n = pa.array(span + (width - 1), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(row + at)), n, pa.array(mark)], names=[key, "n", "_mark"])
+                at = upto
+
+    made = T.StructType([rows.schema[key], T.StructField("n", T.IntegerType()), T.StructField("_mark", T.LongType())])
+    return rows.mapInArrow(run, made)
+
+
+def _least_runs(runs: np.ndarray, sizes: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, span, hash: the distinct run hashes of each row that are the smallest of some stretch
+    of runs, with the greatest of the given spans of such a stretch. `runs` has all rows' hashes."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    reach = np.ones(len(runs), dtype=np.int64)
+    for step in (-1, 1):  # how far no smaller hash follows on either side, within the row
+        alive = np.arange(len(runs))
+        for k in range(1, int(spans[-1])):
+            other = alive + step * k
+            inside = (other >= 0) & (other < len(runs))
+            alive, other = alive[inside], other[inside]
+            alive = alive[(row[other] == row[alive]) & (runs[other] >= runs[alive])]
+            reach[alive] += 1
+    own = np.flatnonzero(reach >= spans[0])
+    span = spans[np.searchsorted(spans, reach[own], side="right") - 1]
+    row, mark = row[own], runs[own]
+    order = np.lexsort((-span, mark, row))
+    row, mark, span = row[order], mark[order], span[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+    return row[first], span[first], mark[first]
 
 
 def term_marks(dictionary: DataFrame, width: int = START_TOKENS) -> DataFrame:
-    """The distinct (n, _mark) of a dictionary's n-grams."""
-    return dictionary.select(
-        "n", F.array_min(_run_hashes(F.col("ngram"), width)).alias("_mark")
-    ).distinct()
+    """(_mark, least_n): the marks of a dictionary's n-grams and the shortest that has each."""
+    mark = F.array_min(_run_hashes(F.col("ngram"), width))
+    return dictionary.groupBy(mark.alias("_mark")).agg(F.min("n").alias("least_n"))
 
 
 def _shared_window_rows(
@@ -181,16 +207,8 @@ def _shared_window_rows(
     """
     marked = row_marks(train, lengths, key, text, tokenizer, width)
     wanted = term_marks(dictionary, width)
-    return join_lookup(marked, wanted, ["n", "_mark"], "left_semi", [key]).select(key).distinct()
-
-
-def _doubling(span: int) -> list[int]:
-    """Distances at which pairwise minima add up to minima of `span` neighbours."""
-    steps, covered = [], 1
-    while covered < span:
-        steps.append(min(covered, span - covered))
-        covered += steps[-1]
-    return steps
+    met = join_lookup(marked, wanted, ["_mark"], spread_by=[key])
+    return met.where(F.col("n") >= F.col("least_n")).select(key).distinct()
 
 
 def train_hits(

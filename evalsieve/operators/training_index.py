@@ -1,7 +1,7 @@
 """A lasting index of training rows, for benchmarks that come later.
 
-The index holds the marks of every row's n-grams (see `ngrams.row_marks`) for every n that a
-benchmark may have, as a table bucketed by the mark. A new benchmark meets it by its own marks:
+The index holds the marks of every row's n-grams (see `ngrams.row_marks`), each once, with the
+longest n that has it of all that a benchmark may have, as a table bucketed by the mark. A new benchmark meets it by its own marks:
 few of them are broadcast, many are shuffled to the buckets, and the index itself is never
 shuffled. That leaves the rows that may match, and only their texts are read and compared.
 """
@@ -34,11 +34,11 @@ BUCKETS = 64
 
 def _table(spark: SparkSession, folder: str, buckets: int) -> str:
     """The name under which this session knows the table in a folder."""
-    name = "marks_" + md5(f"{folder} {buckets}".encode()).hexdigest()
+    name = "row_marks_" + md5(f"{folder} {buckets}".encode()).hexdigest()
     place = folder.replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} (n INT, mark BIGINT, row_idx BIGINT) USING parquet "
-        f"CLUSTERED BY (mark) SORTED BY (mark) INTO {buckets} BUCKETS LOCATION '{place}'"
+        f"CLUSTERED BY (mark) INTO {buckets} BUCKETS LOCATION '{place}'"
     )
     return name
 
@@ -61,7 +61,7 @@ def add_rows(
     name = _table(spark, folder, buckets)
     # dealt by the mark first, so that a bucket gets one file and not one from every task
     dealt = marks.repartition(buckets, "mark")
-    dealt.write.mode("append").format("parquet").bucketBy(buckets, "mark").sortBy("mark").option(
+    dealt.write.mode("append").format("parquet").bucketBy(buckets, "mark").option(
         "path", folder).saveAsTable(name)
 
 
@@ -69,9 +69,9 @@ def candidates(spark: SparkSession, folder: str, terms: DataFrame, buckets: int
     """row_idx of the indexed rows that may hold one of the n-grams; complete, not exact."""
     spark.catalog.refreshTable(_table(spark, folder, buckets))
     index = spark.table(_table(spark, folder, buckets))
-    wanted = settle(term_marks(terms).groupBy(F.col("_mark").alias("mark")).agg(F.collect_set("n").alias("_ns")))
+    wanted = settle(term_marks(terms).withColumnRenamed("_mark", "mark"))
     met = index.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted.hint("merge"), "mark")
-    return met.where(F.array_contains("_ns", F.col("n"))).select("row_idx").distinct()
+    return met.where(F.col("n") >= F.col("least_n")).select("row_idx").distinct()
 
 
 def detect(

@@ -60,6 +60,24 @@ def test_candidates_are_few_and_the_index_stays(spark, tmp_path, monkeypatch):
     assert "Bucketed: true" in plan and scans.count("Exchange hashpartitioning(mark") == 1
 
 
+def test_every_mark_of_a_row_is_kept_once(spark, tmp_path):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices("abcdef", k=k)) for k in (0, 7, 8, 9, 12, 13, 40, 300)] + [None]
+    train = make_train(spark, texts)
+    runs = train.select("row_idx", ngrams._run_hashes(ngrams.tokenize("prompt"), 4).alias("runs")).where(
+        "size(split(prompt, ' ')) >= 8")
+    wanted: dict[tuple[int, int], int] = {}
+    for row, hashes in runs.collect():
+        for n in training_index.LENGTHS:
+            for i in range(len(hashes) - (n - 4)):
+                wanted[row, min(hashes[i : i + n - 3])] = n  # the greatest comes last
+    folder = str(tmp_path / "index")
+    training_index.add_rows(train, folder, buckets=4)
+    found = spark.read.parquet(folder).collect()
+    assert len(found) == len(wanted)
+    assert {(r["row_idx"], r["mark"]): r["n"] for r in found} == wanted
+
+
 def test_other_lengths_are_refused(spark, tmp_path):
     texts, items = case()
     train, folder = make_train(spark, texts), str(tmp_path / "index")
