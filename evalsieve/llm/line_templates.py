@@ -54,15 +54,15 @@ def _hash(text: str, seed: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-def _tree_path(line: str, leading: int) -> tuple[str, int] | None:
-    """Masked text and leaf of a line; none for one without tokens."""
+def _tree_path(line: str, leading: int) -> tuple[list[str], int] | None:
+    """Masked tokens and leaf of a line; none for one without tokens."""
     tokens = line.split()
     if not tokens:
         return None
     if _FIELD.search(line):
         tokens = [_VARIABLE if _FIELD.search(t) else t for t in tokens]
     head = " ".join(tokens[:leading])
-    return " ".join(tokens), _hash(f"{len(tokens)} {head}", 1)
+    return tokens, _hash(f"{len(tokens)} {head}", 1)
 
 
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
@@ -76,8 +76,9 @@ def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
             at = 0
             for number, line in enumerate((text or "").split("\n")):
                 path = _tree_path(line, leading)
-                if path and path[0].count(" ") + 1 >= leading:
-                    row = (key, text_hash, number, at, at + len(line), path[1], _hash(path[0], 2))
+                if path and len(path[0]) >= leading:
+                    own = _hash(" ".join(path[0]), 2)
+                    row = (key, text_hash, number, at, at + len(line), path[1], own)
                     for name, value in zip(names, row):
                         out[name].append(value)
                 at += len(line) + 1
@@ -118,7 +119,8 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
                 if path:
                     slot = path[1] % SLOTS
                     if bits[slot >> 3] >> (slot & 7) & 1:
-                        seen[path[1], _hash(path[0], 2)] = path[0]
+                        masked = " ".join(path[0])
+                        seen[path[1], _hash(masked, 2)] = masked
         return {"leaf": [k[0] for k in seen], "own": [k[1] for k in seen], "masked": seen.values()}
 
     found = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "leaf long, own long, masked string")

@@ -37,6 +37,8 @@ BUCKET = 1024
 
 _SEED = 42
 _CHUNK_CHARS = 1_000_000
+#: Bytes of a shingle up to which it is hashed together with others.
+_LONG = 256
 _LANES = np.array(
     [sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64
 )
@@ -50,17 +52,88 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
-def _hashes(text: str, words: int) -> list[int]:
-    own = text.encode("utf-8").lower().split()  # on bytes: A-Z only, blanks as in the word rule
-    if not own:
-        return []
-    joined = b" ".join(own)
-    if len(own) <= words:
-        return [xxhash.xxh64_intdigest(joined, _SEED)]
-    starts = np.cumsum([0] + [len(w) + 1 for w in own])
-    ends = (starts[words:] - 1).tolist()
-    hashed = xxhash.xxh64_intdigest
-    return [hashed(joined[a:b], _SEED) for a, b in zip(starts.tolist(), ends)]
+def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, one text after the other, and how many each has."""
+    # on bytes: A-Z only, blanks as in the word rule
+    own = [t.encode("utf-8").lower().split() for t in texts]
+    count = np.array([len(w) for w in own], dtype=np.int64)
+    joined = b" ".join([b" ".join(w) for w in own if w])
+    blank = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
+    starts, ends = np.append(0, blank + 1), np.append(blank, len(joined))
+    sizes = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    first = np.cumsum(count) - count - (np.cumsum(sizes) - sizes)
+    at = np.arange(sizes.sum()) + np.repeat(first, sizes)
+    last = at + np.repeat(np.minimum(count, words) - 1, sizes)
+    return _xxh64(joined, starts[at], ends[last]), sizes
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _xxh64(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of each stretch of the data, many at a time; `starts` ascend. Long ones go to the library."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    short = ends - starts <= _LONG
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], _SEED)
+    own = np.flatnonzero(short)
+    cuts = np.searchsorted(starts[own], np.arange(0, len(data) + _CHUNK_CHARS, _CHUNK_CHARS))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a < b:
+            part = own[a:b]
+            base = int(starts[part[0]])
+            piece = data[base : int(ends[part].max())]
+            out[part] = _xxh64_short(piece, starts[part] - base, (ends - starts)[part])
+    return out
+
+
+def _xxh64_short(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    order = np.argsort(size.astype(np.int16), kind="stable")
+    at, size = at[order], size[order]
+    # the 64-bit word at every byte
+    padded = data + bytes(8)
+    word = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    seed = np.uint64(_SEED)
+    h = np.full(len(at), seed + _P5)
+    wide = int(np.searchsorted(size, 32))  # from here on 32 bytes and more
+    if wide < len(at):
+        sums = [np.full(len(at) - wide, seed) for _ in range(4)]
+        sums[0] += _P1
+        sums[0] += _P2
+        sums[1] += _P2
+        sums[3] -= _P1
+        for stripe in range(int(size[-1]) // 32):
+            some = int(np.searchsorted(size, 32 * (stripe + 1)))
+            for k in range(4):
+                v = sums[k][some - wide :]
+                v[:] = _turned(v + word[at[some:] + (32 * stripe + 8 * k)] * _P2, 31) * _P1
+        x = _turned(sums[0], 1) + _turned(sums[1], 7) + _turned(sums[2], 12) + _turned(sums[3], 18)
+        for v in sums:
+            x = (x ^ (_turned(v * _P2, 31) * _P1)) * _P1 + _P4
+        h[wide:] = x
+    h += size.astype(np.uint64)
+    at = at + size // 32 * 32
+    for k in range(3):
+        some = np.flatnonzero(size % 32 // 8 > k)
+        v = _turned(word[at[some]] * _P2, 31) * _P1
+        h[some] = _turned(h[some] ^ v, 27) * _P1 + _P4
+        at[some] += 8
+    some = np.flatnonzero(size & 4)
+    h[some] = _turned(h[some] ^ ((word[at[some]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    at[some] += 4
+    for k in range(3):
+        some = np.flatnonzero(size & 3 > k)
+        h[some] = _turned(h[some] ^ ((word[at[some] + k] & np.uint64(255)) * _P5), 11) * _P1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    out = np.empty_like(h)
+    out[order] = h ^ (h >> np.uint64(32))
+    return out
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,14 +144,42 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+#: Hashes that are added up as bit planes, to four of them.
+_TILE = 15
+
+
+def _tiled(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash stands in a table of _TILE rows, and the number of columns of each
+    document, which begins in a column of its own."""
+    tiles = -(-sizes // _TILE)
+    place = np.arange(sizes.sum()) + np.repeat(_TILE * (np.cumsum(tiles) - tiles) - (np.cumsum(sizes) - sizes), sizes)
+    return place % _TILE * tiles.sum() + place // _TILE, tiles
+
+
+def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bit planes."""
+    either = a ^ b
+    return either ^ c, (a & b) | (either & c)
+
+
+def _majority(h: np.ndarray, sizes: np.ndarray, place: np.ndarray, tiles: np.ndarray) -> np.ndarray:
     """Bits that are set in over half of the hashes of each document; all have some."""
-    starts = np.cumsum(sizes) - sizes
-    lanes = _LANES[h.view(np.uint8).reshape(-1, 8)]
-    # runs of at most 255 hashes of one document, so that no 8-bit lane overflows
-    cuts = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts.tolist(), sizes.tolist())])
+    rows = np.zeros(_TILE * int(tiles.sum()), dtype=np.uint64)
+    rows[place] = h
+    planes, lanes = list(rows.reshape(_TILE, -1)), 0
+    for weight in range(4):
+        carries = []
+        left = planes[0]
+        for b, c in zip(planes[1::2], planes[2::2]):
+            left, carry = _added(left, b, c)
+            carries.append(carry)
+        lanes = lanes + (_LANES[left.view(np.uint8).reshape(-1, 8)] << np.uint64(weight))
+        planes = carries
+    # at most 17 columns of one document at a time, so that no 8-bit lane overflows
+    starts = np.cumsum(tiles) - tiles
+    cuts = np.concatenate([np.arange(a, a + n, 17) for a, n in zip(starts.tolist(), tiles.tolist())])
     part = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
-    runs = -(-sizes // 255)
+    runs = -(-tiles // 17)
     count = np.add.reduceat(part, np.cumsum(runs) - runs, axis=0)
     return np.packbits(2 * count > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -97,15 +198,15 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, width: int = WIDE_
         texts = [t or "" for t in columns["text"]]
         fps, keys = [], []
         for a, b in chunks(texts, _CHUNK_CHARS):
-            each = [_hashes(t, words) for t in texts[a:b]]
-            fp = np.zeros((len(each), width), dtype=np.uint64)
-            key = np.zeros((len(each), bands), dtype=np.uint64)
-            full = [i for i, h in enumerate(each) if h]
-            if full:
-                sizes = np.array([len(each[i]) for i in full])
-                flat = np.fromiter((h for i in full for h in each[i]), dtype=np.uint64, count=int(sizes.sum()))
+            flat, sizes = _shingles(texts[a:b], words)
+            fp = np.zeros((b - a, width), dtype=np.uint64)
+            key = np.zeros((b - a, bands), dtype=np.uint64)
+            full = np.flatnonzero(sizes)
+            if len(full):
+                sizes = sizes[full]
+                place, tiles = _tiled(sizes)
                 for k in range(width):
-                    fp[full, k] = _majority(_mixed(flat, k) if k else flat, sizes)
+                    fp[full, k] = _majority(_mixed(flat, k) if k else flat, sizes, place, tiles)
                 starts = np.cumsum(sizes) - sizes
                 for band in range(bands):
                     own = np.zeros(len(full), dtype=np.uint64)

@@ -285,3 +285,36 @@ def test_groups_of_templates_on_odd_tables(odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert all(r.text and not r.dropped for r in rows if r.doc_id in (1, 2))  # copies of one text
     assert line_templates.drop_recurring(no_docs).count() == 0
+
+
+def test_shingles_are_hashed_together_as_the_library_does(monkeypatch):
+    random.seed(31)
+    letters = "abcdefgh ABC\t\n.é漢 "
+    texts = ["", " \n", "a", "one two", "Éa B c " * 9, "x" * 900 + " y z " + "w" * 300 + " q r s t u v"]
+    texts += ["".join(random.choices(letters, k=random.randint(0, 900))) for _ in range(60)]
+    wanted, sizes = [], []
+    for text in texts:
+        own = text.encode().lower().split()
+        grams = [own[i : i + 5] for i in range(max(1, len(own) - 4))] if own else []
+        wanted += [xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams]
+        sizes.append(len(grams))
+    for chars in (1_000_000, 300):
+        monkeypatch.setattr(simhash, "_CHUNK_CHARS", chars)
+        found, counted = simhash._shingles(texts, 5)
+        assert found.tolist() == wanted and counted.tolist() == sizes
+    calls = []
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or 0)
+    simhash._shingles([prose(300)], 5)
+    assert not calls  # none by one
+
+
+@pytest.mark.parametrize("most", [1, 14, 15, 16, 40, 700])
+def test_majority_by_bit_planes(most):
+    draw = np.random.default_rng(most)
+    sizes = draw.integers(1, most + 1, 30)
+    h = draw.integers(0, 2**64, sizes.sum(), dtype=np.uint64)
+    h[: sizes[0]] = 2**64 - 1  # lanes at their fullest
+    place, tiles = simhash._tiled(sizes)
+    found = simhash._majority(h, sizes, place, tiles).tolist()
+    for fp, own in zip(found, np.split(h, np.cumsum(sizes)[:-1])):
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > len(own))
