@@ -46,43 +46,51 @@ WHOLE_CHARS = 1_000_000
 SLOTS = 1 << 23
 
 _FIELD = re.compile(r"[0-9]")
+_DIGITS = b"0123456789"
 _VARIABLE = "<*>"
 
 
-def _hash(text: str, seed: int) -> int:
-    value = xxhash.xxh64_intdigest(text.encode("utf-8"), seed)
+def _hash(data: bytes, seed: int) -> int:
+    value = xxhash.xxh64_intdigest(data, seed)
     return value - 2**64 if value >= 2**63 else value
 
 
-def _tree_path(line: str, leading: int) -> tuple[list[str], int] | None:
-    """Masked tokens and leaf of a line; none for one without tokens."""
-    tokens = line.split()
-    if not tokens:
+def _masked(line: str) -> bytes:
+    """Tokens of a line, those with digits masked, joined by one space."""
+    # most lines are that already: printable text has no blank but the space
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        own = line.encode("utf-8")
+        if len(own.translate(None, _DIGITS)) == len(own):
+            return own
+    return " ".join([_VARIABLE if _FIELD.search(t) else t for t in line.split()]).encode("utf-8")
+
+
+def _tree_path(line: str, leading: int) -> tuple[int, bytes, int] | None:
+    """Number of tokens, masked text and leaf of a line; none for one without tokens."""
+    masked = _masked(line)
+    if not masked:
         return None
-    if _FIELD.search(line):
-        tokens = [_VARIABLE if _FIELD.search(t) else t for t in tokens]
-    head = " ".join(tokens[:leading])
-    return tokens, _hash(f"{len(tokens)} {head}", 1)
+    n = masked.count(b" ") + 1
+    head = b" ".join(masked.split(b" ", leading)[:leading])
+    return n, masked, _hash(b"%d %b" % (n, head), 1)
 
 
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     """Every line with tokens for all levels: its document's key, its number and offsets in the
     text, leaf and a hash of its masked text."""
 
+    names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own")
+
     def run(columns):
-        names = ("_llm_id", "_llm_text", "line", "start", "end", "leaf", "own")
-        out: dict[str, list] = {n: [] for n in names}
+        rows = []
         for key, text_hash, text in zip(columns["_llm_id"], columns["_llm_text"], columns["text"]):
             at = 0
             for number, line in enumerate((text or "").split("\n")):
                 path = _tree_path(line, leading)
-                if path and len(path[0]) >= leading:
-                    own = _hash(" ".join(path[0]), 2)
-                    row = (key, text_hash, number, at, at + len(line), path[1], own)
-                    for name, value in zip(names, row):
-                        out[name].append(value)
+                if path and path[0] >= leading:
+                    rows.append((key, text_hash, number, at, at + len(line), path[2], _hash(path[1], 2)))
                 at += len(line) + 1
-        return out
+        return dict(zip(names, zip(*rows) if rows else [[]] * len(names)))
 
     return map_batches(
         keyed(docs).select("_llm_id", "_llm_text", F.col("text").cast("string").alias("text")), run,
@@ -112,16 +120,16 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
     bits = _slots(leaves)
 
     def run(columns):
-        seen: dict[tuple[int, int], str] = {}
+        seen: dict[tuple[int, int], bytes] = {}
         for text in columns["text"]:
             for line in (text or "").split("\n"):
                 path = _tree_path(line, leading)
                 if path:
-                    slot = path[1] % SLOTS
+                    _, masked, leaf = path
+                    slot = leaf % SLOTS
                     if bits[slot >> 3] >> (slot & 7) & 1:
-                        masked = " ".join(path[0])
-                        seen[path[1], _hash(masked, 2)] = masked
-        return {"leaf": [k[0] for k in seen], "own": [k[1] for k in seen], "masked": seen.values()}
+                        seen[leaf, _hash(masked, 2)] = masked
+        return {"leaf": [k[0] for k in seen], "own": [k[1] for k in seen], "masked": [m.decode("utf-8") for m in seen.values()]}
 
     found = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "leaf long, own long, masked string")
     return found.join(leaves, "leaf")
@@ -150,7 +158,7 @@ def _leaf_templates(leaf: int, lines_: dict[int, str], agreeing: float, leading:
         for own, tokens, (n, edge) in zip(members, rows, _edges(rows, agreeing)):
             if n[edge] > 1:
                 fixed = " ".join(f"{at}:{t}" for at, t in enumerate(tokens) if n[at] >= n[edge])
-                yield own, _hash(f"{leaf} {named[0]}:{named[1]} {fixed}", 3)
+                yield own, _hash(f"{leaf} {named[0]}:{named[1]} {fixed}".encode("utf-8"), 3)
 
 
 def _by_leaf(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, str]]]:
@@ -217,20 +225,27 @@ def _counted_by_joins(found: DataFrame, agreeing: float, leading: int) -> DataFr
     return again.where(F.col("edge")["n"] < -1).select("leaf", "own", F.xxhash64("leaf", keys).alias("template"))
 
 
+def shared_leaves(found: DataFrame, least: int = GROUPS) -> DataFrame:
+    """leaf, `several` distinct lines or one, characters: of the leaves with `least` lines, settled.
+    No other could have a template that recurs, as a template has one leaf."""
+    return settle(
+        found.groupBy("leaf")
+        .agg((F.min("own") != F.max("own")).alias("several"), F.count(F.lit(1)).alias("n"),
+             F.sum(F.col("end") - F.col("start")).alias("chars"))
+        .where(F.col("n") >= least).drop("n")
+    )
+
+
 def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, least: int = GROUPS,
-              leading: int = LEADING, whole: int = WHOLE_CHARS) -> DataFrame:
+              leading: int = LEADING, whole: int = WHOLE_CHARS, shared: DataFrame | None = None) -> DataFrame:
     """leaf, own, template: for the distinct lines that share tokens with others of their leaf.
 
-    Only leaves with several distinct lines, and `least` lines, are looked at: no other could
-    have a template that recurs. Leaves of more than `whole` characters are counted by joins.
+    Only leaves with several distinct lines, and `least` lines, are looked at; `shared` are the
+    `shared_leaves`, if known. Leaves of more than `whole` characters are counted by joins.
     """
-    many = settle(
-        found.groupBy("leaf")
-        .agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count(F.lit(1)).alias("n"),
-             F.sum(F.col("end") - F.col("start")).alias("chars"))
-        .where((F.col("a") != F.col("b")) & (F.col("n") >= least))
-        .select("leaf", (F.col("chars") > whole).alias("large"))
-    )
+    if shared is None:
+        shared = shared_leaves(found, least)
+    many = settle(shared.where("several").select("leaf", (F.col("chars") > whole).alias("large")))
     masked = settle(masked_lines(docs, many, leading))
     parts = [masked.where(w).drop("large") for w in (F.col("large"), ~F.col("large"))]
     return _counted_by_joins(parts[0], agreeing, leading).unionByName(_counted_whole(parts[1], agreeing, leading))
@@ -239,13 +254,15 @@ def templates(docs: DataFrame, found: DataFrame, agreeing: float = AGREEING, lea
 def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
     """The templates that at least so many groups of near-duplicate documents hold.
 
-    Groups are asked for only of the texts that hold a template of several texts.
+    Groups are asked for only of the texts that hold a template of several texts, and of one
+    document of each text.
     """
-    held = settle(named.select("template", "_llm_text").distinct())
+    held = settle(named.groupBy("template", "_llm_text").agg(F.min("_llm_id").alias("_llm_id")))
     several = settle(
         held.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template"))
     held = settle(held.join(several, "template", "left_semi"))
-    some, _ = parted_by_keys(keyed(docs), held.select("_llm_text").distinct(), ["_llm_text"])
+    own = ["_llm_id", "_llm_text"]
+    some, _ = parted_by_keys(keyed(docs), held.select(*own).distinct(), own)
     each = held.join(simhash.groups_of_texts(some), "_llm_text").groupBy("template", "group").agg(F.lit(1).alias("_"))
     return each.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template")
 
@@ -253,9 +270,12 @@ def _in_groups(docs: DataFrame, named: DataFrame, least: int) -> DataFrame:
 def recurring_lines(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Key, number, offsets and template of every line whose template recurs across documents."""
     found = settle(lines(docs))
-    carried = settle(templates(docs, found, least=groups))
+    shared = shared_leaves(found, groups)
+    carried = settle(templates(docs, found, least=groups, shared=shared))
+    # most lines are alone in their leaf: they are neither joined nor shuffled
+    may, _ = parted_by_keys(found, shared.select("leaf"), ["leaf"])
     named = settle(
-        found.join(carried, ["leaf", "own"], "left")
+        may.join(carried, ["leaf", "own"], "left")
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")
     )
     # settled, so that it is dealt anew for the join and Spark can split a hot template's lines
@@ -282,14 +302,15 @@ def drop_recurring(docs: DataFrame, groups: int = GROUPS, name: str = "dropped")
         for part in with_found(keyed(docs.drop(name)), gone, ["_llm_id", "_llm_text"], empty, name)
     )
 
-    def cut(texts, dropped):
+    def cut(texts, numbered):
         left = []
-        for text, own in zip(texts, dropped):
+        for text, own in zip(texts, numbered):
             if own:
-                numbers = {d["line"] for d in own}
+                numbers = set(own)
                 text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in numbers])
             left.append(text)
         return {"text": left}
 
-    return rewrite(changed, cut, ["text", name], "text string").unionByName(
+    numbered = changed.withColumn("_llm_lines", F.col(name)["line"])
+    return rewrite(numbered, cut, ["text", "_llm_lines"], "text string").drop("_llm_lines").unionByName(
         same.withColumn("text", F.col("text").cast("string")))

@@ -52,12 +52,21 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
+#: Bytes with A-Z lowered and every blank of the word rule a space.
+_PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b for b in bytes(range(256)).lower())
+
+
+def _words(text: str) -> bytes:
+    """The words of a text, A-Z lowered, joined by one space."""
+    plain = text.encode("utf-8").translate(_PLAIN).strip(b" ")
+    return b" ".join(plain.split()) if b"  " in plain else plain
+
+
 def _shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all texts, one text after the other, and how many each has."""
-    # on bytes: A-Z only, blanks as in the word rule
-    own = [t.encode("utf-8").lower().split() for t in texts]
-    count = np.array([len(w) for w in own], dtype=np.int64)
-    joined = b" ".join([b" ".join(w) for w in own if w])
+    own = [_words(t) for t in texts]
+    count = np.array([w.count(b" ") + 1 if w else 0 for w in own], dtype=np.int64)
+    joined = b" ".join([w for w in own if w])
     blank = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
     starts, ends = np.append(0, blank + 1), np.append(blank, len(joined))
     sizes = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
@@ -72,7 +81,9 @@ _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
 
 
 def _turned(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+    out = x << np.uint64(bits)
+    out |= x >> np.uint64(64 - bits)
+    return out
 
 
 def _xxh64(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -98,42 +109,39 @@ def _xxh64_short(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     # the 64-bit word at every byte
     padded = data + bytes(8)
     word = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
-    seed = np.uint64(_SEED)
-    h = np.full(len(at), seed + _P5)
-    wide = int(np.searchsorted(size, 32))  # from here on 32 bytes and more
-    if wide < len(at):
-        sums = [np.full(len(at) - wide, seed) for _ in range(4)]
-        sums[0] += _P1
-        sums[0] += _P2
-        sums[1] += _P2
-        sums[3] -= _P1
-        for stripe in range(int(size[-1]) // 32):
-            some = int(np.searchsorted(size, 32 * (stripe + 1)))
+    out = np.empty(len(at), dtype=np.uint64)
+    sizes, cuts = np.unique(size, return_index=True)
+    for n, a, b in zip(sizes.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+        out[order[a:b]] = _xxh64_of_size(word, at[a:b], n)
+    return out
+
+
+def _xxh64_of_size(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """XXH64 of stretches of n bytes."""
+    if n >= 32:
+        sums = [np.full(len(at), (_SEED + p) % 2**64, dtype=np.uint64) for p in (int(_P1) + int(_P2), int(_P2), 0, -int(_P1))]
+        for done in range(0, n - 31, 32):
             for k in range(4):
-                v = sums[k][some - wide :]
-                v[:] = _turned(v + word[at[some:] + (32 * stripe + 8 * k)] * _P2, 31) * _P1
-        x = _turned(sums[0], 1) + _turned(sums[1], 7) + _turned(sums[2], 12) + _turned(sums[3], 18)
+                sums[k] = _turned(sums[k] + word[at + (done + 8 * k)] * _P2, 31) * _P1
+        h = _turned(sums[0], 1) + _turned(sums[1], 7) + _turned(sums[2], 12) + _turned(sums[3], 18)
         for v in sums:
-            x = (x ^ (_turned(v * _P2, 31) * _P1)) * _P1 + _P4
-        h[wide:] = x
-    h += size.astype(np.uint64)
-    at = at + size // 32 * 32
-    for k in range(3):
-        some = np.flatnonzero(size % 32 // 8 > k)
-        v = _turned(word[at[some]] * _P2, 31) * _P1
-        h[some] = _turned(h[some] ^ v, 27) * _P1 + _P4
-        at[some] += 8
-    some = np.flatnonzero(size & 4)
-    h[some] = _turned(h[some] ^ ((word[at[some]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
-    at[some] += 4
-    for k in range(3):
-        some = np.flatnonzero(size & 3 > k)
-        h[some] = _turned(h[some] ^ ((word[at[some] + k] & np.uint64(255)) * _P5), 11) * _P1
+            h = (h ^ (_turned(v * _P2, 31) * _P1)) * _P1 + _P4
+        h += np.uint64(n)
+    else:
+        h = np.full(len(at), (_SEED + int(_P5) + n) % 2**64, dtype=np.uint64)
+    done = n // 32 * 32
+    while n - done >= 8:
+        h = _turned(h ^ (_turned(word[at + done] * _P2, 31) * _P1), 27) * _P1 + _P4
+        done += 8
+    if n - done >= 4:
+        h = _turned(h ^ ((word[at + done] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        done += 4
+    while done < n:
+        h = _turned(h ^ ((word[at + done] & np.uint64(255)) * _P5), 11) * _P1
+        done += 1
     h = (h ^ (h >> np.uint64(33))) * _P2
     h = (h ^ (h >> np.uint64(29))) * _P3
-    out = np.empty_like(h)
-    out[order] = h ^ (h >> np.uint64(32))
-    return out
+    return h ^ (h >> np.uint64(32))
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -144,8 +152,8 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Hashes that are added up as bit planes, to four of them.
-_TILE = 15
+#: Hashes that are added up as bit planes, to five of them.
+_TILE = 31
 
 
 def _tiled(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +166,10 @@ def _tiled(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum and carry of three bit planes."""
-    either = a ^ b
-    return either ^ c, (a & b) | (either & c)
+    total, carry = a ^ b, a & b
+    carry |= total & c
+    total ^= c
+    return total, carry
 
 
 def _majority(h: np.ndarray, sizes: np.ndarray, place: np.ndarray, tiles: np.ndarray) -> np.ndarray:
@@ -167,7 +177,7 @@ def _majority(h: np.ndarray, sizes: np.ndarray, place: np.ndarray, tiles: np.nda
     rows = np.zeros(_TILE * int(tiles.sum()), dtype=np.uint64)
     rows[place] = h
     planes, lanes = list(rows.reshape(_TILE, -1)), 0
-    for weight in range(4):
+    for weight in range(_TILE.bit_length()):
         carries = []
         left = planes[0]
         for b, c in zip(planes[1::2], planes[2::2]):
@@ -175,11 +185,12 @@ def _majority(h: np.ndarray, sizes: np.ndarray, place: np.ndarray, tiles: np.nda
             carries.append(carry)
         lanes = lanes + (_LANES[left.view(np.uint8).reshape(-1, 8)] << np.uint64(weight))
         planes = carries
-    # at most 17 columns of one document at a time, so that no 8-bit lane overflows
+    # few columns of one document at a time, so that no 8-bit lane overflows
+    most = 255 // _TILE
     starts = np.cumsum(tiles) - tiles
-    cuts = np.concatenate([np.arange(a, a + n, 17) for a, n in zip(starts.tolist(), tiles.tolist())])
+    cuts = np.concatenate([np.arange(a, a + n, most) for a, n in zip(starts.tolist(), tiles.tolist())])
     part = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
-    runs = -(-tiles // 17)
+    runs = -(-tiles // most)
     count = np.add.reduceat(part, np.cumsum(runs) - runs, axis=0)
     return np.packbits(2 * count > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -295,30 +306,31 @@ def _forests(buckets: list, radius: int, a: list, b: list) -> None:
 
 
 def close_pairs(buckets: list[np.ndarray], radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each bucket of fingerprints (rows of 64-bit words) the pairs i < j within the radius."""
+    """For each bucket of fingerprints (rows of 64-bit words) the pairs i < j within the radius.
+
+    Buckets follow each other without gaps, so small ones share a machine word.
+    """
     sizes = np.array([len(f) for f in buckets])
-    slots = -(-sizes // 64)  # machine words that hold one bit plane of a bucket
-    first = np.cumsum(slots) - slots
+    ends = np.cumsum(sizes)
+    first = ends - sizes
     width = buckets[0].shape[1]
-    padded = np.zeros((int(slots.sum()) * 64, width), dtype=np.uint64)
-    real = np.zeros(len(padded), dtype=bool)
-    for f, s in zip(buckets, first.tolist()):
-        padded[64 * s : 64 * s + len(f)] = f
-        real[64 * s : 64 * s + len(f)] = True
-    valid = np.packbits(real.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
-
-    # a query meets its own word of members and the later ones of its bucket
-    member = np.flatnonzero(real)
-    bucket = np.repeat(np.arange(len(buckets)), sizes)
-    own = member // 64
-    reach = (first + slots)[bucket] - own
-    q = np.repeat(member, reach)
-    w = np.arange(len(q)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(own, reach)
+    padded = np.zeros((-(-int(ends[-1]) // 64) * 64, width), dtype=np.uint64)
+    np.concatenate(buckets, out=padded[: ends[-1]])
+
+    # a query meets the later members of its bucket: some of its own word, and further words
+    query = np.delete(np.arange(ends[-1]), ends[sizes > 0] - 1)
+    end = np.repeat(ends, np.maximum(sizes - 1, 0))
+    next_ = (query + 1) // 64
+    reach = -(-end // 64) - next_
+    q = np.repeat(query, reach)
+    w = np.arange(len(q)) - np.repeat(np.cumsum(reach) - reach - next_, reach)
+    ones = np.uint64(2**64 - 1)
+    valid = ones << np.maximum(q + 1 - 64 * w, 0).astype(np.uint64)
+    valid &= ones >> np.maximum(64 * (w + 1) - np.repeat(end, reach), 0).astype(np.uint64)
 
     levels = max(1, int(radius).bit_length())
     counters = [np.zeros(len(q), dtype=np.uint64) for _ in range(levels)]
     over = np.zeros(len(q), dtype=np.uint64)
-    ones = np.uint64(2**64 - 1)
     for k in range(width):
         column = padded[:, k]
         for bit in range(64):
@@ -331,23 +343,21 @@ def close_pairs(buckets: list[np.ndarray], radius: int) -> list[tuple[np.ndarray
                 carry = carried
             over |= carry
             if bit % 8 == 7:
-                alive = (~(over | _above(counters, radius)) & valid[w]) != 0
+                alive = (~(over | _above(counters, radius)) & valid) != 0
                 if not alive.all():
-                    q, w, over = q[alive], w[alive], over[alive]
+                    q, w, over, valid = q[alive], w[alive], over[alive], valid[alive]
                     counters = [c[alive] for c in counters]
             if not len(q):
                 break
-    near = ~(over | _above(counters, radius)) & valid[w]
+    near = ~(over | _above(counters, radius)) & valid
     hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") if len(q) else np.zeros((0, 64))
     at, offset = np.nonzero(hit)
     i, j = q[at], 64 * w[at] + offset
-    i, j = i[j > i], j[j > i]
-    group = np.searchsorted(64 * first, i, side="right") - 1
+    group = np.searchsorted(ends, i, side="right")
     order = np.argsort(group, kind="stable")
     i, j, group = i[order], j[order], group[order]
     cuts = np.searchsorted(group, np.arange(1, len(buckets)))
-    base = 64 * first
-    return [(x - s, y - s) for x, y, s in zip(np.split(i, cuts), np.split(j, cuts), base)]
+    return [(x - s, y - s) for x, y, s in zip(np.split(i, cuts), np.split(j, cuts), first)]
 
 
 def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:

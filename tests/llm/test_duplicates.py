@@ -318,3 +318,50 @@ def test_majority_by_bit_planes(most):
     found = simhash._majority(h, sizes, place, tiles).tolist()
     for fp, own in zip(found, np.split(h, np.cumsum(sizes)[:-1])):
         assert fp == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > len(own))
+
+
+def test_masked_lines_are_those_of_their_split_tokens():
+    random.seed(17)
+    blanks = " " * 12 + "\t\r\v\f\x1c\x1f\x85\xa0  　"
+    letters = blanks + "​\xad\x00" + "aB7٣\xe9漢.<" * 4
+    lines = ["", " ", "a", " a", "a ", "a  b", "a b c d", "a b 1 d", "\xe9 b\xa0c d"]
+    lines += ["".join(random.choices(letters, k=random.randint(1, 40))) for _ in range(3000)]
+    for line in lines:
+        tokens = ["<*>" if re.search("[0-9]", t) else t for t in line.split()]
+        for leading in (1, 3):
+            head = f"{len(tokens)} {' '.join(tokens[:leading])}"
+            leaf = int(np.uint64(xxhash.xxh64_intdigest(head.encode(), 1)).astype(np.int64))
+            want = (len(tokens), " ".join(tokens).encode(), leaf) if tokens else None
+            assert line_templates._tree_path(line, leading) == want
+
+
+def test_small_buckets_share_machine_words(monkeypatch):
+    """Bit planes hold the members of buckets, not room for 64 of each."""
+    fps = np.arange(400, dtype=np.uint64).reshape(200, 2, 1)
+    widest, pack = [], np.packbits
+    monkeypatch.setattr(simhash.np, "packbits", lambda a, **how: widest.append(a.size) or pack(a, **how))
+    found = simhash.close_pairs(list(fps), 1)
+    assert [(i.tolist(), j.tolist()) for i, j in found] == [([0], [1])] * 200  # 2k and 2k + 1
+    assert max(widest) < 400 + 64
+
+
+def test_only_lines_of_shared_leaves_and_one_document_of_each_text_go_on(spark, monkeypatch):
+    texts = [f"printed here for {w} and others\n{prose(20, 300 + i)}" for i, w in enumerate(WORDS[:8])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "doc_id long, text string")
+    df = df.unionByName(spark.createDataFrame([(900 + i, f"{x}q {prose(25, 900 + i)}") for i, x in enumerate("abcdefghij")], df.schema))
+    seen = {}
+    in_groups, groups_of_texts = line_templates._in_groups, simhash.groups_of_texts
+
+    def named_lines(docs, named, least):
+        seen["lines"] = {r._llm_id for r in named.select("_llm_id").collect()}
+        return in_groups(docs, named, least)
+
+    def fingerprinted(docs, **how):
+        seen["documents"] = docs.count()
+        return groups_of_texts(docs, **how)
+
+    monkeypatch.setattr(line_templates, "_in_groups", named_lines)
+    monkeypatch.setattr(line_templates.simhash, "groups_of_texts", fingerprinted)
+    rows = line_templates.drop_recurring(df).collect()
+    assert {r.doc_id for r in rows if r.dropped} == set(range(40))
+    assert seen == {"lines": set(range(40)), "documents": 8}
