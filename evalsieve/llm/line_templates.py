@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,9 @@ def masked_lines(docs: DataFrame, leaves: DataFrame, leading: int = LEADING) ->
 def _edges(rows: list[tuple[str, ...]], agreeing: float) -> Iterator[tuple[list[int], int]]:
     """For each line how many lines have its token, by place, and the leftmost place of the
     count with which the given share of the line is reached."""
-    count = Counter(placed for tokens in rows for placed in enumerate(tokens))
+    count = Counter(chain.from_iterable(map(enumerate, rows)))
     for tokens in rows:
-        n = [count[placed] for placed in enumerate(tokens)]
+        n = list(map(count.__getitem__, enumerate(tokens)))
         yield n, n.index(sorted(n, reverse=True)[math.ceil(agreeing * len(n)) - 1])
 
 
@@ -275,7 +276,7 @@ def recurring_lines(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     # most lines are alone in their leaf: they are neither joined nor shuffled
     may, _ = parted_by_keys(found, shared.select("leaf"), ["leaf"])
     named = settle(
-        may.join(carried, ["leaf", "own"], "left")
+        may.join(carried.hint("shuffle_hash"), ["leaf", "own"], "left")  # spares sorting the lines
         .withColumn("template", F.coalesce("template", "own")).drop("leaf", "own")
     )
     # settled, so that it is dealt anew for the join and Spark can split a hot template's lines
@@ -299,7 +300,7 @@ def drop_recurring(docs: DataFrame, groups: int = GROUPS, name: str = "dropped")
     empty = F.array().cast("array<struct<line:int,start:bigint,end:bigint,template:bigint>>")
     changed, same = (
         part.drop("_llm_id", "_llm_text")
-        for part in with_found(keyed(docs.drop(name)), gone, ["_llm_id", "_llm_text"], empty, name)
+        for part in with_found(keyed(docs.drop(name)), gone.hint("shuffle_hash"), ["_llm_id", "_llm_text"], empty, name)
     )
 
     def cut(texts, numbered):

@@ -133,12 +133,14 @@ def _xxh64_of_size(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     while n - done >= 8:
         h = _turned(h ^ (_turned(word[at + done] * _P2, 31) * _P1), 27) * _P1 + _P4
         done += 8
-    if n - done >= 4:
-        h = _turned(h ^ ((word[at + done] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
-        done += 4
-    while done < n:
-        h = _turned(h ^ ((word[at + done] & np.uint64(255)) * _P5), 11) * _P1
-        done += 1
+    if done < n:
+        rest = word[at + done]
+        if n - done >= 4:
+            h = _turned(h ^ ((rest & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+            rest >>= np.uint64(32)
+        for _ in range(n % 4):
+            h = _turned(h ^ ((rest & np.uint64(255)) * _P5), 11) * _P1
+            rest >>= np.uint64(8)
     h = (h ^ (h >> np.uint64(33))) * _P2
     h = (h ^ (h >> np.uint64(29))) * _P3
     return h ^ (h >> np.uint64(32))
